@@ -21,6 +21,7 @@ from latticework.operators.scans import (
     runs,
 )
 from latticework.operators.stats import attach, percentiles
+from latticework.session import settle
 
 # fixed values of the trace clean-up
 MAX_GAP = 10
@@ -109,7 +110,7 @@ def fidelity_thresholds(df: DataFrame, keys: list[str], pos: str = "col") -> Dat
             "min_lift_px": F.greatest(0.28 * scale, F.lit(0.08)),
             "spike_delta_px": F.least(F.greatest(F.lit(6.5), 5.0 * scale), F.lit(20.0)),
         }
-    ).drop("_noise", "_p04", "_p96")
+    ).drop("_noise", "_p04", "_p96").transform(settle)
 
 
 def spike_repair(

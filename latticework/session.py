@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,6 +42,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Store a small derived table (one row per key or per peak) and cut its lineage.
+
+    Later steps that read it several times neither repeat its work nor repeat its
+    plan. The files live in the shared checkpoint folder, so lost executors do not
+    matter. Tables of full sample size are not stored.
+    """
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
