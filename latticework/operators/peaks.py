@@ -537,8 +537,8 @@ def fwhm(points: DataFrame, peaks: DataFrame, keys: list[str]) -> DataFrame:
         "_right_in_reach": F.col("right.p") < F.col("_p1"),
     })
     width = F.abs(crossing("right", "right_in") - crossing("left", "left_in"))
-    return out.withColumn("fwhm", width).drop(
-        "left", "right", "left_in", "right_in", "_p0", "_p1", "_left_in_reach", "_right_in_reach")
+    return settle(out.withColumn("fwhm", width).drop(
+        "left", "right", "left_in", "right_in", "_p0", "_p1", "_left_in_reach", "_right_in_reach"))
 
 
 def attach_fitted_width(peaks: DataFrame, fits: DataFrame, keys: list[str], tolerance: float = 0.1) -> DataFrame:

@@ -147,3 +147,21 @@ def runs(
     """
     outside = F.when(~F.coalesce(member, F.lit(False)), F.col(pos))
     return carry(df, keys, pos, outside, before="_left", after="_right")
+
+
+def running_total(
+    df: DataFrame, keys: list[str], pos: str, value: Column, name: str, size: float | None = None
+) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the key (the row itself excluded)."""
+    work = df.withColumn("_c", chunk_of(pos, size or CHUNK)).withColumn("_v", value)
+    per_chunk = work.groupBy(*keys, "_c").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(
+        *keys, "_c", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_off")
+    )
+    here = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        work.join(offsets, [*keys, "_c"])
+        .withColumn(name, F.col("_off") + F.coalesce(F.sum("_v").over(here), F.lit(0.0)))
+        .drop("_c", "_v", "_off")
+    )

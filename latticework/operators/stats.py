@@ -19,10 +19,13 @@ def value_band(v: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float],
+    upper: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per key, one row per key.
 
+    Names listed in ``upper`` give the higher of the two neighbouring values instead.
+
     No group is gathered in one place: values are counted per narrow band, the
     cumulative counts say which bands hold the wanted ranks, and only the
     distinct values of those bands are ordered.
@@ -85,21 +88,21 @@ def percentiles(
     hits = ranked.select(*keys, "_v", F.explode("_want").alias("_t"))
     out = hits.groupBy(*keys).agg(
         *[
-            _interpolated(name).alias(name)
+            (_side(name, "hi") if name in upper else _interpolated(name)).alias(name)
             for name in probs
         ]
     )
     return out.drop("_all") if one else out
 
 
-def _interpolated(name: str) -> Column:
-    def at(side: str) -> Column:
-        return F.max(
-            F.when((F.col("_t.name") == name) & (F.col("_t.side") == side), F.col("_v"))
-        )
+def _side(name: str, side: str) -> Column:
+    return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.side") == side), F.col("_v")))
 
+
+def _interpolated(name: str) -> Column:
     frac = F.max(F.when(F.col("_t.name") == name, F.col("_t.frac")))
-    return at("lo") + (at("hi") - at("lo")) * frac
+    lo, hi = _side(name, "lo"), _side(name, "hi")
+    return lo + (hi - lo) * frac
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

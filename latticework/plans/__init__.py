@@ -4,3 +4,4 @@ from latticework.plans.registry import OPERATORS, ORACLES, QUERIES  # noqa: F401
 from latticework.plans import calibration_queries  # noqa: F401
 from latticework.plans import signal_queries  # noqa: F401
 from latticework.plans import peak_queries  # noqa: F401
+from latticework.plans import micro_queries  # noqa: F401
