@@ -151,3 +151,42 @@ def implied_edge(d: Column, h: Column, k: Column, l: Column, system: Column, c:
         .otherwise("unsupported")
     )
     return F.when(good, edge), F.when(good, why)
+
+
+def metric(system: Column, a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column,
+           triclinic: bool = False) -> dict[str, Column]:
+    """Coefficients of 1/d^2 as a quadratic form in h, k, l - once per cell, for any system."""
+    sys = F.lower(system)
+    zero = F.lit(0.0)
+    ca, cb, cg = (F.cos(F.radians(x)) for x in (alpha, beta, gamma))
+    sa, sb, sg = (F.sin(F.radians(x)) for x in (alpha, beta, gamma))
+    a2, b2, c2 = a * a, b * b, c * c
+    hexa = 4 / (3 * a2)
+    det = 1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg
+    square = F.when(sys.isin("cubic", "tetragonal"), 1 / a2)
+    out = {
+        "m11": square.when(sys == "orthorhombic", 1 / a2).when(sys == "hexagonal", hexa)
+        .when(sys == "monoclinic", 1 / (a2 * sb * sb)),
+        "m22": square.when(sys.isin("orthorhombic", "monoclinic"), 1 / b2).when(sys == "hexagonal", hexa),
+        "m33": F.when(sys == "cubic", 1 / a2).when(sys == "monoclinic", 1 / (c2 * sb * sb)).when(
+            sys.isin("tetragonal", "orthorhombic", "hexagonal"), 1 / c2),
+        "m12": F.when(sys == "hexagonal", hexa).when(sys != "triclinic", zero),
+        "m13": F.when(sys == "monoclinic", -2 * cb / (a * c * sb * sb)).when(sys != "triclinic", zero),
+        "m23": F.when(sys != "triclinic", zero),
+    }
+    if triclinic:
+        full = {
+            "m11": sa * sa / (a2 * det), "m22": sb * sb / (b2 * det), "m33": sg * sg / (c2 * det),
+            "m12": 2 * (ca * cb - cg) / (a * b * det), "m13": 2 * (ca * cg - cb) / (a * c * det),
+            "m23": 2 * (cb * cg - ca) / (b * c * det),
+        }
+        out = {k: v.when(sys == "triclinic", full[k]) for k, v in out.items()}
+    return out
+
+
+def d_from_metric(h: Column, k: Column, l: Column) -> Column:  # noqa: E741
+    inv = (
+        F.col("m11") * h * h + F.col("m22") * k * k + F.col("m33") * l * l
+        + F.col("m12") * h * k + F.col("m13") * h * l + F.col("m23") * k * l
+    )
+    return F.when(inv > 0, 1 / F.sqrt(inv))

@@ -5,3 +5,5 @@ from latticework.plans import calibration_queries  # noqa: F401
 from latticework.plans import signal_queries  # noqa: F401
 from latticework.plans import peak_queries  # noqa: F401
 from latticework.plans import micro_queries  # noqa: F401
+from latticework.plans import crystal_queries  # noqa: F401
+from latticework.plans import evaluation_queries  # noqa: F401

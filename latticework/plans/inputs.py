@@ -260,4 +260,4 @@ def oracle(views: str, body: str) -> str:
 
 def R(expr: str, digits: int = 6) -> str:
     """Oracle-side rounding without negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(CAST(round({expr}, {digits}) AS DOUBLE) + 0.0)"
