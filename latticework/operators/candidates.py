@@ -109,7 +109,7 @@ def column_rank_norm(cands: DataFrame) -> DataFrame:
 
 def source_quota(cands: DataFrame, keep: int = KEEP_FILTERED, quota: int = 2) -> DataFrame:
     """Top rows by score, with at least ``quota`` rows of source raw where there are some."""
-    scored = envelope_bonus(cands.where(F.col("confidence") >= MIN_CONFIDENCE))
+    scored = envelope_bonus(cands).where(F.col("confidence") >= MIN_CONFIDENCE)
     order = Window.partitionBy(*SC).orderBy(F.desc("rank_score"), "cand_id")
     ranked = scored.withColumn("_rank", F.row_number().over(order))
     pool = Window.partitionBy(*SC, F.col("source") == "raw").orderBy(

@@ -8,3 +8,4 @@ from latticework.plans import micro_queries  # noqa: F401
 from latticework.plans import crystal_queries  # noqa: F401
 from latticework.plans import evaluation_queries  # noqa: F401
 from latticework.plans import candidate_queries  # noqa: F401
+from latticework.plans import pixel_queries  # noqa: F401

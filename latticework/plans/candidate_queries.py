@@ -106,7 +106,7 @@ FILL = """rowsx AS (SELECT t.sample_id, t.col, u.uy FROM trace t LEFT JOIN (SELE
 
 
 @register("column_fill", "K10", oracle("candidates trace", FILL + """
-    SELECT sample_id, col, CAST(least(greatest(round_even(raw, 0), 0), 59) AS INT) AS y, CASE WHEN source = 'interpolated' THEN CAST(0.3 AS DOUBLE) WHEN source IS NOT NULL THEN CAST(0.25 AS DOUBLE) END AS confidence, source FROM f"""))
+    SELECT sample_id, col, CASE WHEN raw IS NOT NULL THEN CAST(least(greatest(round_even(raw, 0), 0), 59) AS INT) END AS y, CASE WHEN source = 'interpolated' THEN CAST(0.3 AS DOUBLE) WHEN source IS NOT NULL THEN CAST(0.25 AS DOUBLE) END AS confidence, source FROM f"""))
 def column_fill(spark, folder):
     c = cands(spark, folder).where(~((F.col("col") + F.col("sample_id")) % 11).isin(3, 5, 6, 7, 8, 9, 10))
     return C.column_fill(c, I.trace(spark, folder), 60)
@@ -171,12 +171,12 @@ MARGIN = """mr AS (SELECT sample_id, col, confidence AS c1, lead(confidence) OVE
 
 
 @register("candidate_margins", "K18 K52", oracle("candidates", MARGIN + f""", mc AS (SELECT sample_id, avg(confidence) AS mean_confidence, count(*) AS n FROM candidates GROUP BY 1)
-    SELECT sample_id, count(margin) AS count, {R('avg(margin)')} AS mean, {R('quantile_cont(margin, 0.1)')} AS p10, {R('median(margin)')} AS p50, {R('quantile_cont(margin, 0.9)')} AS p90,
+    SELECT sample_id, count(margin) AS count, {R('avg(margin)', 8)} AS mean, {R('quantile_cont(margin, 0.1)')} AS p10, {R('median(margin)')} AS p50, {R('quantile_cont(margin, 0.9)')} AS p90,
       {R('any_value(mean_confidence)')} AS mean_confidence, any_value(n) AS n FROM mar JOIN mc USING (sample_id) GROUP BY 1"""))
 def candidate_margins(spark, folder):
     c = cands(spark, folder)
     out = C.margin_distribution(c).join(C.mean_confidence(c), "sample_id")
-    return out.select("sample_id", "count", "n", *[r(x).alias(x) for x in ("mean", "p10", "p50", "p90", "mean_confidence")])
+    return out.select("sample_id", "count", "n", r("mean", 8).alias("mean"), *[r(x).alias(x) for x in ("p10", "p50", "p90", "mean_confidence")])
 
 
 @register("min_cost_path", "K19")
