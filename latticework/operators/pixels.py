@@ -104,26 +104,25 @@ def closest_and_centroid(matched: DataFrame, all_px: DataFrame, limit: str = "ma
     return mid.join(best, [*K, "x"])
 
 
-def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """sRGB (0..255) to CIE Lab."""
-    def linear(c: Column) -> Column:
-        v = c / 255.0
+def with_lab(px: DataFrame) -> DataFrame:
+    """Add CIE Lab (L, A, B) of sRGB pixels (0..255), in three cheap steps."""
+    def linear(c: str) -> Column:
+        v = F.col(c) / 255.0
         return F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92)
 
     def curve(t: Column) -> Column:
         return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116.0)
 
-    lr, lg, lb = linear(r), linear(g), linear(b)
+    px = px.withColumns({f"_l{c}": linear(c) for c in "rgb"})
+    lr, lg, lb = F.col("_lr"), F.col("_lg"), F.col("_lb")
     # fixed values: sRGB to XYZ matrix (D65) and white point
-    x = (lr * 0.4124564 + lg * 0.3575761 + lb * 0.1804375) / 0.95047
-    y = lr * 0.2126729 + lg * 0.7151522 + lb * 0.0721750
-    z = (lr * 0.0193339 + lg * 0.1191920 + lb * 0.9503041) / 1.08883
-    return 116.0 * curve(y) - 16.0, 500.0 * (curve(x) - curve(y)), 200.0 * (curve(y) - curve(z))
-
-
-def with_lab(px: DataFrame) -> DataFrame:
-    cl, ca, cb = lab(F.col("r"), F.col("g"), F.col("b"))
-    return px.withColumns({"L": cl, "A": ca, "B": cb})
+    px = px.withColumns({
+        "_fx": curve((lr * 0.4124564 + lg * 0.3575761 + lb * 0.1804375) / 0.95047),
+        "_fy": curve(lr * 0.2126729 + lg * 0.7151522 + lb * 0.0721750),
+        "_fz": curve((lr * 0.0193339 + lg * 0.1191920 + lb * 0.9503041) / 1.08883)})
+    x, y, z = F.col("_fx"), F.col("_fy"), F.col("_fz")
+    return px.withColumns({"L": 116.0 * y - 16.0, "A": 500.0 * (x - y), "B": 200.0 * (y - z)}).drop(
+        "_lr", "_lg", "_lb", "_fx", "_fy", "_fz")
 
 
 def prototype_distance(px_lab: DataFrame, protos: DataFrame) -> DataFrame:

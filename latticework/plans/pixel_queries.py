@@ -62,14 +62,14 @@ def curve_colour(spark, folder):
 
 
 FRAMES = DIST + """, dim AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY 1),
-    fr AS (SELECT image_id, y FROM hit JOIN dim USING (image_id) GROUP BY image_id, y, w HAVING count(*) / w > 0.4), h1 AS (SELECT h.* FROM hit h WHERE (image_id, y) NOT IN (SELECT (image_id, y) FROM fr)),
-    fc AS (SELECT image_id, x FROM h1 JOIN dim USING (image_id) GROUP BY image_id, x, h HAVING count(*) / h > 0.36),
+    fr AS (SELECT image_id, y FROM hit JOIN dim USING (image_id) GROUP BY image_id, y, w HAVING count(*) / w > 0.25), h1 AS (SELECT h.* FROM hit h WHERE (image_id, y) NOT IN (SELECT (image_id, y) FROM fr)),
+    fc AS (SELECT image_id, x FROM h1 JOIN dim USING (image_id) GROUP BY image_id, x, h HAVING count(*) / h > 0.24),
     h2 AS (SELECT h.* FROM h1 h WHERE NOT EXISTS (SELECT 1 FROM fc WHERE fc.image_id = h.image_id AND abs(fc.x - h.x) <= 1))"""
 
 
 def _framed(spark, folder):
     px, hit = _dist(spark, folder)
-    return px, X.suppress_frames(hit, X.sizes(px), 0.4, 0.36)
+    return px, X.suppress_frames(hit, X.sizes(px), 0.25, 0.24)
 
 
 @register("suppress_frames", "I6", oracle("pixels", FRAMES + " SELECT image_id, x, y FROM h2"))
@@ -118,8 +118,8 @@ def lab_distance(spark, folder):
 
 
 @register("colour_prototypes", "I10", oracle("pixels", LAB + f""",
-    at AS (SELECT image_id, unnest([CAST(floor(w * 0.2) AS INT), CAST(floor(w * 0.5) AS INT), CAST(floor(w * 0.8) AS INT)]) AS x FROM (SELECT image_id, max(x) + 1 AS w FROM pixels GROUP BY 1)),
-    bs AS (SELECT l.image_id, l.x AS cx, arg_min(y, row(sqrt(pow(cl - 50, 2) + pow(ca - 5, 2) + pow(cb + 10, 2)), y)) AS cy FROM labs l JOIN at USING (image_id, x) GROUP BY 1, 2),
+    cols3 AS (SELECT image_id, unnest([CAST(floor(w * 0.2) AS INT), CAST(floor(w * 0.5) AS INT), CAST(floor(w * 0.8) AS INT)]) AS x FROM (SELECT image_id, max(x) + 1 AS w FROM pixels GROUP BY 1)),
+    bs AS (SELECT l.image_id, l.x AS cx, arg_min(y, row(sqrt(pow(cl - 50, 2) + pow(ca - 5, 2) + pow(cb + 10, 2)), y)) AS cy FROM labs l JOIN cols3 USING (image_id, x) GROUP BY 1, 2),
     pr AS (SELECT b.image_id, cx, avg(cl) AS pl, avg(ca) AS pa, avg(cb) AS pb FROM bs b JOIN labs l ON l.image_id = b.image_id AND abs(l.x - cx) <= 2 AND abs(l.y - cy) <= 2 GROUP BY 1, 2),
     bg AS (SELECT image_id, median(cl) AS bl, median(ca) AS ba, median(cb) AS bb FROM labs GROUP BY 1),
     th AS (SELECT image_id, least(13.4, greatest(11.6, min(sqrt(pow(pl - bl, 2) + pow(pa - ba, 2) + pow(pb - bb, 2))) * 0.32)) AS t FROM pr JOIN bg USING (image_id) GROUP BY 1)
