@@ -126,7 +126,7 @@ def reverse_index(peaks: DataFrame, cells: DataFrame, keys: list[str], tolerance
     """All index triples whose spacing is within the tolerance of each peak's spacing.
 
     ``cells`` has one row per pattern. Equivalent planes of cubic and tetragonal cells
-    count once; rank orders by closeness.
+    count once; rank orders by closeness (to nine decimals, then by indices).
     """
     span = peaks.groupBy(*keys).agg(F.min("d_obs").alias("_dlo"), F.max("d_obs").alias("_dhi"))
     g = _grid(_with_metric(cells.join(span, keys), True), max_hkl, max_hkl, max_hkl)
@@ -144,9 +144,9 @@ def reverse_index(peaks: DataFrame, cells: DataFrame, keys: list[str], tolerance
     ).withColumn("diff", F.abs(F.col("d") - F.col("d_obs"))).where(F.col("diff") < tolerance)
     fh, fk, fl = B.family(h, k, l, F.col("system"))
     best = near.groupBy(*keys, "idx", fh.alias("_fh"), fk.alias("_fk"), fl.alias("_fl")).agg(
-        F.min_by(F.struct("h", "k", "l", "d", "diff"), F.struct("diff", "h", "k", "l")).alias("_r")
+        F.min_by(F.struct("h", "k", "l", "d", "diff"), F.struct(F.round("diff", 9), F.col("h"), F.col("k"), F.col("l"))).alias("_r")
     ).select(*keys, "idx", "_r.*")
-    rank = F.row_number().over(Window.partitionBy(*keys, "idx").orderBy("diff", "h", "k", "l"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "idx").orderBy(F.round("diff", 9), "h", "k", "l"))
     return best.withColumn("rank", rank)
 
 

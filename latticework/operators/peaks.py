@@ -329,7 +329,7 @@ def _valid_sequence(trace: DataFrame, keys: list[str], pos: str, y: str = "y") -
 
 def path_peaks(trace: DataFrame, keys: list[str], pos: str = "col") -> DataFrame:
     """Peaks of a pixel path (smaller y is higher); the loose pass contains the strict one."""
-    valid = _valid_sequence(trace, keys, pos)
+    valid = settle(_valid_sequence(trace, keys, pos))
     limits = _path_limits(valid, keys).withColumn(
         "prom_loose", F.greatest(F.col("prom_strict") * LOOSE_FACTOR, F.col("floor") * 0.85)
     )
@@ -390,7 +390,8 @@ def local_thresholds(
 
 def sharp_peaks(trace: DataFrame, keys: list[str], pos: str = "col", **options) -> DataFrame:
     """Peaks whose prominence exceeds the floor of their own surroundings."""
-    valid = local_thresholds(_valid_sequence(trace, keys, pos), keys, **options)
+    # read by every later step and costly to make, so stored once
+    valid = settle(local_thresholds(settle(_valid_sequence(trace, keys, pos)), keys, **options))
     rng = valid.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("y").alias("y_min"),
         (F.max("y") - F.min("y")).alias("y_range"), F.min("local_floor").alias("_least"),
@@ -466,7 +467,7 @@ def merged_peaks(
     """Detect on both traces; within a cluster the unsmoothed peak wins unless much weaker."""
     found = None
     for column, source in ((raw, "raw"), (smooth, "smoothed")):
-        valid = _valid_sequence(trace.withColumn("y", F.col(column)), keys, pos)
+        valid = settle(_valid_sequence(trace.withColumn("y", F.col(column)), keys, pos))
         limits = _path_limits(valid, keys)
         pk = find_peaks(valid, keys, "_seq", "_inv", limits=limits, high="high",
                         distance="dist", prominence="prom_strict")

@@ -183,7 +183,7 @@ def resample_envelope(spark, folder):
     peaks AS (SELECT sample_id, col, y, CASE WHEN col % 5 = 0 THEN y + 0.25 END AS refined,
         CASE WHEN col % 10 = 0 THEN y - 1 END AS roi FROM trace WHERE y IS NOT NULL AND col % 3 = 1)
     SELECT sample_id, col AS peak_index, {R('x_scale * col + x_offset', 4)} AS two_theta,
-      {R('least(greatest(y_scale * coalesce(roi, refined, y) + y_offset, least(y_v1, y_v2)), greatest(y_v1, y_v2))', 4)}
+      {R('least(greatest(y_scale * coalesce(roi, refined, y) + y_offset, least(y_v1, y_v2)), greatest(y_v1, y_v2))')}
         AS intensity, CAST(y < 10 AS INT) AS is_major
     FROM peaks JOIN maps USING (sample_id)"""))
 def export_peaks(spark, folder):
@@ -195,7 +195,7 @@ def export_peaks(spark, folder):
     )
     out = C.export_peaks(peaks, peaks.where("y_pixel < 10"), C.fit_axes(I.calibration(spark, folder)))
     return out.select("sample_id", F.col("index").alias("peak_index"), r("two_theta", 4).alias("two_theta"),
-                      r("intensity", 4).alias("intensity"), F.col("is_major").cast("int").alias("is_major"))
+                      r("intensity").alias("intensity"), F.col("is_major").cast("int").alias("is_major"))
 
 
 @register("downscale_trace", "C12", oracle("trace", f"""

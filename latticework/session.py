@@ -43,11 +43,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Store a small derived table (one row per key or per peak) and cut its lineage.
+    """Store a derived table that later steps read several times and cut its lineage.
 
-    Later steps that read it several times neither repeat its work nor repeat its
-    plan. The files live in the shared checkpoint folder, so lost executors do not
-    matter. Tables of full sample size are not stored.
+    Mostly tables with one row per key or per peak; of full sample size only the
+    numbered sequences of the path detectors. Neither the work nor the plan is
+    repeated, and as the files live in the shared checkpoint folder, lost executors
+    do not matter.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
