@@ -169,10 +169,10 @@ def gt_columns(spark, folder):
 @register("gt_proximity", "E14", oracle("candidates trace", GTCOL + f""",
     d AS (SELECT c.sample_id, c.col, min(abs(c.y - gt_y)) AS d FROM candidates c JOIN gtc USING (sample_id, col) GROUP BY 1, 2)
     SELECT sample_id, {R('avg(CAST(d <= 3 AS DOUBLE))')} AS recall_px3, {R('avg(CAST(d <= 5 AS DOUBLE))')} AS recall_px5, {R('avg(CAST(d <= 10 AS DOUBLE))')} AS recall_px10,
-      {R('avg(d)')} AS mean_dist, {R('median(d)')} AS median_dist, {R('quantile_cont(d, 0.9)')} AS p90_dist, count(*) AS columns_evaluated FROM d GROUP BY 1"""))
+      {R('avg(d)', 8)} AS mean_dist, {R('median(d)')} AS median_dist, {R('quantile_cont(d, 0.9)')} AS p90_dist, count(*) AS columns_evaluated FROM d GROUP BY 1"""))
 def gt_proximity(spark, folder):
     out = E.candidate_proximity(I.candidates(spark, folder), _gt_columns(spark, folder), S)
-    return out.select("sample_id", "columns_evaluated", *[r(c).alias(c) for c in out.columns if c not in ("sample_id", "columns_evaluated")])
+    return out.select("sample_id", "columns_evaluated", *[r(c, 8 if c == "mean_dist" else 6).alias(c) for c in out.columns if c not in ("sample_id", "columns_evaluated")])
 
 
 GATES = "gates(level, domain, metric, op, thr) AS (VALUES " + ", ".join(
