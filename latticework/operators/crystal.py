@@ -97,7 +97,7 @@ def reflections(cells: DataFrame, key: list[str], max_hkl: int = 10, max_angle:
     return _first_per_angle(g.select(*key, "h", "k", "l", "d", "two_theta", "rel"), key)
 
 
-def phase_reflections(cells: DataFrame, key: list[str], lo: float, hi: float,
+def phase_reflections(cells: DataFrame, key: list[str], lo: float | Column, hi: float | Column,
                       wavelength: float = B.CU_K_ALPHA) -> DataFrame:
     """Cubic (h>=k>=l), hexagonal and tetragonal (h>=k) lists used for phase matching.
 
@@ -111,7 +111,7 @@ def phase_reflections(cells: DataFrame, key: list[str], lo: float, hi: float,
     g = cubic.unionByName(hexa).unionByName(tet).where(B.allowed(h, k, l, F.col("centering")))
     g = g.withColumn("d", B.d_from_hkl(h, k, l, F.col("system"), F.col("a"), none, F.col("c")))
     g = g.withColumn("two_theta", B.angle_from_d(F.col("d"), wavelength)).where(
-        F.col("two_theta").between(lo - 0.5, hi + 0.5))
+        (F.col("two_theta") >= lo - 0.5) & (F.col("two_theta") <= hi + 0.5))
     c = F.col("centering")
     rel = (
         F.when(F.col("system") == "hexagonal", B.hcp_factor(h, k, l))
@@ -380,7 +380,8 @@ def lattice_search(peaks: DataFrame, keys: list[str], cells: DataFrame, toleranc
     sizes = settle(sizes)
     cell = ["structure", "centering", "system", "a", "c"]
     coarse = 3 * tolerance
-    refl = settle(phase_reflections(cells, cell, 0.0, 180.0))
+    span = used.agg(F.min("two_theta").alias("lo"), F.max("two_theta").alias("hi")).first()
+    refl = settle(phase_reflections(cells, cell, (span.lo or 0.0) - 1, (span.hi or 180.0) + 1))
     hit = greedy_match(candidate_pairs(used, refl, keys, cell, coarse), sizes, keys, cell, coarse)
     # cells without a single reflection near a peak all cost the same; the first stands for them
     blank = cells.groupBy("structure", "centering", "system").agg(F.min(F.struct("a", "c")).alias("_c")).select(
@@ -394,9 +395,9 @@ def lattice_search(peaks: DataFrame, keys: list[str], cells: DataFrame, toleranc
         *keys, "structure", "centering", "system", "_w.*"))
     trial = _fine(win, keys)
     fine_key = [*keys, *cell]
-    fine_refl = phase_reflections(trial, fine_key, 0.0, 180.0)
-    lim = used.groupBy(*keys).agg(F.min("two_theta").alias("_lo"), F.max("two_theta").alias("_hi"))
-    fine_refl = fine_refl.join(lim, keys).where(F.col("two_theta").between(F.col("_lo") - 1.5, F.col("_hi") + 1.5)).drop("_lo", "_hi")
+    # each pattern's own angle range keeps the fine reflections few before they are shuffled
+    lim = used.groupBy(*keys).agg((F.min("two_theta") - 1).alias("_lo"), (F.max("two_theta") + 1).alias("_hi"))
+    fine_refl = phase_reflections(trial.join(lim, keys), fine_key, F.col("_lo"), F.col("_hi"))
     fine = greedy_match(candidate_pairs(used, fine_refl, keys, cell, tolerance, shared=keys), sizes, keys, cell, tolerance)
     row = F.struct("a", "c", "cost", "matched", "rms_deg", "n")
     best = fine.groupBy(*keys, "structure", "centering", "system").agg(
