@@ -291,13 +291,6 @@ def d_ratio_class(spark, folder):
     return out.select("pattern_id", "likely_system", r("rmse").alias("rmse"))
 
 
-@register("lattice_search_cubic", "X20 X23 X24")
-def lattice_search_cubic(spark, folder):
-    cells = X.coarse_cells(spark).where("system = 'cubic'")
-    out = X.rank_candidates(X.lattice_search(_observed(spark, folder), K, cells), K)
-    return out.select("pattern_id", "structure", r("a", 4).alias("a"), "matched", r("score", 5).alias("score"), "rank")
-
-
 @register("lattice_report", "X25", oracle("pattern_points lattices", STRONG + ", " + PRESETS.replace("numbered AS", "numbered0 AS") + f""",
     numbered AS (SELECT * FROM numbered0 WHERE g0 = 17), """ + greedy_sql("numbered", 0.15, "g0", False) + f"""
     SELECT pattern_id, matched AS matched_reflections, {R('rms')} AS rms_deg FROM matched"""))
