@@ -8,7 +8,9 @@ a join side is broadcast only after its real size is known.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,35 @@ RUNTIME_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context.
+
+    Spark's own file server hands the archive out, so nothing has to be installed
+    or be on a path where the workers start.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_latticework_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        shutil.copytree(package, Path(folder, "in", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(), package.name)), "zip", Path(folder, "in"))
+    context.addPyFile(archive)
+    context._latticework_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set."""
+    """The shared folder named by the cluster; a private one only on a local master, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="latticework-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext.getCheckpointDir() is None:
