@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import ngram_join
+from latticework.llm import ngram_join, toxicity
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -19,6 +19,17 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    side = toxicity.remainder(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, labels, train=side != 2)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(side == 2, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"),
+        F.col("toxic").cast("int").alias("predicted"), F.col("toxic_clauses").alias("n_clauses"),
+    )
+
+
 @query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, folder, "documents"))
