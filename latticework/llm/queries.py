@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import ngram_join, toxicity
+from latticework.llm import ngram_join, toxicity, url_templates
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -33,3 +33,15 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, folder, "documents"))
+
+
+@query
+def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels come from the document that a url names: bad if of low quality or toxic."""
+    pages, labels = read_table(spark, folder, "pages"), read_table(spark, folder, "labels")
+    known = labels.groupBy(F.col("doc_id").alias("document")).agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
+    )
+    urls = pages.select("page_id", "url", url_templates.document_of(url_templates.path_of(F.col("url"))).alias("document"))
+    urls = urls.join(known, "document", "left").drop("document")
+    return url_templates.judged(urls).select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
