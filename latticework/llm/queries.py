@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import ngram_join, toxicity, url_templates
+from latticework.llm import ngram_join, packing, toxicity, url_templates
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -14,6 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = lambda spark, folder: fn(configure(spark), folder)
     return fn
@@ -35,6 +41,11 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, folder, "documents"))
 
 
+@query
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read_table(spark, folder, "documents"), tokenizer_path())
+
+
 @query
 def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Labels come from the document that a url names: bad if of low quality or toxic."""
