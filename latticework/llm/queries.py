@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import line_align, ngram_join, packing, toxicity, url_templates
+from latticework.llm import decontaminate, line_align, ngram_join, packing, toxicity, url_templates
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -41,6 +41,11 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, folder, "documents"))
 
 
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query
 def op7_line_align(spark: SparkSession, folder: str) -> DataFrame:
     return line_align.deduplicated(read_table(spark, folder, "documents").select("doc_id", "text"))
