@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import decontaminate, line_align, ngram_join, packing, toxicity, url_templates
+from latticework.llm import decontaminate, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -41,11 +41,29 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, folder, "documents"))
 
 
+@query
+def op3_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    side = toxicity.remainder(F.col("doc_id"), 5)
+    model = quality_mil.fit(docs, labels, where=side != 0)
+    return quality_mil.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(side == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+        F.col("good").cast("int").alias("predicted"), "n_passages", "top_attention",
+    )
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query
+def op6_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    forest = rule_forest.fit(docs, labels)
+    return rule_forest.judged(docs.select("doc_id", "text"), forest).drop("text")
+
+
 @query
 def op7_line_align(spark: SparkSession, folder: str) -> DataFrame:
     return line_align.deduplicated(read_table(spark, folder, "documents").select("doc_id", "text"))

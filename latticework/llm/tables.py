@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,10 +24,25 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: columnar, without lineage."""
-    path = shared_path(df.sparkSession, what)
+    """Write a table to the shared folder and read it back: columnar, without lineage.
+
+    What led to it is then garbage: the driver collects it, so that Spark's cleaner can
+    remove its shuffle files from the executors' disks.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    context = df.sparkSession.sparkContext
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]}:
+        target = context._jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,3 +78,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """doc_id, text, label of at most `bound` labelled documents, the first by hash; the ids fit a broadcast."""
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")

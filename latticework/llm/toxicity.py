@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from latticework.llm import transducers as fst
-from latticework.llm.tables import stored
+from latticework.llm.tables import labelled_sample, stored
 
 TRAIN_ROWS = 20_000
 STEMS = range(4, 9)
@@ -98,13 +98,6 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """doc_id, text, label of at most `bound` labelled documents, the first by hash; the ids fit a broadcast."""
-    one = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of toxic texts with their neighbours at the first place in the text, by fold."""
     for batch in batches:
