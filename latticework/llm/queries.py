@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import decontaminate, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates
+from latticework.llm import decontaminate, html_paths, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates
 from latticework.llm.tables import read_table
 from latticework.session import configure
 
@@ -57,6 +57,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query
+def op5_html_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html_paths.extracted(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op6_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
