@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import decontaminate, html_paths, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates
-from latticework.llm.tables import read_table
+from latticework.llm import decontaminate, html_paths, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates, warc
+from latticework.llm.tables import read_table, shared_path
 from latticework.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,17 @@ def op7_line_align(spark: SparkSession, folder: str) -> DataFrame:
     return line_align.deduplicated(read_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written to archives in the shared folder and read back."""
+    path = shared_path(spark, "warc")
+    warc.write(read_table(spark, folder, "pages").select("page_id", "url", "html"), path, compression="gzip")
+    return warc.read(spark, path).filter("gap is null").select(
+        warc.page_of(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest",
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read_table(spark, folder, "documents"), tokenizer_path())
