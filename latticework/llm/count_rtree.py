@@ -7,6 +7,8 @@ the sum of the minima with its upper corner.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -52,3 +54,19 @@ class CountTree:
         bound = np.minimum(point, self.points[nodes]).sum(axis=1)
         good = bound >= needed(size, self.sizes[nodes], part, whole)
         return self.order[nodes[good]], bound[good]
+
+    def searches(
+        self, names: np.ndarray, points: np.ndarray, sizes: np.ndarray, part: int, whole: int
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """`search` for many points, as (name, indexes, bounds); a tree of one node is scanned in one step."""
+        if len(self.levels) > 1:
+            for name, point, size in zip(names, points, sizes):
+                found, bound = self.search(point, size, part, whole)
+                if len(found):
+                    yield name, found, bound
+            return
+        for at in range(0, len(names), 256):
+            bound = np.minimum(points[at : at + 256, None, :], self.points).sum(axis=2)
+            good = bound >= needed(sizes[at : at + 256, None], self.sizes, part, whole)
+            for i in np.flatnonzero(good.any(axis=1)):
+                yield names[at + i], self.order[good[i]], bound[i][good[i]]

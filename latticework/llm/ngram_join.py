@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from latticework.llm import textops
 from latticework.llm.count_rtree import CountTree, needed
-from latticework.llm.tables import components, stored
+from latticework.llm.tables import components, dropped, stored
 
-GROUPS = 32
+GROUPS = 128
 CHUNK = 2048
 FREQUENT = 64
 MOST_FREQUENT = 2_000_000
+FILTER_BITS = 26
+SPREAD = int(np.array([textops.ODD], np.uint64).view(np.int64)[0])
 POINT = "doc_id long, n long, sig_a long, sig_b long, counts binary, prefix array<long>"
 
 
@@ -37,6 +39,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _signatures(bounds: np.ndarray, sets: np.ndarray) -> list[np.ndarray]:
+    """Two numbers per set that do not depend on the order of its members."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(sets ^ np.uint64(c)))]) for c in (0x51ED27, 0xB5297A4D)]
+        return [s[bounds[1:]] - s[bounds[:-1]] for s in sums]
+
+
 def _lengths(n: np.ndarray, part: int, whole: int) -> np.ndarray:
     return np.where(n > 0, n + (-part * n) // whole + 1, 0)
 
@@ -103,12 +112,9 @@ def shingle_points(docs: DataFrame, frequent: np.ndarray, k: int, part: int, who
                 spans = textops.words(offsets, data, fold=True)
                 bounds, sets = textops.shingle_sets(spans, rows, k)
                 of = np.repeat(np.arange(rows), np.diff(bounds))
-                counts = np.bincount(of * GROUPS + (sets >> np.uint64(59)).astype(np.int64), minlength=rows * GROUPS)
+                counts = np.bincount(of * GROUPS + (sets >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=rows * GROUPS)
                 counts = counts.reshape(rows, GROUPS).astype("<i4")
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(sets ^ np.uint64(c)))])
-                            for c in (0x51ED27, 0xB5297A4D)]
-                    sig = [s[bounds[1:]] - s[bounds[:-1]] for s in sums]
+                sig = _signatures(bounds, sets)
                 lead, ends = _ordered_prefix(sets, bounds, shared.value, part, whole)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, rows), pa.array(np.diff(bounds).astype(np.int64)),
@@ -151,23 +157,20 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _nearest(part: int, whole: int):
-    """For each class of a tree its closest earlier class by bound, and the tree's first class."""
+    """For each class of a tree its closest earlier class by bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 2):
             ids, sizes, points = group.column(2).to_numpy(), group.column(3).to_numpy(), _vectors(group.column(4))
             if len(ids) < 2:
                 continue
-            tree, a, b = CountTree(points, sizes), [], []
-            for i in range(1, len(ids)):
-                found, bound = tree.search(points[i], sizes[i], part, whole)
+            a, b = [], []
+            for i, found, bound in CountTree(points, sizes).searches(np.arange(len(ids)), points, sizes, part, whole):
                 earlier = found < i
                 if earlier.any():
                     found = found[earlier]
-                    best = bound[earlier] / (sizes[i] + sizes[found])
-                    for j in {int(found[best.argmax()]), int(found.min())}:
-                        a.append(ids[i])
-                        b.append(ids[j])
+                    a.append(ids[i])
+                    b.append(ids[found[(bound[earlier] / (sizes[i] + sizes[found])).argmax()]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -179,48 +182,85 @@ def _across(part: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 2):
             ids, sizes, points = group.column(2).to_numpy(), group.column(3).to_numpy(), _vectors(group.column(4))
-            component, indexed, asks = (group.column(c).to_numpy(zero_copy_only=False) for c in (5, 6, 7))
-            own = np.flatnonzero(indexed)
-            if not len(own):
+            component, indexed, asks = (group.column(c).to_numpy() for c in (5, 6, 7))
+            own, query = np.flatnonzero(indexed), np.flatnonzero(asks)
+            if not len(own) or not len(query):
                 continue
             tree = CountTree(points[own], sizes[own])
-            a, b = [], []
-            for i in np.flatnonzero(asks):
-                found = own[tree.search(points[i], sizes[i], part, whole)[0]]
-                found = found[component[found] != component[i]]
-                a.append(np.full(len(found), ids[i]))
-                b.append(ids[found])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            for i, found, _ in tree.searches(query, points[query], sizes[query], part, whole):
+                found = own[found]
+                found = ids[found[component[found] != component[i]]]
+                if len(found):
+                    at = np.full(len(found), ids[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(at, found)), pa.array(np.minimum(at, found))], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """Pairs whose texts link."""
-    pairs = pairs.filter("a <> b").distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = (
-        docs.join(ids, "doc_id", "left_semi").groupBy("doc_id")
-        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that has a bit set for every id."""
+    words = (
+        ids.select(F.expr(f"shiftrightunsigned(doc_id * {SPREAD}L, {64 - FILTER_BITS})").alias("at"))
+        .select(F.expr("shiftrightunsigned(at, 6)").alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _packed(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Compressed texts of the classes `ids` (doc_id, sig_a).
+
+    The bit table lets most other texts go before the shuffle; the join afterwards is
+    exact, so a crowded table only costs speed.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_bits(ids))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                at = batch.column(0).to_numpy().view(np.uint64) * np.uint64(textops.ODD) >> np.uint64(64 - FILTER_BITS)
+            hit = (table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            for row, end, offsets, data in textops.slices(batch.column(1)):
+                bounds, sets = textops.shingle_sets(textops.words(offsets, data, fold=True), end - row, k)
+                packed = [codec.compress(data[offsets[i] : offsets[i + 1]].tobytes(), asbytes=True) for i in range(end - row)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(row, end - row), pa.array(_signed(_signatures(bounds, sets)[0])),
+                    pa.array(np.diff(offsets)), pa.array(packed, pa.binary()),
+                ], ["doc_id", "sig_a", "size", "packed"])
+
+    packed = docs.filter("doc_id is not null").mapInArrow(pack, "doc_id long, sig_a long, size long, packed binary")
+    return packed.join(ids, ["doc_id", "sig_a"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs: DataFrame, packed: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """Pairs of classes whose texts link."""
+    text = F.struct("size", "packed")
+    both = pairs.join(packed.select(F.col("doc_id").alias("a"), text.alias("text_a")), "a")
+    both = both.join(packed.select(F.col("doc_id").alias("b"), text.alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for row, end, offsets, data in textops.slices(column):
+        codec = pa.Codec("zstd")
+
+        def sets(column: pa.StructArray) -> list[np.ndarray]:
+            texts = [codec.decompress(p, n, asbytes=True) for n, p in zip(column.field(0).to_pylist(), column.field(1).to_pylist())]
+            out = []
+            for row, end, offsets, data in textops.slices(pa.array(texts, pa.binary()).cast(pa.string())):
                 bounds, hashes = textops.shingle_sets(textops.words(offsets, data, fold=True), end - row, k)
-                for i in range(end - row):
-                    yield hashes[bounds[i] : bounds[i + 1]]
+                out += [hashes[bounds[i] : bounds[i + 1]] for i in range(end - row)]
+            return out
 
         for batch in batches:
-            good = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
-                joint = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(joint >= needed(len(x), len(y), part, whole))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                good = [
+                    len(x) + len(y) - len(np.union1d(x, y)) >= needed(len(x), len(y), part, whole)
+                    for x, y in zip(sets(some.column(2)), sets(some.column(3)))
+                ]
+                yield some.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
@@ -239,33 +279,40 @@ def jaccard_classes(
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
 
     `component_id` is the smallest doc_id reachable by links. Texts without words (or
-    null) have no shingles and link with nothing. Rows that share a doc_id count as one
-    document for links; rows with a null doc_id get a null component and link with nothing.
-    Columns other than doc_id and text are ignored.
+    null) have no shingles and link with nothing. Of several texts under one doc_id the
+    one with the least signature stands for the document; n_shingles is each row's own.
+    Rows with a null doc_id get a null component and link with nothing. Columns other
+    than doc_id and text are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     points = stored(shingle_points(docs, _frequent(docs, k, part, whole, frequent), k, part, whole), "points")
-    some = points.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    # rows of one doc_id with other texts lead to the classes of all of them
-    member = some.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["n", "sig_a", "sig_b"]).select("doc_id", "rep")
-    member = stored(member.distinct(), "members")
-    heads = some.join(
-        member.filter("doc_id = rep").select(F.col("doc_id")), "doc_id", "left_semi"
-    ).dropDuplicates(["n", "sig_a", "sig_b"])
-    heads = stored(heads, "heads")
+    sizes = stored(points.select("doc_id", "n"), "sizes")
+    member = (
+        points.filter("n > 0 and doc_id is not null").groupBy("doc_id")
+        .agg(F.min(F.struct("sig_a", "sig_b", "n")).alias("s")).select("doc_id", "s.*")
+    )
+    classes = member.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
+    member = stored(member.join(classes, ["n", "sig_a", "sig_b"]).select("doc_id", "sig_a", "rep"), "members")
+    reps = member.filter("doc_id = rep").select("doc_id", "sig_a")
+    heads = stored(points.join(reps, ["doc_id", "sig_a"], "left_semi").dropDuplicates(["doc_id"]), "heads")
+    dropped(points)
     postings = heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
     mask = F.xxhash64("id")
-    blocks = (
+    blocks = stored(
         postings.groupBy("token").agg(
-            F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+            F.count("*").alias("held"), F.min("id").alias("lo"), F.max("id").alias("hi"),
             F.sum(mask.bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"), F.sum(F.shiftrightunsigned(mask, 33)).alias("t"),
         ).filter("lo < hi")
         # shingles with the same classes need one tree
-        .groupBy("n", "lo", "hi", "s", "t").agg(F.min("token").alias("token"))
+        .groupBy("held", "lo", "hi", "s", "t").agg(F.min("token").alias("token")).select("token", "held", "lo"), "blocks",
+    )
+    trees = stored(
+        postings.join(blocks.select("token", "held"), "token")
+        .join(heads.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "counts"), "id"), "trees",
     )
-    trees = postings.join(blocks.select("token", F.col("n").alias("held")), "token")
-    trees = stored(trees.join(heads.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "counts"), "id"), "trees")
+    dropped(heads)
+    ids = trees.select(F.col("id").alias("doc_id")).distinct().join(reps, "doc_id")
+    packed = stored(_packed(docs, stored(ids, "ids"), k), "packed")
     near = _dealt(trees.withColumn("chunk", _chunk(F.col("id"), F.col("held"))), "token", "chunk")
     near = near.select("token", "chunk", "id", "size", "counts").mapInArrow(_nearest(part, whole), "a long, b long")
     across_chunks = (
@@ -273,32 +320,31 @@ def jaccard_classes(
         .groupBy("token", _chunk(F.col("id"), F.col("held")).alias("chunk")).agg(F.min("id").alias("a"))
         .join(blocks.select("token", F.col("lo").alias("b")), "token").select("a", "b")
     )
-    links = stored(_verified(near.unionByName(across_chunks), docs, k, part, whole), "links")
-    same_id = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = components(links.unionByName(same_id))
+    near = near.unionByName(across_chunks).filter("a <> b")
+    near = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
+    links = stored(_verified(near, packed, k, part, whole), "links")
+    first = components(links)
     placed = trees.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts"))
     placed = placed.join(mixed.filter("parts > 1").select("token", "main"), "token")
-    asks = F.col("component") != F.col("main")
     pieces = F.ceil(F.col("held") / CHUNK)
-    placed = placed.withColumn("own", _chunk(F.col("id"), F.col("held"))).withColumn("asks", asks)
+    placed = placed.withColumn("own", _chunk(F.col("id"), F.col("held"))).withColumn("asks", F.col("component") != F.col("main"))
     placed = placed.withColumn(
         "chunk", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array("own")))
     ).withColumn("indexed", F.col("chunk") == F.col("own"))
     rest = _dealt(placed, "token", "chunk").select("token", "chunk", "id", "size", "counts", "component", "indexed", "asks")
-    rest = _verified(rest.mapInArrow(_across(part, whole), "a long, b long"), docs, k, part, whole)
-    final = components(links.unionByName(same_id).unionByName(rest))
-    found = final.withColumnRenamed("node", "doc_id")
-    return (
-        points.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(found, "doc_id", "left")
-        .select(
-            "doc_id", "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        )
+    rest = stored(rest.mapInArrow(_across(part, whole), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "across")
+    dropped(trees)
+    links = stored(links.unionByName(_verified(rest, packed, k, part, whole)), "links")
+    dropped(packed)
+    found = member.join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
+    found = found.select("doc_id", F.coalesce("component", "rep").alias("component"))
+    return sizes.join(found, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
