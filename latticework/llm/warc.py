@@ -150,6 +150,21 @@ def read_plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
         at = following
 
 
+def _before_error(data: bytes, at: int, step: int = 4096) -> bytes:
+    """What the deflate data of a broken member gives up to the error: in steps, the last one byte by byte."""
+    unpack, out = zlib.decompressobj(31), []
+    while at < len(data) and not unpack.eof:
+        kept = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[at : at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, step = kept, 1
+    return b"".join(out)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What a gzip member at `at` gives, where it ends, whether it is whole."""
     unpack, out, i = zlib.decompressobj(31), [], at
@@ -158,7 +173,7 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
             out.append(unpack.decompress(data[i : i + CHUNK]))
             i += CHUNK
     except zlib.error:
-        return b"".join(out), min(i, len(data)), False
+        return _before_error(data, at), min(i, len(data)), False
     return b"".join(out), min(i, len(data)) - len(unpack.unused_data), unpack.eof
 
 
