@@ -199,8 +199,10 @@ def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: in
     blocks = stored(blocks.distinct().groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "last")).alias("blocks")), "blocks")
     dropped(texts)
     names = docs.columns
+    # a merge join whatever the number of changed texts, so small and large corpora behave alike
     joined = docs.alias("d").withColumn("_key", F.col("doc_id").cast("long")).withColumn("_sig", F.xxhash64("text")).join(
-        blocks.select(F.col("doc_id").alias("_key"), F.col("sig").alias("_sig"), F.col("blocks").alias("_blocks")), ["_key", "_sig"], "left"
+        blocks.select(F.col("doc_id").alias("_key"), F.col("sig").alias("_sig"), F.col("blocks").alias("_blocks")).hint("merge"),
+        ["_key", "_sig"], "left",
     ).select(*[F.col(f"d.{n}") for n in names], "_blocks")
     at = names.index("text")
 
