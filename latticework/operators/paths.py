@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,29 +255,116 @@ def edge_repair(path: DataFrame, sides: DataFrame, width: int, height: int, edge
     return rows.withColumn("y_repaired", F.when(F.col("stable_median").isNotNull() & F.col("y").isNotNull(), new).otherwise(F.col("y"))).select(*SC, "y", "y_repaired")
 
 
-def risk_features(cands: DataFrame) -> DataFrame:
-    """Per column: count, confidence margin and entropy, height gap of the best two, axis distance."""
-    n = cands.groupBy(*SC).agg(F.count(F.lit(1)).alias("candidate_count"), F.sum("confidence").alias("_s"))
-    p = F.greatest(F.col("confidence") / F.col("_s"), F.lit(1e-12))
-    ent = cands.join(n.select(*SC, "_s"), SC).groupBy(*SC).agg(F.sum(-p * F.log(p)).alias("_h"))
+@dataclass(frozen=True)
+class RiskRules:
+    """Thresholds of the column risk rules and of the segments made of risky columns."""
+
+    conf_margin: float = 0.08
+    entropy_high: float = 1.2
+    count_high: int = 6
+    y_gap: float = 8.0
+    y_gap_margin: float = 0.15
+    peak_margin: float = 0.18
+    axis_distance: float = 2.5
+    block_margin: float = 0.12
+    boundary_axis: float = 1.2
+    peak_radius: int = 12
+    local_window: int = 2
+    taxonomy_margin: float = 0.25
+    taxonomy_count: int = 4
+    entropy_requires_margin: bool = False
+    taxonomy_requires_margin: bool = False
+    dilate_radius: int = 3
+    merge_gap: int = 2
+    least_columns: int = 6
+
+
+# fixed values: sample labels that put columns at risk
+RISKY_LABELS = ("grid_confusion", "peak_miss_after_smoothing")
+
+
+def risk_features(cands: DataFrame, width: int, height: int, blocks: DataFrame | None = None, peaks: DataFrame | None = None,
+                  rules: RiskRules = RiskRules()) -> DataFrame:
+    """Per column with candidates: best two, count, entropy (plain sum over shares), neighbourhood and block figures.
+
+    ``blocks`` (sample_id, block_start, block_end, margin) and ``peaks`` (sample_id, col) may be left out.
+    """
+    clipped = F.least(F.greatest(F.col("confidence"), F.lit(1e-12)), F.lit(1.0))
+    n = cands.groupBy(*SC).agg(F.count(F.lit(1)).alias("candidate_count"), F.sum(clipped).alias("_s"))
+    p = clipped / F.col("_s")
+    ent = cands.join(n.select(*SC, "_s"), SC).groupBy(*SC).agg(F.sum(-p * F.log(p)).alias("conf_entropy"))
+    row = ("confidence", "y", "axis_dist", "comp_score")
     order = Window.partitionBy(*SC).orderBy(F.desc("confidence"), "cand_id")
     two = cands.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
-    pick = lambda k: F.max(F.when(F.col("_r") == k, F.struct("confidence", "y", "axis_dist")))
+    pick = lambda k: F.max(F.when(F.col("_r") == k, F.struct(*row)))
     top = two.groupBy(*SC).agg(pick(1).alias("a"), pick(2).alias("b"))
-    out = n.join(top, SC).join(ent, SC)
+    reach = F.sequence(F.col("col") - rules.local_window, F.col("col") + rules.local_window)
+    near = cands.groupBy(*SC).agg(*[F.sum(v).alias(f"_{m}") for m, v in {
+        "k": F.lit(1), "y": F.col("y"), "yy": F.col("y") * F.col("y"), "c": F.col("confidence"), "cc": F.col("confidence") * F.col("confidence")}.items()])
+    near = near.withColumn("_j", F.explode(reach)).groupBy("sample_id", F.col("_j").alias("col")).agg(
+        *[F.sum(f"_{m}").alias(f"_{m}") for m in ("k", "y", "yy", "c", "cc")],
+        (F.count_if(F.col("col") == F.col("_j") - 1) + F.count_if(F.col("col") == F.col("_j") + 1)).alias("_beside"))
+    spread = lambda m: F.sqrt(F.greatest(F.col(f"_{m}{m}") / F.col("_k") - F.pow(F.col(f"_{m}") / F.col("_k"), 2), F.lit(0.0)))
+    inside = (F.col("col") > 0).cast("int") + (F.col("col") < width - 1).cast("int")
+    out = n.join(top, SC).join(ent, SC).join(near, SC)
+    if blocks is not None:
+        cover = blocks.withColumn("col", F.explode(F.sequence("block_start", "block_end"))).groupBy(*SC).agg(
+            F.min_by("margin", "block_start").alias("block_margin"))
+        out = out.join(cover, SC, "left")
+    else:
+        out = out.withColumn("block_margin", F.lit(None).cast("double"))
+    if peaks is not None:
+        around = F.explode(F.sequence(F.col("col") - rules.peak_radius, F.col("col") + rules.peak_radius))
+        out = out.join(peaks.select("sample_id", around.alias("col")).distinct().withColumn("_peak", F.lit(True)), SC, "left")
+    else:
+        out = out.withColumn("_peak", F.lit(False))
+    y1, axis = F.col("a.y"), F.col("a.axis_dist")
     return out.select(
-        *SC, "candidate_count", (F.col("a.confidence") - F.coalesce("b.confidence", "a.confidence")).alias("conf_margin"),
-        F.when(F.col("candidate_count") > 1, F.col("_h") / F.log(F.col("candidate_count").cast("double"))).otherwise(0.0).alias("conf_entropy"),
-        F.abs(F.col("a.y") - F.coalesce("b.y", "a.y")).cast("double").alias("y_gap"), F.col("a.axis_dist").alias("axis_dist"))
-
-
-def risk_reasons(margin_thr: float, entropy_thr: float, count_thr: int, axis_thr: float, gap_thr: float, gap_margin: float) -> Column:
-    low = F.col("conf_margin") < margin_thr
+        *SC, "candidate_count", F.col("a.confidence").alias("top1_conf"), F.coalesce("b.confidence", "a.confidence").alias("top2_conf"),
+        (F.col("a.confidence") - F.coalesce("b.confidence", "a.confidence")).alias("conf_margin"), "conf_entropy",
+        axis.alias("axis_dist"), F.col("a.comp_score").alias("comp_score"), F.abs(y1 - F.coalesce("b.y", "a.y")).cast("double").alias("y_gap"),
+        (inside - F.col("_beside")).cast("int").alias("empty_neighbours"), F.coalesce("_peak", F.lit(False)).alias("near_peak"),
+        spread("y").alias("local_y_std"), spread("c").alias("local_conf_std"), "block_margin",
+        F.coalesce(F.col("block_margin") < rules.block_margin, F.lit(False)).alias("block_margin_low"),
+        ((y1 <= 2) | (y1 >= height - 3) | F.coalesce(axis < rules.boundary_axis, F.lit(False))).alias("boundary_nearby"))
+
+
+def risk_reasons(rules: RiskRules = RiskRules(), labelled: Column | None = None) -> Column:
+    """Names of the rules that a column breaks; ``labelled`` tells whether its sample carries a risky label."""
+    margin, count = F.col("conf_margin"), F.col("candidate_count")
+    low = margin < rules.conf_margin
+    crowded = (count >= rules.count_high) & (F.col("conf_entropy") > rules.entropy_high)
+    by_label = (low | crowded) if rules.taxonomy_requires_margin else ((margin < rules.taxonomy_margin) | (count >= rules.taxonomy_count))
     return F.array_compact(F.array(
         F.when(low, "low_conf_margin"),
-        F.when((F.col("candidate_count") >= count_thr) & (F.col("conf_entropy") > entropy_thr), "high_entropy_many_cands"),
-        F.when(F.col("axis_dist") < axis_thr, "axis_proximity_risk"),
-        F.when((F.col("y_gap") >= gap_thr) & (F.col("conf_margin") < gap_margin), "large_y_gap_low_margin")))
+        F.when(crowded & low if rules.entropy_requires_margin else crowded, "high_entropy_many_cands"),
+        F.when(F.col("axis_dist") < rules.axis_distance, "axis_proximity_risk"),
+        F.when((F.col("y_gap") >= rules.y_gap) & (margin < rules.y_gap_margin), "large_y_gap_low_margin"),
+        F.when(F.col("near_peak") & (margin < rules.peak_margin), "peak_window_low_margin"),
+        F.when(F.lit(False) if labelled is None else labelled & by_label, "taxonomy_prior"),
+        F.when(F.col("block_margin_low"), "dp_margin_low")))
+
+
+def risk_summary(features: DataFrame, width: int, rules: RiskRules = RiskRules()) -> DataFrame:
+    """Per sample: risky columns before and after the label rule, dilation and merging, with shares of the width.
+
+    ``features`` has ``reasons`` (all rules) and ``reasons_raw`` (without the label rule).
+    """
+    raw = features.groupBy("sample_id").agg(
+        F.count_if(F.size("reasons_raw") > 0).alias("risky_raw"), F.count_if(F.size("reasons") > 0).alias("risky_labelled"))
+    wide = dilate(features.where(F.size("reasons") > 0).select(*SC, "reasons"), width, rules.dilate_radius)
+    counted = wide.groupBy("sample_id").agg(F.count(F.lit(1)).alias("risky_dilated"))
+    seg = risk_segments(wide, rules.merge_gap, rules.least_columns).groupBy("sample_id").agg(
+        F.sum("segment_len").alias("risky_merged"), F.count(F.lit(1)).alias("segments"))
+    names = ["risky_raw", "risky_labelled", "risky_dilated", "risky_merged"]
+    out = raw.join(counted, "sample_id", "left").join(seg, "sample_id", "left").fillna(0, [*names, "segments"])
+    return out.select("sample_id", *names, "segments", *[(F.col(n) / max(1, width)).alias(n.replace("risky", "ratio")) for n in names])
+
+
+def risk_reason_counts(features: DataFrame, width: int) -> DataFrame:
+    """Per sample and rule: columns that break it, before the label rule, and their share of the width."""
+    return features.select("sample_id", F.explode("reasons_raw").alias("reason")).groupBy("sample_id", "reason").agg(
+        F.count(F.lit(1)).alias("columns")).withColumn("ratio", F.col("columns") / max(1, width))
 
 
 def dilate(risky: DataFrame, width: int, radius: int) -> DataFrame:

@@ -57,9 +57,9 @@ SCORED = """scored AS (SELECT *, confidence + CASE WHEN count(*) OVER w >= 8 AND
 
 
 @register("candidate_topk", "K4", oracle("candidates", SCORED + f"""
-    SELECT sample_id, col, cand_id, y, {R('rank_score')} AS rank_score, rank FROM ranked WHERE rank <= 5"""))
+    SELECT sample_id, col, cand_id, y, {R('rank_score')} AS rank_score, rank FROM ranked WHERE rank <= 16"""))
 def candidate_topk(spark, folder):
-    return C.filter_top(cands(spark, folder), keep=5).select("sample_id", "col", "cand_id", "y", r("rank_score").alias("rank_score"), "rank")
+    return C.filter_top(cands(spark, folder)).select("sample_id", "col", "cand_id", "y", r("rank_score").alias("rank_score"), "rank")
 
 
 @register("neighbour_bonus", "K5", oracle("candidates", f"""
@@ -78,19 +78,19 @@ def column_rank_norm(spark, folder):
 
 
 @register("source_quota", "K8", oracle("candidates", SCORED + """,
-    tagged AS (SELECT *, row_number() OVER (PARTITION BY sample_id, col, source = 'raw' ORDER BY CASE WHEN rank <= 4 THEN 0 ELSE 1 END, confidence DESC, cand_id) AS pool FROM ranked),
-    want AS (SELECT * FROM tagged WHERE rank <= 4 OR (source = 'raw' AND pool <= 2))
+    tagged AS (SELECT *, row_number() OVER (PARTITION BY sample_id, col, source = 'raw' ORDER BY CASE WHEN rank <= 16 THEN 0 ELSE 1 END, confidence DESC, cand_id) AS pool FROM ranked),
+    want AS (SELECT * FROM tagged WHERE rank <= 16 OR (source = 'raw' AND pool <= 2))
     SELECT sample_id, col, cand_id, row_number() OVER (PARTITION BY sample_id, col ORDER BY CASE WHEN source = 'raw' THEN 0 ELSE 1 END, confidence DESC, cand_id) AS rank
-    FROM want QUALIFY rank <= 4""".replace("QUALIFY rank <= 4", "QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY CASE WHEN source = 'raw' THEN 0 ELSE 1 END, confidence DESC, cand_id) <= 4")))
+    FROM want QUALIFY rank <= 16""".replace("QUALIFY rank <= 16", "QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY CASE WHEN source = 'raw' THEN 0 ELSE 1 END, confidence DESC, cand_id) <= 16")))
 def source_quota(spark, folder):
-    return C.source_quota(cands(spark, folder), keep=4).select("sample_id", "col", "cand_id", "rank")
+    return C.source_quota(cands(spark, folder)).select("sample_id", "col", "cand_id", "rank")
 
 
 @register("y_diversity", "K9", oracle("candidates", SCORED + """,
     b AS (SELECT *, least(7, greatest(0, CAST(floor((y - min(y) OVER w) * 8.0 / greatest(1, max(y) OVER w - min(y) OVER w + 1)) AS INT))) AS y_bin FROM ranked WINDOW w AS (PARTITION BY sample_id, col))
-    SELECT sample_id, col, cand_id, y_bin, rank FROM b WHERE rank <= 6"""))
+    SELECT sample_id, col, cand_id, y_bin, rank FROM b WHERE rank <= 16"""))
 def y_diversity(spark, folder):
-    return C.y_diversity(cands(spark, folder), keep=6).select("sample_id", "col", "cand_id", "y_bin", "rank")
+    return C.y_diversity(cands(spark, folder)).select("sample_id", "col", "cand_id", "y_bin", "rank")
 
 
 FILL = """rowsx AS (SELECT t.sample_id, t.col, u.uy FROM trace t LEFT JOIN (SELECT sample_id, col, min(y)::DOUBLE AS uy FROM candidates WHERE (col + sample_id) % 11 NOT IN (3, 5, 6, 7, 8, 9, 10) GROUP BY 1, 2) u USING (sample_id, col)),
@@ -115,10 +115,10 @@ def column_fill(spark, folder):
 HINTED = """hints AS (SELECT sample_id, col, avg(y) AS hint FROM candidates WHERE source = 'skeleton' GROUP BY 1, 2),
     ps AS (SELECT c.*, confidence + coalesce(0.16 * exp(-abs(y - hint) / 11.0), 0) AS pick_score FROM candidates c LEFT JOIN hints USING (sample_id, col)),
     ded AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY sample_id, col, round_even(comp_score, 2) ORDER BY pick_score DESC, cand_id) = 1),
-    final AS (SELECT *, row_number() OVER (PARTITION BY sample_id, col ORDER BY pick_score DESC, cand_id) AS rank FROM ded QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY pick_score DESC, cand_id) <= 4)"""
+    final AS (SELECT *, row_number() OVER (PARTITION BY sample_id, col ORDER BY pick_score DESC, cand_id) AS rank FROM ded QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY pick_score DESC, cand_id) <= 8)"""
 
 
-def _final(spark, folder, keep=4):
+def _final(spark, folder, keep=C.KEEP_FINAL):
     c = cands(spark, folder)
     hints = c.where("source = 'skeleton'").groupBy("sample_id", "col").agg(F.avg("y").alias("hint"))
     return C.final_pick(c, hints, keep)
@@ -149,9 +149,9 @@ def merge_heights(spark, folder):
 
 @register("second_recipe", "K16", oracle("candidates", "good AS (SELECT * FROM candidates WHERE confidence >= 0.3 AND comp_score >= 2), " + CHAIN.replace("SRC", "good") + """
     SELECT sample_id, col, b[1] AS y, b[2] AS confidence, row_number() OVER (PARTITION BY sample_id, col ORDER BY b[2] DESC, b[1]) AS rank FROM mg
-    QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY b[2] DESC, b[1]) <= 3"""))
+    QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY b[2] DESC, b[1]) <= 12"""))
 def second_recipe(spark, folder):
-    return C.second_recipe(cands(spark, folder), 0.3, 2.0, 3, 3).select("sample_id", "col", "y", "confidence", "rank")
+    return C.second_recipe(cands(spark, folder), 0.3, 2.0, 3).select("sample_id", "col", "y", "confidence", "rank")
 
 
 @register("stage_counts", "K17", oracle("candidates trace", HINTED + f""", n AS (SELECT sample_id, count(*) AS t FROM trace GROUP BY 1),
@@ -291,47 +291,81 @@ def edge_repair(spark, folder):
     return Q.edge_repair(I.trace(spark, folder), _edges(spark, folder), 64, 60).select("sample_id", "col", "y_repaired")
 
 
-RISK = MARGIN + """, tot AS (SELECT sample_id, col, count(*) AS n, sum(confidence) AS s FROM candidates GROUP BY 1, 2),
-    en AS (SELECT c.sample_id, c.col, sum(-greatest(confidence / s, 1e-12) * ln(greatest(confidence / s, 1e-12))) AS h FROM candidates c JOIN tot USING (sample_id, col) GROUP BY 1, 2),
-    tp AS (SELECT sample_id, col, max(CASE WHEN k = 1 THEN confidence END) AS c1, max(CASE WHEN k = 2 THEN confidence END) AS c2, max(CASE WHEN k = 1 THEN y END) AS y1, max(CASE WHEN k = 2 THEN y END) AS y2, max(CASE WHEN k = 1 THEN axis_dist END) AS ax
+# written from the rule text: plain joins, no shared sums
+RISK = """cl AS (SELECT *, least(greatest(confidence, 1e-12), 1.0) AS cf FROM candidates),
+    tot AS (SELECT sample_id, col, count(*) AS n, sum(cf) AS s FROM cl GROUP BY 1, 2),
+    en AS (SELECT c.sample_id, c.col, -sum(cf / s * ln(cf / s)) AS ent FROM cl c JOIN tot USING (sample_id, col) GROUP BY 1, 2),
+    tp AS (SELECT sample_id, col, max(CASE WHEN k = 1 THEN confidence END) AS c1, max(CASE WHEN k = 2 THEN confidence END) AS c2, max(CASE WHEN k = 1 THEN y END) AS y1, max(CASE WHEN k = 2 THEN y END) AS y2,
+        max(CASE WHEN k = 1 THEN axis_dist END) AS ax, max(CASE WHEN k = 1 THEN comp_score END) AS comp
       FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, col ORDER BY confidence DESC, cand_id) AS k FROM candidates) WHERE k <= 2 GROUP BY 1, 2),
-    ft AS (SELECT sample_id, col, n, c1 - coalesce(c2, c1) AS cm, CASE WHEN n > 1 THEN h / ln(n) ELSE 0 END AS ent, abs(y1 - coalesce(y2, y1))::DOUBLE AS gap, ax FROM tp JOIN tot USING (sample_id, col) JOIN en USING (sample_id, col)),
-    fl AS (SELECT *, list_filter([CASE WHEN cm < 0.05 THEN 'low_conf_margin' END, CASE WHEN n >= 9 AND ent > 0.92 THEN 'high_entropy_many_cands' END, CASE WHEN ax < 2 THEN 'axis_proximity_risk' END,
-      CASE WHEN gap >= 20 AND cm < 0.15 THEN 'large_y_gap_low_margin' END], lambda x: x IS NOT NULL) AS rs FROM ft)"""
+    sp AS (SELECT sample_id, col, unnest([col - 2, col - 1, col, col + 1, col + 2]) AS j, y, confidence FROM candidates),
+    lo AS (SELECT sample_id, j AS col, stddev_pop(y) AS ys, stddev_pop(confidence) AS cs, count(DISTINCT CASE WHEN abs(col - j) = 1 THEN col END) AS beside FROM sp GROUP BY 1, 2),
+    sta AS (SELECT sample_id, col, y + confidence * 10 + cand_id % 1000 / 1000.0 AS cost FROM candidates),
+    be AS (SELECT sample_id, col // 16 AS block, max(col) AS ce FROM sta GROUP BY 1, 2),
+    bk AS (SELECT s.sample_id, e.block, cost, row_number() OVER (PARTITION BY s.sample_id, e.block ORDER BY cost) AS rk FROM sta s JOIN be e ON e.sample_id = s.sample_id AND s.col = e.ce),
+    bm AS (SELECT sample_id, block, max(cost) FILTER (rk = 2) - max(cost) FILTER (rk = 1) AS bmargin FROM bk GROUP BY 1, 2),
+    pkc AS (SELECT sample_id, arg_min(col, row(y, col)) AS pc FROM trace WHERE y IS NOT NULL GROUP BY 1),
+    ft AS (SELECT tp.sample_id, tp.col, n, c1, coalesce(c2, c1) AS c2, c1 - coalesce(c2, c1) AS cm, ent, abs(y1 - coalesce(y2, y1))::DOUBLE AS gap, ax, comp,
+        CAST((tp.col > 0)::INT + (tp.col < 63)::INT - beside AS INT) AS empties, coalesce(abs(tp.col - pc) <= 12, false) AS np, ys, lo.cs AS lcs, bmargin, coalesce(bmargin < 0.12, false) AS bl,
+        (y1 <= 2 OR y1 >= 57 OR ax < 1.2) AS edge, tp.sample_id % 3 = 0 AS tax
+      FROM tp JOIN tot USING (sample_id, col) JOIN en USING (sample_id, col) JOIN lo USING (sample_id, col)
+      LEFT JOIN bm ON bm.sample_id = tp.sample_id AND bm.block = tp.col // 16 LEFT JOIN pkc ON pkc.sample_id = tp.sample_id),
+    fr AS (SELECT *, list_filter([CASE WHEN cm < 0.08 THEN 'low_conf_margin' END, CASE WHEN n >= 6 AND ent > 1.2 THEN 'high_entropy_many_cands' END, CASE WHEN ax < 2.5 THEN 'axis_proximity_risk' END,
+        CASE WHEN gap >= 8 AND cm < 0.15 THEN 'large_y_gap_low_margin' END, CASE WHEN np AND cm < 0.18 THEN 'peak_window_low_margin' END], lambda x: x IS NOT NULL) AS r0,
+      list_filter([CASE WHEN bl THEN 'dp_margin_low' END], lambda x: x IS NOT NULL) AS r2 FROM ft),
+    fl AS (SELECT *, list_concat(r0, r2) AS rw, list_concat(list_concat(r0, CASE WHEN tax AND (cm < 0.25 OR n >= 4) THEN ['taxonomy_prior'] ELSE [] END), r2) AS rs FROM fr)"""
+SEGMENTS = RISK + """,
+    dl AS (SELECT sample_id, j AS col, arg_min(CASE WHEN j = c THEN rs ELSE list_append(rs, 'dilated_neighbor') END, row(CASE WHEN j = c THEN 0 ELSE 1 END, c)) AS rs
+      FROM (SELECT sample_id, col AS c, rs, unnest(range(col - 3, col + 4)) AS j FROM fl WHERE len(rs) > 0) WHERE j BETWEEN 0 AND 63 GROUP BY 1, 2),
+    sg AS (SELECT *, CASE WHEN col - lag(col) OVER (PARTITION BY sample_id ORDER BY col) <= 3 THEN 0 ELSE 1 END AS o FROM dl),
+    sq AS (SELECT *, sum(o) OVER (PARTITION BY sample_id ORDER BY col) AS g FROM sg),
+    se AS (SELECT sample_id, CAST(min(col) AS INT) AS segment_start, CAST(max(col) AS INT) AS segment_end, CAST(max(col) - min(col) + 1 AS INT) AS segment_len,
+        array_to_string(list_sort(list_distinct(flatten(list(rs)))), ';') AS risk_reasons FROM sq GROUP BY sample_id, g HAVING max(col) - min(col) + 1 >= 6)"""
 
 
 def _risky(spark, folder):
-    f = Q.risk_features(cands(spark, folder))
-    return f.withColumn("reasons", Q.risk_reasons(0.05, 0.92, 9, 2.0, 20.0, 0.15))
+    """Blocks from the candidates' own costs, the highest trace point as peak, every third sample labelled."""
+    c, t = cands(spark, folder), I.trace(spark, folder)
+    states = c.select("sample_id", "col", (F.col("y") + F.col("confidence") * 10 + F.col("cand_id") % 1000 / 1000.0).alias("cost"))
+    peaks = t.where("y IS NOT NULL").groupBy("sample_id").agg(F.min_by("col", F.struct("y", "col")).alias("col"))
+    f = Q.risk_features(c, 64, 60, Q.block_stats(states, 16), peaks)
+    return f.withColumn("reasons_raw", Q.risk_reasons()).withColumn("reasons", Q.risk_reasons(labelled=F.col("sample_id") % 3 == 0))
 
 
-@register("risk_features", "K39 K40", oracle("candidates", RISK + f"""
-    SELECT sample_id, col, n AS candidate_count, {R('cm')} AS conf_margin, {R('ent')} AS conf_entropy, gap AS y_gap, ax AS axis_dist, array_to_string(rs, ';') AS reasons FROM fl"""))
+@register("risk_features", "K39 K40", oracle("candidates trace", RISK + f"""
+    SELECT sample_id, col, n AS candidate_count, {R('c1')} AS top1_conf, {R('c2')} AS top2_conf, {R('cm')} AS conf_margin, {R('ent')} AS conf_entropy, gap AS y_gap, ax AS axis_dist, {R('comp')} AS comp_score, empties AS empty_neighbours,
+      CAST(np AS INT) AS near_peak, {R('ys', 4)} AS local_y_std, {R('lcs', 4)} AS local_conf_std, {R('bmargin', 4)} AS block_margin, CAST(edge AS INT) AS boundary_nearby, array_to_string(rs, ';') AS reasons FROM fl"""))
 def risk_features(spark, folder):
-    return _risky(spark, folder).select("sample_id", "col", "candidate_count", r("conf_margin").alias("conf_margin"), r("conf_entropy").alias("conf_entropy"), "y_gap", "axis_dist", F.concat_ws(";", "reasons").alias("reasons"))
+    return _risky(spark, folder).select(
+        "sample_id", "col", "candidate_count", *[r(n).alias(n) for n in ("top1_conf", "top2_conf", "conf_margin", "conf_entropy", "comp_score")], "y_gap", "axis_dist",
+        "empty_neighbours", *[F.col(n).cast("int").alias(n) for n in ("near_peak", "boundary_nearby")],
+        *[r(n, 4).alias(n) for n in ("local_y_std", "local_conf_std", "block_margin")], F.concat_ws(";", "reasons").alias("reasons"))
 
 
-@register("risk_segments", "K41 K42", oracle("candidates", RISK + """,
-    rk AS (SELECT sample_id, col, rs FROM fl WHERE len(rs) >= 2),
-    dl AS (SELECT sample_id, j AS col, arg_min(CASE WHEN j = c THEN rs ELSE list_append(rs, 'dilated_neighbor') END, row(CASE WHEN j = c THEN 0 ELSE 1 END, c)) AS rs
-      FROM (SELECT sample_id, col AS c, rs, unnest([col - 1, col, col + 1]) AS j FROM rk) WHERE j BETWEEN 0 AND 63 GROUP BY 1, 2),
-    sg AS (SELECT *, CASE WHEN col - lag(col) OVER (PARTITION BY sample_id ORDER BY col) <= 3 THEN 0 ELSE 1 END AS o FROM dl),
-    sq AS (SELECT *, sum(o) OVER (PARTITION BY sample_id ORDER BY col) AS g FROM sg)
-    SELECT sample_id, min(col) AS segment_start, max(col) AS segment_end, max(col) - min(col) + 1 AS segment_len, array_to_string(list_sort(list_distinct(flatten(list(rs)))), ';') AS risk_reasons FROM sq
-    GROUP BY sample_id, g HAVING max(col) - min(col) + 1 >= 6"""))
+@register("risk_segments", "K41 K42", oracle("candidates trace", SEGMENTS + " SELECT * FROM se"))
 def risk_segments(spark, folder):
-    risky = _risky(spark, folder).where(F.size("reasons") >= 2).select("sample_id", "col", "reasons")
-    return Q.risk_segments(Q.dilate(risky, 64, 1)).select("sample_id", "segment_start", "segment_end", "segment_len", "risk_reasons")
+    risky = _risky(spark, folder).where(F.size("reasons") > 0).select("sample_id", "col", "reasons")
+    out = Q.risk_segments(Q.dilate(risky, 64, 3))
+    return out.select("sample_id", *[F.col(n).cast("int").alias(n) for n in ("segment_start", "segment_end", "segment_len")], "risk_reasons")
+
+
+@register("risk_summary", "K43", oracle("candidates trace", SEGMENTS + f""",
+    a AS (SELECT sample_id, count(*) FILTER (len(rw) > 0) AS risky_raw, count(*) FILTER (len(rs) > 0) AS risky_labelled FROM fl GROUP BY 1),
+    b AS (SELECT sample_id, count(*) AS risky_dilated FROM dl GROUP BY 1),
+    c AS (SELECT sample_id, CAST(sum(segment_len) AS BIGINT) AS risky_merged, count(*) AS segments FROM se GROUP BY 1)
+    SELECT sample_id, risky_raw, risky_labelled, coalesce(risky_dilated, 0) AS risky_dilated, coalesce(risky_merged, 0) AS risky_merged, coalesce(segments, 0) AS segments,
+      {R('risky_raw / 64.0')} AS ratio_raw, {R('risky_labelled / 64.0')} AS ratio_labelled, {R('coalesce(risky_dilated, 0) / 64.0')} AS ratio_dilated, {R('coalesce(risky_merged, 0) / 64.0')} AS ratio_merged
+    FROM a LEFT JOIN b USING (sample_id) LEFT JOIN c USING (sample_id)"""))
+def risk_summary(spark, folder):
+    out = Q.risk_summary(_risky(spark, folder), 64)
+    return out.select("sample_id", "risky_raw", "risky_labelled", "risky_dilated", "risky_merged", "segments",
+                      *[r(f"ratio_{n}").alias(f"ratio_{n}") for n in ("raw", "labelled", "dilated", "merged")])
 
 
-@register("risk_summary", "K43", oracle("candidates", RISK + f"""
-    SELECT sample_id, count(*) AS columns, count(*) FILTER (len(rs) > 0) AS risky_columns, {R('count(*) FILTER (len(rs) > 0) / count(*)')} AS risky_ratio,
-      count(*) FILTER (list_contains(rs, 'low_conf_margin')) AS low_margin_columns FROM fl GROUP BY 1"""))
-def risk_summary(spark, folder):
-    hit = F.size("reasons") > 0
-    return _risky(spark, folder).groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("columns"), F.count_if(hit).alias("risky_columns"), r(F.count_if(hit) / F.count(F.lit(1))).alias("risky_ratio"),
-        F.count_if(F.array_contains("reasons", "low_conf_margin")).alias("low_margin_columns"))
+@register("risk_reason_counts", "K43", oracle("candidates trace", RISK + f"""
+    SELECT sample_id, reason, count(*) AS columns, {R('count(*) / 64.0')} AS ratio FROM (SELECT sample_id, unnest(rw) AS reason FROM fl) GROUP BY 1, 2"""))
+def risk_reason_counts(spark, folder):
+    return Q.risk_reason_counts(_risky(spark, folder), 64).withColumn("ratio", r("ratio"))
 
 
 RESCORE = GTCOL + """, rsc AS (SELECT c.*, CASE WHEN gt_y IS NOT NULL AND c.col % 2 = 0 THEN pow(exp(-pow((c.y - gt_y) / 6.0, 2)), 1.5) ELSE confidence END AS conf2 FROM candidates c LEFT JOIN gtc USING (sample_id, col))"""
@@ -384,7 +418,17 @@ def path_disagreement(spark, folder):
     return out.select("sample_id", "block", *[r(x, 4).alias(x) for x in ("dis_mean", "dis_max", "dis_p90", "overlap_ratio")], r("amb_block", 5).alias("amb_block"), F.col("unstable").cast("int").alias("unstable"))
 
 
-@register("keep_near_truth", "K46")
+@register("keep_near_truth", "K46", oracle("candidates trace", HINTED + ", " + GTCOL + """,
+    cl AS (SELECT c.*, gt_y, CASE WHEN abs(c.y - gt_y) <= 5 THEN 0 WHEN abs(c.y - gt_y) <= 10 THEN 1 END AS tier FROM candidates c JOIN gtc USING (sample_id, col)),
+    pk AS (SELECT * FROM cl WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY tier, confidence DESC, cand_id) = 1),
+    ad AS (SELECT * FROM pk p WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.sample_id = p.sample_id AND f.col = p.col AND f.y = p.y)),
+    pool AS (SELECT f.sample_id, f.col, f.y, f.confidence, f.cand_id, f.source FROM final f JOIN ad USING (sample_id, col)
+      UNION ALL SELECT sample_id, col, y, confidence, cand_id, source || '+debug_gt_near' FROM ad),
+    rk AS (SELECT p.*, abs(p.y - gt_y) > 10 AS far, count(*) OVER (PARTITION BY sample_id, col) AS n,
+        row_number() OVER (PARTITION BY sample_id, col ORDER BY CASE WHEN abs(p.y - gt_y) > 10 THEN 0 ELSE 1 END, p.confidence, p.cand_id DESC) AS w FROM pool p JOIN gtc USING (sample_id, col)),
+    kp AS (SELECT * FROM rk WHERE NOT (n > 8 AND w = 1 AND far) QUALIFY row_number() OVER (PARTITION BY sample_id, col ORDER BY confidence DESC, cand_id) <= 8)
+    SELECT sample_id, col, y, cand_id, """ + R("confidence") + """ AS confidence, source FROM kp
+    UNION ALL SELECT f.sample_id, f.col, f.y, f.cand_id, """ + R("f.confidence") + """, f.source FROM final f WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.sample_id = f.sample_id AND ad.col = f.col)"""))
 def keep_near_truth(spark, folder):
     c = cands(spark, folder)
-    return C.keep_near_truth(c, _final(spark, folder).select(*c.columns), _gt_columns(spark, folder), keep=4).select("sample_id", "col", "y", "cand_id", r("confidence").alias("confidence"), "source")
+    return C.keep_near_truth(c, _final(spark, folder).select(*c.columns), _gt_columns(spark, folder)).select("sample_id", "col", "y", "cand_id", r("confidence").alias("confidence"), "source")

@@ -36,17 +36,17 @@ D_HKL = """CASE system WHEN 'cubic' THEN (h * h + k * k + l * l) / (a * a)
       WHEN 'hexagonal' THEN 4 * (h * h + h * k + k * k) / (3 * a * a) + (l * l) / (c * c)
       WHEN 'monoclinic' THEN (h * h) / (a * a * pow(sin(radians(beta)), 2)) + (k * k) / (b * b)
         + (l * l) / (c * c * pow(sin(radians(beta)), 2)) - 2 * h * l * cos(radians(beta)) / (a * c * pow(sin(radians(beta)), 2)) END"""
-HKL5 = "hkl AS (SELECT CAST(x AS INT) AS h, CAST(y AS INT) AS k, CAST(z AS INT) AS l FROM range(0, 6) a(x), range(0, 6) b(y), range(0, 6) c(z))"
+HKL10 = "hkl AS (SELECT CAST(x AS INT) AS h, CAST(y AS INT) AS k, CAST(z AS INT) AS l FROM range(0, 11) a(x), range(0, 11) b(y), range(0, 11) c(z))"
 REL = """CASE centering WHEN 'F' THEN 16.0 WHEN 'I' THEN 4.0
       WHEN 'HCP' THEN greatest(0, 50 * (1 + cos(2 * pi() * (h + 2 * k) / 3 + pi() * l))) WHEN 'R' THEN 9.0
       ELSE greatest(5.0, 100 / (1 + 0.3 * (h * h + k * k + l * l))) END"""
 
 
-@register("systematic_absences", "X2", oracle("lattices", HKL5 + f"""
+@register("systematic_absences", "X2", oracle("lattices", HKL10 + f"""
     SELECT lattice_id, count(*) FILTER ({ALLOWED}) AS allowed, count(*) FILTER (h > k AND {ALLOWED}) AS allowed_upper
     FROM lattices, hkl GROUP BY 1"""))
 def systematic_absences(spark, folder):
-    g = X._grid(I.lattices(spark, folder), 5, 5, 5)
+    g = X._grid(I.lattices(spark, folder), 10, 10, 10)
     ok = B.allowed(F.col("h"), F.col("k"), F.col("l"), F.col("centering"))
     return g.groupBy("lattice_id").agg(F.count_if(ok).alias("allowed"), F.count_if(ok & (F.col("h") > F.col("k"))).alias("allowed_upper"))
 
@@ -61,16 +61,16 @@ def plane_spacing(spark, folder):
     return I.lattices(spark, folder).select("lattice_id", r(d).alias("d"))
 
 
-REFL = HKL5 + f""", calc AS (SELECT lattice_id, h, k, l, centering, 1 / sqrt({D_HKL}) AS d FROM lattices, hkl WHERE {ALLOWED}),
+REFL = HKL10 + f""", calc AS (SELECT lattice_id, h, k, l, centering, 1 / sqrt({D_HKL}) AS d FROM lattices, hkl WHERE {ALLOWED}),
     ang AS (SELECT *, {ANGLE} AS two_theta, {REL} AS rel FROM calc WHERE d > 1.5406 / 2),
-    refl AS (SELECT * FROM ang WHERE two_theta <= 60
+    refl AS (SELECT * FROM ang WHERE two_theta <= 90
       QUALIFY row_number() OVER (PARTITION BY lattice_id, round(two_theta, 3) ORDER BY h, k, l) = 1)"""
 
 
 @register("reflections", "X4 X8", oracle("lattices", REFL + f"""
     SELECT lattice_id, h, k, l, {R('d')} AS d, {R('two_theta')} AS two_theta, {R('rel', 4)} AS rel FROM refl"""))
 def reflections(spark, folder):
-    out = X.reflections(I.lattices(spark, folder), ["lattice_id"], 5, 60.0)
+    out = X.reflections(I.lattices(spark, folder), ["lattice_id"])
     return out.select("lattice_id", "h", "k", "l", r("d").alias("d"), r("two_theta").alias("two_theta"), r("rel", 4).alias("rel"))
 
 
@@ -81,7 +81,7 @@ PHASE_REFL = """cells AS (SELECT lattice_id, system, CASE WHEN system = 'hexagon
       WHERE (""" + ALLOWED + """) AND ((system = 'cubic' AND k <= h AND l <= k) OR (system = 'hexagonal' AND h <= 12 AND k <= 12)
         OR (system = 'tetragonal' AND k <= h))),
     ang AS (SELECT *, """ + ANGLE + """ AS two_theta FROM calc WHERE d > 1.5406 / 2),
-    prefl AS (SELECT * FROM ang WHERE two_theta BETWEEN 9.5 AND 50.5
+    prefl AS (SELECT * FROM ang WHERE two_theta BETWEEN -0.5 AND 180.5
       QUALIFY row_number() OVER (PARTITION BY lattice_id, round(two_theta, 3) ORDER BY h, k, l) = 1)"""
 
 
@@ -92,18 +92,18 @@ PHASE_REFL = """cells AS (SELECT lattice_id, system, CASE WHEN system = 'hexagon
 def phase_reflections(spark, folder):
     cells = I.lattices(spark, folder).where("system IN ('cubic', 'hexagonal', 'tetragonal')").withColumn(
         "centering", F.expr("CASE WHEN centering IN ('F', 'I') THEN centering ELSE 'P' END"))
-    out = X.phase_reflections(cells, ["lattice_id"], 10.0, 50.0)
+    out = X.phase_reflections(cells, ["lattice_id"], 0.0, 180.0)
     return out.select("lattice_id", "h", "k", "l", r("d").alias("d"), r("two_theta").alias("two_theta"), r("rel", 4).alias("rel"))
 
 
-@register("plane_families", "X9 X10", oracle("lattices", HKL5 + """,
+@register("plane_families", "X9 X10", oracle("lattices", HKL10 + """,
     s AS (SELECT lattice_id, system, h, k, l, list_sort([h, k, l]) AS q FROM lattices, hkl WHERE h + k + l > 0)
     SELECT lattice_id, h, k, l, CASE WHEN system = 'cubic' THEN '{' || q[3] || q[2] || q[1] || '}'
         WHEN system = 'tetragonal' THEN '{' || greatest(h, k) || least(h, k) || l || '}' ELSE '(' || h || k || l || ')' END AS label,
       CASE WHEN q[2] = 0 THEN 6 WHEN q[1] = 0 AND q[2] = q[3] THEN 12 WHEN q[1] = 0 THEN 24 WHEN q[1] = q[2] AND q[2] = q[3] THEN 8 ELSE 24 END AS multiplicity
     FROM s"""))
 def plane_families(spark, folder):
-    g = X._grid(I.lattices(spark, folder), 5, 5, 5).where("h + k + l > 0")
+    g = X._grid(I.lattices(spark, folder), 10, 10, 10).where("h + k + l > 0")
     h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
     return g.select("lattice_id", "h", "k", "l", B.family_label(h, k, l, F.col("system")).alias("label"),
                     B.cubic_multiplicity(h, k, l).alias("multiplicity"))
@@ -162,11 +162,11 @@ MATCH = f"""cell AS (SELECT pattern_id, system, 'P' AS centering, a, b, c, alpha
       FROM pk p JOIN refl r USING (pattern_id) WHERE abs(theory_angle - two_theta) <= 0.5)"""
 
 
-@register("match_angles", "X12", oracle("pattern_points lattices", OBS + ", " + hkl_sql(6) + ", " + MATCH + f""",
+@register("match_angles", "X12", oracle("pattern_points lattices", OBS + ", " + hkl_sql(10) + ", " + MATCH + f""",
     x AS (SELECT *, intensity / (rel * 10) AS q FROM pairs)
     SELECT pattern_id, idx, h, k, l, {R('theory_angle')} AS theory_angle, {R('(1 - diff / 0.5) * (0.5 + 0.5 * least(q, 1 / q))')} AS match_score FROM x"""))
 def match_angles(spark, folder):
-    refl = X.reflections(_cells(spark, folder).withColumn("centering", F.lit("P")), K, 6)
+    refl = X.reflections(_cells(spark, folder).withColumn("centering", F.lit("P")), K)
     out = X.match_angles(_observed(spark, folder), refl, K, use_intensity=True)
     return out.select("pattern_id", "idx", "h", "k", "l", r("theory_angle").alias("theory_angle"), r("match_score").alias("match_score"))
 
@@ -246,7 +246,7 @@ def greedy_sql(refl: str, tol: float, key: str, shared: bool) -> str:
       FROM walk w JOIN (SELECT DISTINCT kk, pattern_id, g FROM opts) o USING (kk) JOIN sizes USING (pattern_id) GROUP BY 1, 2)"""
 
 
-@register("greedy_match", "X17 X24", oracle("pattern_points lattices", STRONG + ", " + hkl_sql(6) + ", " + MATCH.split("pairs AS")[0].rstrip().rstrip(",") + """,
+@register("greedy_match", "X17 X24", oracle("pattern_points lattices", STRONG + ", " + hkl_sql(10) + ", " + MATCH.split("pairs AS")[0].rstrip().rstrip(",") + """,
     numbered AS (SELECT pattern_id AS g0, theory_angle AS two_theta, rel, row_number() OVER (PARTITION BY pattern_id ORDER BY theory_angle) AS i FROM refl), """
     + greedy_sql("numbered", 0.5, "g0", True) + f"""
     SELECT pattern_id, matched, CAST(n AS INT) AS n, {R('cost')} AS cost, {R('rms')} AS rms_deg FROM matched"""))
@@ -254,7 +254,7 @@ def greedy_match(spark, folder):
     used = X.strongest(_observed(spark, folder), K).select("pattern_id", "order_no", "two_theta", "intensity")
     sizes = used.groupBy("pattern_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     cells = _cells(spark, folder).withColumns({"centering": F.lit("P"), "g": F.lit(1)})
-    refl = X.reflections(cells, ["pattern_id", "g"], 6)
+    refl = X.reflections(cells, ["pattern_id", "g"])
     pairs = X.candidate_pairs(used, refl, K, ["g"], 0.5, shared=K)
     out = X.greedy_match(pairs, sizes, K, ["g"], 0.5)
     return out.select("pattern_id", "matched", "n", r("cost").alias("cost"), r("rms_deg").alias("rms_deg"))
@@ -276,7 +276,7 @@ PRESETS = "phases(g0, name, system, centering, a, c) AS (VALUES " + ", ".join(
 @register("preset_rank", "X18")
 def preset_rank(spark, folder):
     """Rows only: the oracle engine fails on the recursion; tests rank known phases."""
-    out = X.rank_presets(_observed(spark, folder), K).where("rank <= 5")
+    out = X.rank_presets(_observed(spark, folder), K)
     return out.select("pattern_id", "phase", "matched", r("cost").alias("cost"), "rank")
 
 

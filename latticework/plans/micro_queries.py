@@ -11,34 +11,46 @@ from latticework.plans.peak_queries import WIDTHS, maxima, widths
 from latticework.plans.registry import r, register
 
 K = ["pattern_id"]
-# fixed values: face-centred cubic reflections in order of angle
-FCC_ORDER = [(1, 1, 1), (2, 0, 0), (2, 2, 0), (3, 1, 1), (2, 2, 2), (4, 0, 0), (3, 3, 1), (4, 2, 0)]
 
-TOP8 = WIDTHS + """, top8 AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY two_theta) AS ord FROM (
-      SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY intensity DESC, idx) AS rk FROM widths) WHERE rk <= 8),
+
+def fcc_order(n: int = 64) -> list[tuple[int, int, int]]:
+    """The first n face-centred cubic reflections of different angle: indices all odd or all even, largest first."""
+    found: dict[int, tuple[int, int, int]] = {}
+    for h in range(1, 2 * n):
+        for k in range(h + 1):
+            for l in range(k + 1):  # noqa: E741
+                if h % 2 == k % 2 == l % 2:
+                    total = h * h + k * k + l * l
+                    found[total] = max(found.get(total, (h, k, l)), (h, k, l))
+        if len([t for t in found if t <= h * h]) >= n:
+            break
+    return [found[t] for t in sorted(found)[:n]]
+
+
+# more orders than a pattern has peaks
+FCC_ORDER = fcc_order()
+
+ORDERED = WIDTHS + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY two_theta) AS ord FROM widths),
     hkl(ord, h, k, l) AS (VALUES """ + ", ".join(f"({i + 1}, {h}, {k}, {l})" for i, (h, k, l) in enumerate(FCC_ORDER)) + """),
-    indexed AS (SELECT t.*, h, k, l FROM top8 t JOIN hkl USING (ord))"""
+    indexed AS (SELECT t.*, h, k, l FROM ordered t JOIN hkl USING (ord))"""
 
 
-def top8(spark, folder):
-    """The eight strongest peaks of each pattern with widths and indices by angle order."""
-    w = widths(spark, folder)
-    rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("intensity"), "idx"))
-    few = w.withColumn("rk", rank).where("rk <= 8")
+def ordered_peaks(spark, folder):
+    """All peaks of each pattern with widths and indices by angle order."""
     order = F.row_number().over(Window.partitionBy("pattern_id").orderBy("two_theta"))
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("hkl", t, strict=True)]) for t in FCC_ORDER])
-    return few.withColumn("_hkl", F.element_at(table, order)).select("*", "_hkl.*").drop("_hkl", "rk")
+    return widths(spark, folder).withColumn("_hkl", F.element_at(table, order)).select("*", "_hkl.*").drop("_hkl")
 
 
-WH = TOP8 + """, whp AS (SELECT pattern_id, sin(radians(two_theta / 2)) AS x,
-      radians(greatest(1e-4, sqrt(greatest(0, fwhm * fwhm - 0.01)))) * cos(radians(two_theta / 2)) AS y FROM top8 WHERE fwhm > 0),
+WH = ORDERED + """, whp AS (SELECT pattern_id, sin(radians(two_theta / 2)) AS x,
+      radians(greatest(1e-4, sqrt(greatest(0, fwhm * fwhm - 0.01)))) * cos(radians(two_theta / 2)) AS y FROM ordered WHERE fwhm > 0),
     wh AS (SELECT pattern_id, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
       CASE WHEN regr_syy(y, x) > 1e-30 THEN regr_r2(y, x) ELSE 0 END AS r2, count(*) AS n, min(x) AS x_min, max(x) AS x_max
       FROM whp GROUP BY 1 HAVING count(*) >= 2 AND count(*) * regr_sxx(y, x) >= 1e-24)"""
 
 
 def _wh(spark, folder):
-    return M.williamson_hall(top8(spark, folder), K, instrument=0.1, method="quadratic")
+    return M.williamson_hall(ordered_peaks(spark, folder), K, instrument=0.1, method="quadratic")
 
 
 @register("williamson_hall_by_pattern", "M4 M1", oracle("pattern_points", WH + f"""
@@ -143,13 +155,13 @@ def sin2psi_stress(spark, folder):
 GAMMA = "(h * h * k * k + h * h * l * l + k * k * l * l) / CAST(pow(h * h + k * k + l * l, 2) AS DOUBLE)"
 
 
-@register("dislocation_terms", "M11", oracle("pattern_points", TOP8 + f"""
+@register("dislocation_terms", "M11", oracle("pattern_points", ORDERED + f"""
     SELECT pattern_id, idx, {R('2 * sin(radians(two_theta / 2)) / 0.15406')} AS k_value,
       {R('2 * cos(radians(two_theta / 2)) * radians(fwhm) / 0.15406')} AS delta_k, {R(GAMMA)} AS gamma,
       {R('0.256 * (1 - 1.71 * ' + GAMMA + ')')} AS contrast,
       {R("(3.0 + idx * 0.01) * 0.1 * CASE WHEN idx % 2 = 0 THEN 1 / sqrt(2) ELSE sqrt(3) / 2 END")} AS burgers_nm FROM indexed"""))
 def dislocation_terms(spark, folder):
-    p = top8(spark, folder)
+    p = ordered_peaks(spark, folder)
     g = M.orientation(F.col("h"), F.col("k"), F.col("l"))
     structure = F.when(F.col("idx") % 2 == 0, "fcc").otherwise("BCC")
     return p.select(
@@ -159,11 +171,11 @@ def dislocation_terms(spark, folder):
         r(M.burgers_nm(3.0 + F.col("idx") * 0.01, structure)).alias("burgers_nm"))
 
 
-@register("lattice_constant", "M12 M13", oracle("pattern_points", TOP8 + f""",
+@register("lattice_constant", "M12 M13", oracle("pattern_points", ORDERED + f""",
     est AS (SELECT pattern_id, 1.5406 / (2 * sin(radians(two_theta / 2))) * sqrt(h * h + k * k + l * l) AS a FROM indexed)
     SELECT pattern_id, {R('median(a)')} AS lattice_a, 'fcc' AS structure FROM est GROUP BY 1 HAVING count(*) >= 2"""))
 def lattice_constant(spark, folder):
-    p = top8(spark, folder)
+    p = ordered_peaks(spark, folder)
     out = M.lattice_constant(p, K).join(M.structure_guess(p, K), K)
     return out.select("pattern_id", r("lattice_a").alias("lattice_a"), "structure")
 
@@ -188,7 +200,7 @@ def contrast_presets(spark, folder):
                     r(M.effective_ch00(*c)).alias("ch00"), M.character(*c[:3]).alias("character"))
 
 
-@register("modified_wh", "M15", oracle("pattern_points", TOP8 + f""",
+@register("modified_wh", "M15", oracle("pattern_points", ORDERED + f""",
     kp AS (SELECT pattern_id, 2 * sin(radians(two_theta / 2)) / 0.15406 AS kk,
       2 * cos(radians(two_theta / 2)) * radians(fwhm) / 0.15406 AS dk, {GAMMA} AS g FROM indexed WHERE fwhm > 0),
     lim AS (SELECT pattern_id, least(max(dk * dk) * 0.9, 0.01) AS amax FROM kp WHERE kk > 0 AND dk > 0 GROUP BY 1 HAVING count(*) >= 3),
@@ -204,13 +216,13 @@ def contrast_presets(spark, folder):
       {R('CASE WHEN q IS NULL THEN 0.5 ELSE greatest(0, least(1, (q - 1.71) / 0.75)) END', 4)} AS screw_fraction,
       CAST(coalesce(q < 1.71 OR q > 2.46, false) AS INT) AS q_out_of_range, CAST(r2 < 0.9 AS INT) AS low_r2 FROM q"""))
 def modified_wh(spark, folder):
-    out = M.modified_wh(top8(spark, folder), K, "fcc")
+    out = M.modified_wh(ordered_peaks(spark, folder), K, "fcc")
     return out.select("pattern_id", r("alpha", 5).alias("alpha"), r("r2", 5).alias("r2"), r("q", 4).alias("q"),
                       r("screw_fraction", 4).alias("screw_fraction"), F.col("q_out_of_range").cast("int").alias("q_out_of_range"),
                       F.col("low_r2").cast("int").alias("low_r2"))
 
 
-PROFILES = TOP8 + """, prof AS (SELECT w.pattern_id, w.idx AS peak_idx, w.two_theta AS centre, p.intensity,
+PROFILES = ORDERED + """, prof AS (SELECT w.pattern_id, w.idx AS peak_idx, w.two_theta AS centre, p.intensity,
       row_number() OVER (PARTITION BY w.pattern_id, w.idx ORDER BY p.idx) - 1 AS i, count(*) OVER (PARTITION BY w.pattern_id, w.idx) AS n
       FROM indexed w JOIN pattern_points p ON p.pattern_id = w.pattern_id
         AND p.two_theta BETWEEN w.two_theta - coalesce(nullif(fwhm, 0) * 3, 5) / 2 AND w.two_theta + coalesce(nullif(fwhm, 0) * 3, 5) / 2),
@@ -223,7 +235,7 @@ PROFILES = TOP8 + """, prof AS (SELECT w.pattern_id, w.idx AS peak_idx, w.two_th
     SELECT pattern_id, peak_idx, CAST(ln AS INT) AS order_no, {R('re', 3)} AS re, {R('im', 3)} AS im, {R('sqrt(re * re + im * im)', 3)} AS magnitude FROM coef"""))
 def fourier_coefficients(spark, folder):
     width = F.coalesce(F.when(F.col("fwhm") > 0, F.col("fwhm") * 3), F.lit(5.0))
-    prof = M.numbered_profiles(I.pattern_points(spark, folder), top8(spark, folder), K, width).where("n >= 10")
+    prof = M.numbered_profiles(I.pattern_points(spark, folder), ordered_peaks(spark, folder), K, width).where("n >= 10")
     prof = prof.withColumn("order_no", F.explode(F.sequence(F.lit(1), F.least(F.lit(50), F.floor(F.col("n") / 2)).cast("int"))))
     prof = prof.withColumns({"L": F.col("order_no") * 0.36 ** 3, "inv_d": 2 * F.sin(F.radians(F.col("centre") / 2)) / 1.5406})
     out = M.fourier(prof, ["pattern_id", "peak_idx", "order_no"], "inv_d", "L")
@@ -239,6 +251,6 @@ def fourier_coefficients(spark, folder):
       {R('CASE WHEN abs(slope) > 1e-10 THEN abs(slope) * 2 / (pi() * pow(0.36 / sqrt(2) * 1e-9, 2)) / 1e18 ELSE 0 END', 3)} AS density_per_nm2
     FROM fit"""))
 def modified_wa(spark, folder):
-    out = M.modified_wa(I.pattern_points(spark, folder), top8(spark, folder), K, 3.6, "fcc")
+    out = M.modified_wa(I.pattern_points(spark, folder), ordered_peaks(spark, folder), K, 3.6, "fcc")
     return out.select("pattern_id", "n", r("slope", 4).alias("slope"), r("r2", 5).alias("r2"),
                       r(F.col("dislocation_density") / 1e18, 3).alias("density_per_nm2"))
