@@ -159,10 +159,10 @@ GRID = """grid AS (SELECT pattern_id, k AS idx, 10.0 + k * (31.5 / 149) AS x
           AND a.idx = least(63, CAST(floor((g.x - 10) / 0.5) AS INT))
         LEFT JOIN pattern_points b ON b.pattern_id = g.pattern_id
           AND b.idx = least(63, CAST(floor((g.x - 10) / 0.5) AS INT) + 1)),
+    close AS (SELECT *, unnest([CAST(floor((x - 10) / 0.5) AS INT), CAST(floor((x - 10) / 0.5) AS INT) + 1]) AS at FROM grid),
     tops AS (SELECT g.pattern_id, g.idx, max(p.intensity) AS top
-      FROM grid g JOIN pattern_points p ON p.pattern_id = g.pattern_id
-        AND p.two_theta >= greatest(10.0, g.x - 0.5 * 31.5 / 149)
-        AND p.two_theta <= least(41.5, g.x + 0.5 * 31.5 / 149)
+      FROM close g JOIN pattern_points p ON p.pattern_id = g.pattern_id AND p.idx = g.at
+      WHERE p.two_theta >= greatest(10.0, g.x - 0.5 * 31.5 / 149) AND p.two_theta <= least(41.5, g.x + 0.5 * 31.5 / 149)
       GROUP BY ALL),
     fine AS (SELECT b.pattern_id, b.idx, b.x AS two_theta, greatest(
         CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (x - x0) END, top) AS intensity

@@ -268,7 +268,8 @@ EDGE = """zn AS (SELECT sample_id, col, y, 'left' AS side, CASE WHEN col < 5 THE
     ed AS (SELECT sample_id, side, count(*) FILTER (z = 'stable') AS n_stable, count(*) FILTER (z = 'edge') AS n_edge, abs(max(CASE WHEN be THEN y END) - max(CASE WHEN bs THEN y END)) AS jump,
         median(CASE WHEN z = 'stable' THEN y END) AS sm, median(CASE WHEN z = 'edge' THEN y END) AS em, regr_slope(CASE WHEN z = 'stable' THEN y END, col) AS slope, regr_intercept(CASE WHEN z = 'stable' THEN y END, col) AS icpt
       FROM zn WHERE z IS NOT NULL GROUP BY 1, 2),
-    es AS (SELECT d.*, (SELECT greatest(1.4826 * median(abs(y - d.sm)), 2.0) FROM zn WHERE zn.sample_id = d.sample_id AND zn.side = d.side AND zn.z = 'stable') AS sigma FROM ed d),
+    mads AS (SELECT zn.sample_id, zn.side, median(abs(zn.y - ed.sm)) AS mad FROM zn JOIN ed ON ed.sample_id = zn.sample_id AND ed.side = zn.side WHERE zn.z = 'stable' GROUP BY 1, 2),
+    es AS (SELECT d.*, greatest(1.4826 * mad, 2.0) AS sigma FROM ed d LEFT JOIN mads ON mads.sample_id = d.sample_id AND mads.side = d.side),
     ea AS (SELECT *, em - sm AS dev, coalesce(n_stable >= 12 AND n_edge >= 2 AND abs(em - sm) > greatest(2.0, 0.5 * sigma), false) OR coalesce(jump > greatest(2.0, 0.5 * sigma), false) AS anomaly FROM es)"""
 
 
@@ -284,8 +285,9 @@ def edge_anomaly(spark, folder):
 
 
 @register("edge_repair", "K38", oracle("trace", EDGE + """,
-    tg AS (SELECT t.sample_id, t.col, t.y, CASE WHEN n_stable < 3 OR slope IS NULL OR abs(slope) > 4 THEN sm ELSE slope * t.col + icpt END AS tgt, sm FROM trace t
-      LEFT JOIN ea ON anomaly AND ea.sample_id = t.sample_id AND ea.side = CASE WHEN t.col < 5 THEN 'left' WHEN t.col >= 59 THEN 'right' END)
+    bad AS (SELECT * FROM ea WHERE anomaly), tr AS (SELECT *, CASE WHEN col < 5 THEN 'left' WHEN col >= 59 THEN 'right' END AS side FROM trace),
+    tg AS (SELECT t.sample_id, t.col, t.y, CASE WHEN n_stable < 3 OR slope IS NULL OR abs(slope) > 4 THEN sm ELSE slope * t.col + icpt END AS tgt, sm FROM tr t
+      LEFT JOIN bad ON bad.sample_id = t.sample_id AND bad.side = t.side)
     SELECT sample_id, col, CASE WHEN sm IS NOT NULL AND y IS NOT NULL THEN least(greatest(round_even(y + least(greatest(tgt - y, -40), 40), 0), 0), 59) ELSE y END AS y_repaired FROM tg"""))
 def edge_repair(spark, folder):
     return Q.edge_repair(I.trace(spark, folder), _edges(spark, folder), 64, 60).select("sample_id", "col", "y_repaired")
