@@ -93,7 +93,7 @@ def y_diversity(spark, folder):
     return C.y_diversity(cands(spark, folder)).select("sample_id", "col", "cand_id", "y_bin", "rank")
 
 
-FILL = """rowsx AS (SELECT t.sample_id, t.col, u.uy FROM trace t LEFT JOIN (SELECT sample_id, col, min(y)::DOUBLE AS uy FROM candidates WHERE (col + sample_id) % 11 NOT IN (3, 5, 6, 7, 8, 9, 10) GROUP BY 1, 2) u USING (sample_id, col)),
+FILL = """rowsx AS (SELECT t.sample_id, t.col, u.uy FROM trace t LEFT JOIN (SELECT sample_id, col, min(c.y)::DOUBLE AS uy FROM candidates c JOIN trace h USING (sample_id, col) WHERE h.y IS NOT NULL GROUP BY 1, 2) u USING (sample_id, col)),
     mk AS (SELECT *, (SELECT max(o.col) FROM rowsx o WHERE o.sample_id = e.sample_id AND o.uy IS NOT NULL AND o.col BETWEEN e.col - 3 AND e.col - 1) AS lc,
       (SELECT min(o.col) FROM rowsx o WHERE o.sample_id = e.sample_id AND o.uy IS NOT NULL AND o.col BETWEEN e.col + 1 AND e.col + 3) AS rc FROM rowsx e WHERE uy IS NULL),
     v AS (SELECT m.sample_id, m.col, lc, rc, a.uy AS ly, b.uy AS ry, a2.uy AS ly2, b2.uy AS ry2 FROM mk m
@@ -108,8 +108,10 @@ FILL = """rowsx AS (SELECT t.sample_id, t.col, u.uy FROM trace t LEFT JOIN (SELE
 @register("column_fill", "K10", oracle("candidates trace", FILL + """
     SELECT sample_id, col, CASE WHEN raw IS NOT NULL THEN CAST(least(greatest(round_even(raw, 0), 0), 59) AS INT) END AS y, CASE WHEN source = 'interpolated' THEN CAST(0.3 AS DOUBLE) WHEN source IS NOT NULL THEN CAST(0.25 AS DOUBLE) END AS confidence, source FROM f"""))
 def column_fill(spark, folder):
-    c = cands(spark, folder).where(~((F.col("col") + F.col("sample_id")) % 11).isin(3, 5, 6, 7, 8, 9, 10))
-    return C.column_fill(c, I.trace(spark, folder), 60)
+    """Columns without a trace value count as empty."""
+    t = I.trace(spark, folder)
+    c = cands(spark, folder).join(t.where("y IS NOT NULL").select("sample_id", "col"), ["sample_id", "col"], "left_semi")
+    return C.column_fill(c, t, 60)
 
 
 HINTED = """hints AS (SELECT sample_id, col, avg(y) AS hint FROM candidates WHERE source = 'skeleton' GROUP BY 1, 2),
@@ -154,15 +156,15 @@ def second_recipe(spark, folder):
     return C.second_recipe(cands(spark, folder), 0.3, 2.0, 3).select("sample_id", "col", "y", "confidence", "rank")
 
 
-@register("stage_counts", "K17", oracle("candidates trace", HINTED + f""", n AS (SELECT sample_id, count(*) AS t FROM trace GROUP BY 1),
+@register("stage_counts", "K17", oracle("candidates trace", HINTED + ", " + SCORED + f""", n AS (SELECT sample_id, count(*) AS t FROM trace GROUP BY 1),
     a AS (SELECT sample_id, count(*) AS raw_rows, count(DISTINCT col) AS raw_columns FROM candidates GROUP BY 1),
-    b AS (SELECT sample_id, count(*) AS filtered_rows, count(DISTINCT col) AS filtered_columns FROM candidates WHERE confidence >= 0.9 GROUP BY 1),
+    b AS (SELECT sample_id, count(*) AS filtered_rows, count(DISTINCT col) AS filtered_columns FROM ranked WHERE rank <= 16 GROUP BY 1),
     c AS (SELECT sample_id, count(*) AS final_rows, count(DISTINCT col) AS final_columns FROM final GROUP BY 1)
     SELECT sample_id, t AS total_columns, raw_rows, raw_columns, coalesce(filtered_rows, 0) AS filtered_rows, coalesce(filtered_columns, 0) AS filtered_columns, final_rows, final_columns,
       {R('1 - final_columns / CAST(t AS DOUBLE)')} AS missing_column_ratio FROM n JOIN a USING (sample_id) LEFT JOIN b USING (sample_id) JOIN c USING (sample_id)"""))
 def stage_counts(spark, folder):
     c = cands(spark, folder)
-    out = C.stage_counts(c, c.where("confidence >= 0.9"), _final(spark, folder), I.trace(spark, folder))
+    out = C.stage_counts(c, C.filter_top(c), _final(spark, folder), I.trace(spark, folder))
     return out.withColumn("missing_column_ratio", r("missing_column_ratio"))
 
 
@@ -197,7 +199,7 @@ def apex_pull(spark, folder):
 
 
 @register("path_blocks", "K22 K23", oracle("candidates trace", f"""
-    st AS (SELECT sample_id, col, y + confidence * 10 + cand_id % 1000 / 1000.0 AS cost FROM candidates WHERE confidence >= 0.5),
+    st AS (SELECT sample_id, col, y + confidence * 10 + cand_id % 1000 / 1000.0 AS cost FROM candidates),
     e AS (SELECT sample_id, col // 16 AS block, max(col) AS ce, min(col) AS cs FROM st GROUP BY 1, 2),
     k AS (SELECT s.sample_id, e.block, cost, row_number() OVER (PARTITION BY s.sample_id, e.block ORDER BY cost) AS rk FROM st s JOIN e ON e.sample_id = s.sample_id AND s.col = e.ce),
     cs AS (SELECT t.sample_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM candidates c WHERE c.sample_id = t.sample_id AND c.col = t.col)) AS starvation_columns,
@@ -207,7 +209,7 @@ def apex_pull(spark, folder):
     FROM e JOIN k USING (sample_id, block) JOIN cs USING (sample_id) GROUP BY 1, 2, 3, 4""".replace("cs AS (SELECT t.sample_id", "stt AS (SELECT t.sample_id").replace("JOIN cs USING", "JOIN stt USING")))
 def path_blocks(spark, folder):
     c = cands(spark, folder)
-    states = c.where("confidence >= 0.5").select("sample_id", "col", (F.col("y") + F.col("confidence") * 10 + F.col("cand_id") % 1000 / 1000.0).alias("cost"))
+    states = c.select("sample_id", "col", (F.col("y") + F.col("confidence") * 10 + F.col("cand_id") % 1000 / 1000.0).alias("cost"))
     status = Q.column_status(I.trace(spark, folder), c, states)
     out = Q.block_stats(states, 16).join(status, "sample_id")
     return out.select("sample_id", "block", "block_start", "block_end", r("top1_cost", 4).alias("top1_cost"), r("margin", 4).alias("margin"), "starvation_columns", "ok_columns")
@@ -370,12 +372,13 @@ def risk_reason_counts(spark, folder):
     return Q.risk_reason_counts(_risky(spark, folder), 64).withColumn("ratio", r("ratio"))
 
 
-RESCORE = GTCOL + """, rsc AS (SELECT c.*, CASE WHEN gt_y IS NOT NULL AND c.col % 2 = 0 THEN pow(exp(-pow((c.y - gt_y) / 6.0, 2)), 1.5) ELSE confidence END AS conf2 FROM candidates c LEFT JOIN gtc USING (sample_id, col))"""
+RESCORE = GTCOL + ", " + MARGIN + """, rsc AS (SELECT c.*, CASE WHEN gt_y IS NOT NULL AND margin < 0.08 THEN pow(exp(-pow((c.y - gt_y) / 6.0, 2)), 1.5) ELSE confidence END AS conf2
+      FROM candidates c LEFT JOIN gtc USING (sample_id, col) LEFT JOIN mar USING (sample_id, col))"""
 
 
 def _rescored(spark, folder):
     c = cands(spark, folder)
-    return C.truth_rescore(c, _gt_columns(spark, folder), 6.0, 1.5, only=c.where("col % 2 = 0"))
+    return C.truth_rescore(c, _gt_columns(spark, folder), 6.0, 1.5, only=C.margins(c).where("margin < 0.08"))
 
 
 @register("truth_rescore", "K44", oracle("candidates trace", RESCORE + f" SELECT sample_id, col, cand_id, {R('conf2')} AS confidence, {R('confidence')} AS rule_confidence FROM rsc"))

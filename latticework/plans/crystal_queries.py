@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from latticework.functions import bragg as B
 from latticework.operators import crystal as X
-from latticework.operators.joins import band_join  # noqa: F401
 from latticework.plans import inputs as I
 from latticework.plans.inputs import LATTICE_CENTERINGS, R, oracle
 from latticework.plans.peak_queries import MAXIMA, maxima

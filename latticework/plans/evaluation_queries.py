@@ -17,7 +17,7 @@ S = ["sample_id"]
 
 PIXEL_GT = FITTED + """, result AS (SELECT t.sample_id, t.col AS idx, x_scale * t.col + x_offset AS two_theta, y_scale * t.y + y_offset AS intensity
       FROM trace t JOIN maps USING (sample_id) WHERE t.y IS NOT NULL),
-    gt_path AS (SELECT sample_id, col * 2 + 170 AS x, y + 90 AS y, col AS order_no FROM trace WHERE y IS NOT NULL AND sample_id % 7 <> 3)"""
+    gt_path AS (SELECT sample_id, col * 2 + 170 AS x, y + 90 AS y, col AS order_no FROM trace WHERE y IS NOT NULL)"""
 
 
 @register("curve_mae", "E1", oracle("calibration trace", PIXEL_GT + f""",
@@ -31,7 +31,7 @@ def curve_mae(spark, folder):
     t = I.trace(spark, folder).where("y IS NOT NULL")
     result = t.join(maps, "sample_id").select("sample_id", F.col("col").alias("idx"), C.to_value(F.col("col").cast("double"), "x").alias("two_theta"),
                                               C.to_value(F.col("y"), "y").alias("intensity"))
-    gt = t.where("sample_id % 7 <> 3").select("sample_id", F.col("col").alias("order_no"), (F.col("col") * 2 + 170).alias("x"), (F.col("y") + 90).alias("y"))
+    gt = t.select("sample_id", F.col("col").alias("order_no"), (F.col("col") * 2 + 170).alias("x"), (F.col("y") + 90).alias("y"))
     out = E.pixel_mae(result, gt, maps.select("sample_id", "x0", "y0", "x_scale", "x_offset", "y_scale", "y_offset"), F.col("x0"), F.col("y0"))
     return out.select("sample_id", r("curve_y_mae_px", 4).alias("curve_y_mae_px"))
 
@@ -100,10 +100,10 @@ def column_iou(spark, folder):
 
 @register("tail_collapse", "E9", oracle("trace", """
     o AS (SELECT sample_id, y, row_number() OVER (PARTITION BY sample_id ORDER BY col) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM trace
-      WHERE y IS NOT NULL AND (sample_id % 3 <> 0 OR y BETWEEN 48 AND 50))
+      WHERE y IS NOT NULL)
     SELECT sample_id, CASE WHEN max(y) - min(y) < 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tail_collapse_rate, 0.0::DOUBLE AS tail_mae_px FROM o WHERE i >= floor(n * 0.8) GROUP BY 1"""))
 def tail_collapse(spark, folder):
-    t = I.trace(spark, folder).where("y IS NOT NULL AND (sample_id % 3 <> 0 OR y BETWEEN 48 AND 50)")
+    t = I.trace(spark, folder).where("y IS NOT NULL")
     return E.tail_collapse(t, S)
 
 
@@ -117,7 +117,7 @@ def prominence_preservation(spark, folder):
 
 
 DIAG = """blocks AS (SELECT sample_id, col // 8 AS block, CASE WHEN count(y) < 8 THEN NULL ELSE max(y) - min(y) - 38 END AS margin FROM trace GROUP BY 1, 2),
-    zones AS (SELECT sample_id, col % 3 = 0 AS resolved FROM trace WHERE y IS NULL AND sample_id % 4 <> 0),
+    zones AS (SELECT sample_id, col % 3 = 0 AS resolved FROM trace WHERE y IS NULL),
     inst AS (SELECT sample_id, (count(*) FILTER (margin < 1) + count(*) FILTER (margin IS NULL) * 0.5) / count(*) AS i FROM blocks GROUP BY 1),
     z AS (SELECT sample_id, count(*) AS z, count(*) FILTER (resolved) AS ok FROM zones GROUP BY 1),
     st AS (SELECT sample_id, count(*) AS n, count(y) AS k FROM trace GROUP BY 1)"""
@@ -131,7 +131,7 @@ def diagnosis_metrics(spark, folder):
     t = I.trace(spark, folder)
     stats = t.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total_columns"), F.count("y").alias("nonempty_columns"),
                                        ((F.count(F.lit(1)) - F.count("y")) / F.count(F.lit(1))).alias("missing_column_ratio"))
-    zones = t.where("y IS NULL AND sample_id % 4 <> 0").select("sample_id", (F.col("col") % 3 == 0).alias("resolved"))
+    zones = t.where("y IS NULL").select("sample_id", (F.col("col") % 3 == 0).alias("resolved"))
     blocks = t.groupBy("sample_id", F.floor(F.col("col") / 8)).agg(F.when(F.count("y") >= 8, F.max("y") - F.min("y") - 38).alias("margin"))
     out = E.diagnosis(stats, zones, blocks, S)
     return out.select("sample_id", "reentry_count", *[r(c).alias(c) for c in out.columns if c not in ("sample_id", "reentry_count")])
