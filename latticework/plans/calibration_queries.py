@@ -181,13 +181,13 @@ def resample_envelope(spark, folder):
 
 @register("export_peaks", "C11", oracle("calibration trace", FITTED + f""",
     peaks AS (SELECT sample_id, col, y, CASE WHEN col % 5 = 0 THEN y + 0.25 END AS refined,
-        CASE WHEN col % 10 = 0 THEN y - 1 END AS roi FROM trace WHERE y IS NOT NULL AND col % 3 = 1)
+        CASE WHEN col % 10 = 0 THEN y - 1 END AS roi FROM trace WHERE y IS NOT NULL)
     SELECT sample_id, col AS peak_index, {R('x_scale * col + x_offset', 4)} AS two_theta,
       {R('least(greatest(y_scale * coalesce(roi, refined, y) + y_offset, least(y_v1, y_v2)), greatest(y_v1, y_v2))')}
         AS intensity, CAST(y < 10 AS INT) AS is_major
     FROM peaks JOIN maps USING (sample_id)"""))
 def export_peaks(spark, folder):
-    t = I.trace(spark, folder).where("y IS NOT NULL AND col % 3 = 1")
+    t = I.trace(spark, folder).where("y IS NOT NULL")
     peaks = t.select(
         "sample_id", F.col("col").alias("index"), F.col("y").alias("y_pixel"),
         F.expr("CASE WHEN col % 5 = 0 THEN y + 0.25D END").alias("y_pixel_refined"),

@@ -299,7 +299,7 @@ def sharp_peaks(spark, folder):
 BLEND = VALID + f""", curve AS (SELECT sample_id, col, y, {SG5} AS y_curve FROM valid),
     whole AS (SELECT t.sample_id, t.col, t.y, c.y_curve, t.y IS NOT NULL AND t.col % 9 = 4 AS is_gap_filled
       FROM trace t LEFT JOIN curve c USING (sample_id, col)),
-    pk AS (SELECT sample_id, col, 51 - y + col / 1000.0 AS prominence FROM trace WHERE y <= 12 AND col % 2 = 0),
+    pk AS (SELECT sample_id, col, 51 - y + col / 1000.0 AS prominence FROM trace WHERE y <= 12),
     mixed AS (SELECT w.*, EXISTS (SELECT 1 FROM pk p WHERE p.sample_id = w.sample_id AND abs(p.col - w.col) <= 3) AS near
       FROM whole w),
     blended AS (SELECT *, CASE WHEN near THEN 0.75 * y + 0.25 * y_curve ELSE y_curve END AS y_mixed FROM mixed)"""
@@ -310,7 +310,7 @@ def _blend(spark, folder):
     curve = T.sg_on_valid(t, S, 5, name="y_curve").select("sample_id", "col", "y_curve")
     whole = t.join(curve, ["sample_id", "col"], "left").withColumn(
         "is_gap_filled", F.col("y").isNotNull() & (F.col("col") % 9 == 4))
-    peaks = t.where("y <= 12 AND col % 2 = 0").select(
+    peaks = t.where("y <= 12").select(
         "sample_id", "col", (51 - F.col("y") + F.col("col") / 1000.0).alias("prominence"))
     return P.near_peak_blend(whole, peaks, S), peaks
 
@@ -386,13 +386,13 @@ def merged_peaks(spark, folder):
     lum AS (SELECT image_id, x, y, 0.2989 * r + 0.5870 * g + 0.1140 * b AS l FROM pixels),
     med AS (SELECT image_id, x, median(l) AS med FROM lum GROUP BY 1, 2),
     seg AS (SELECT p.image_id, p.x, p.y AS y0, s.y, s.l, p.l AS centre FROM lum p JOIN lum s ON s.image_id = p.image_id
-        AND s.x = p.x AND abs(s.y - p.y) <= 5 WHERE p.y % 7 = 3)
+        AND s.x = p.x AND abs(s.y - p.y) <= 5)
     SELECT image_id, x, y0, CAST(CASE WHEN max(centre) <= max(med) THEN arg_min(y, row(l, y)) ELSE arg_max(y, row(l, -y)) END AS DOUBLE)
       AS y_refined
     FROM seg JOIN med USING (image_id, x) GROUP BY image_id, x, y0 HAVING count(*) >= 3"""))
 def refine_on_pixels(spark, folder):
     px = I.pixels(spark, folder)
-    return P.refine_on_pixels(px.where("y % 7 = 3").select("image_id", "x", "y"), px)
+    return P.refine_on_pixels(px.select("image_id", "x", "y"), px)
 
 
 WIDTHS = MAXIMA + """, pk AS (SELECT s.pattern_id, s.idx, p.two_theta, p.intensity FROM spaced s JOIN pattern_points p USING (pattern_id, idx)),
@@ -435,14 +435,14 @@ def peak_profiles(spark, folder):
 
 
 @register("attach_fitted_width", "P21", oracle("pattern_points", WIDTHS + f""",
-    fits AS (SELECT pattern_id, idx AS fit_no, two_theta + (idx % 5) * 0.03 AS angle, fwhm * 0.9 AS f FROM widths WHERE idx % 3 <> 0),
+    fits AS (SELECT pattern_id, idx AS fit_no, two_theta + (idx % 5) * 0.03 AS angle, fwhm * 0.9 AS f FROM widths),
     hits AS (SELECT w.pattern_id, w.idx, arg_min(f, fit_no) AS f FROM widths w JOIN fits f ON f.pattern_id = w.pattern_id
       AND abs(angle - two_theta) < 0.1 GROUP BY 1, 2)
     SELECT w.pattern_id, w.idx, {R('coalesce(nullif(f, 0), fwhm)')} AS fwhm_used
     FROM widths w LEFT JOIN hits USING (pattern_id, idx)"""))
 def attach_fitted_width(spark, folder):
     w = widths(spark, folder)
-    fits = w.where("idx % 3 <> 0").select(
+    fits = w.select(
         "pattern_id", F.col("idx").alias("fit_no"), (F.col("two_theta") + (F.col("idx") % 5) * 0.03).alias("angle"),
         (F.col("fwhm") * 0.9).alias("fwhm"))
     return P.attach_fitted_width(w, fits, K).select("pattern_id", "idx", r("fwhm_used").alias("fwhm_used"))

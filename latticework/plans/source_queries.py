@@ -36,12 +36,12 @@ def delimited_metadata(spark, folder):
 
 
 @register("json_points", "S3", oracle("pattern_points", """
-    SELECT pattern_id AS file, idx, two_theta, CASE WHEN idx < 60 THEN intensity ELSE 0 END AS intensity FROM pattern_points"""))
+    SELECT pattern_id AS file, idx, two_theta, intensity FROM pattern_points"""))
 def json_points(spark, folder):
     p = I.pattern_points(spark, folder)
     docs = p.groupBy(F.col("pattern_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("idx", "two_theta", "intensity"))).alias("s"))
     text = docs.select("file", F.to_json(F.struct(
-        F.transform("s", lambda v: v["two_theta"]).alias("twoTheta"), F.slice(F.transform("s", lambda v: v["intensity"]), 1, 60).alias("y"))).alias("t"))
+        F.transform("s", lambda v: v["two_theta"]).alias("twoTheta"), F.transform("s", lambda v: v["intensity"]).alias("y"))).alias("t"))
     d = text.select("file", F.from_json("t", RD.JSON_PATTERN).alias("d")).select("file", F.coalesce("d.two_theta_values", "d.twoTheta", "d.x").alias("_x"),
                                                                                  F.coalesce("d.intensities", "d.intensity", "d.y").alias("_y"))
     return RD.json_points(d)
