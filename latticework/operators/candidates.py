@@ -254,6 +254,29 @@ def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
         F.avg(d * d).alias("mean_square"), F.min(F.when(changed, F.col("col"))).alias("first_changed_col"))
 
 
+def field_summary(cands: DataFrame) -> DataFrame:
+    """Per sample: size and ranges of a candidate set, and a fingerprint of its cells.
+
+    The fingerprint adds numbers made from (column, height, confidence to six decimals), so it
+    needs neither an order nor the cells of a sample together.
+    """
+    cell = F.concat_ws(":", F.col("col").cast("string"), F.col("y").cast("bigint").cast("string"), F.bround(F.col("confidence") * 1e6).cast("bigint").cast("string"))
+    number = F.conv(F.substring(F.md5(cell), 1, 10), 16, 10).cast("bigint")
+    return cands.groupBy("sample_id").agg(
+        F.countDistinct("col").alias("columns"), F.count(F.lit(1)).alias("total"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
+        F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"), F.avg("confidence").alias("confidence_mean"),
+        F.sum(number).alias("fingerprint"))
+
+
+def removal_counts(cands: DataFrame, keep: int = KEEP_FILTERED, minimum: float = MIN_CONFIDENCE) -> DataFrame:
+    """Per sample: candidates seen, dropped for low confidence, dropped beyond the column's quota, kept."""
+    weak = ~F.coalesce(F.col("confidence") >= minimum, F.lit(False))
+    seen = cands.groupBy("sample_id").agg(F.count(F.lit(1)).alias("seen"), F.count_if(weak).alias("low_confidence"))
+    kept = filter_top(cands, keep, minimum).groupBy("sample_id").agg(F.count(F.lit(1)).alias("kept"))
+    out = seen.join(kept, "sample_id", "left").fillna(0, ["kept"])
+    return out.withColumn("over_quota", F.col("seen") - F.col("low_confidence") - F.col("kept"))
+
+
 def keep_near_truth(raw: DataFrame, final: DataFrame, gt: DataFrame, near: float = 5.0, wider: float = 10.0, keep: int = KEEP_FINAL) -> DataFrame:
     """Force the best raw candidate near the truth into each column's final rows."""
     d = F.abs(F.col("y") - F.col("gt_y"))

@@ -202,6 +202,40 @@ def missing_zones(path: DataFrame, width: int) -> DataFrame:
                         (start + most).cast("int").alias("col_end"), F.lit(float(most + 1)).alias("metric"))
 
 
+def spike_zones(path: DataFrame, blocks: DataFrame, warm_up: int = 3, edge: int = 2, ratio: float = 0.30, covered: float = 0.95) -> DataFrame:
+    """Blocks whose cost grows much faster than the sample's stable blocks and that lack some path columns.
+
+    ``blocks``: sample_id, block_start, block_end, top1_cost. The first ``warm_up`` and last
+    ``edge`` blocks are not looked at; samples with fewer than ``warm_up`` + 3 blocks have no zones.
+    """
+    w = Window.partitionBy("sample_id").orderBy("block_start")
+    inc = blocks.withColumns({"_b": F.row_number().over(w) - 1, "_d": F.col("top1_cost") - F.lag("top1_cost").over(w)})
+    n = blocks.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
+    stable = inc.join(n, "sample_id").where(
+        (F.col("_n") >= warm_up + 3) & (F.col("_b") >= warm_up) & (F.col("_b") <= F.col("_n") - 1 - edge) & F.col("_d").isNotNull())
+    usual = stable.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_k"), F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s")).where("_k >= 3")
+    high = stable.join(usual, "sample_id").where(F.col("_d") > F.col("_m") + F.greatest(2.5 * F.col("_s"), F.col("_m") * ratio))
+    cols = high.withColumn("col", F.explode(F.sequence("block_start", "block_end"))).join(path.select(*SC, "y"), SC, "left")
+    share = cols.groupBy("sample_id", "block_start", "block_end").agg(
+        (F.count("y") / F.count(F.lit(1))).alias("_share"), (F.first("_d") / F.greatest(F.first("_m"), F.lit(0.01))).alias("metric"))
+    return share.where(F.col("_share") < covered).select(
+        "sample_id", F.lit("score_spike").alias("trigger"), F.col("block_start").alias("col_start"), F.col("block_end").alias("col_end"), "metric")
+
+
+def low_margin_zones(blocks: DataFrame, margin: float = 0.15, least_blocks: int = 2, least_columns: int = 12) -> DataFrame:
+    """Runs of blocks with close best states; a run that lasts to the last block counts as unfinished."""
+    w = Window.partitionBy("sample_id").orderBy("block_start")
+    b = blocks.withColumn("_b", F.row_number().over(w) - 1)
+    last = b.groupBy("sample_id").agg(F.max("_b").alias("_last"))
+    runs = mask_runs(b, ["sample_id"], "_b", F.coalesce(F.col("margin") < margin, F.lit(False)), least_blocks)
+    runs = runs.join(last, "sample_id").where("end < _last")
+    inside = runs.withColumn("_b", F.explode(F.sequence("start", "end"))).join(b.select("sample_id", "_b", "block_start", "block_end"), ["sample_id", "_b"])
+    z = inside.groupBy("sample_id", "start", "length").agg(
+        F.min("block_start").alias("col_start"), F.max("block_end").alias("col_end"), F.sum(F.col("block_end") - F.col("block_start") + 1).alias("_cols"))
+    return z.where(F.col("_cols") >= least_columns).select(
+        "sample_id", F.lit("low_margin_streak").alias("trigger"), "col_start", "col_end", F.col("length").cast("double").alias("metric"))
+
+
 def merge_zones(zones: DataFrame, gap: int = 20) -> DataFrame:
     """Join zones closer than ``gap`` columns and unite their trigger names."""
     one = zones.groupBy("sample_id", "col_start", "col_end").agg(F.min("trigger").alias("trigger"))

@@ -265,6 +265,29 @@ def trouble_zones(spark, folder):
     return Q.merge_zones(zones, 2).select("sample_id", "col_start", "col_end", "trigger")
 
 
+@register("block_zones", "K27", oracle("candidates trace", """
+    st AS (SELECT sample_id, col, y + confidence * 10 + cand_id % 1000 / 1000.0 AS cost FROM candidates),
+    be AS (SELECT sample_id, col // 4 AS block, max(col) AS ce, min(col) AS cs FROM st GROUP BY 1, 2),
+    k AS (SELECT s.sample_id, e.block, cost, row_number() OVER (PARTITION BY s.sample_id, e.block ORDER BY cost) AS rk FROM st s JOIN be e ON e.sample_id = s.sample_id AND s.col = e.ce),
+    b AS (SELECT e.sample_id, cs, ce, max(cost) FILTER (rk = 1) AS c1, max(cost) FILTER (rk = 2) - max(cost) FILTER (rk = 1) AS margin FROM be e JOIN k USING (sample_id, block) GROUP BY 1, 2, 3),
+    i AS (SELECT *, row_number() OVER w - 1 AS bi, c1 - lag(c1) OVER w AS d, count(*) OVER (PARTITION BY sample_id) AS n FROM b WINDOW w AS (PARTITION BY sample_id ORDER BY cs)),
+    sb AS (SELECT * FROM i WHERE n >= 6 AND bi >= 3 AND bi <= n - 3 AND d IS NOT NULL),
+    us AS (SELECT sample_id, avg(d) AS m, stddev_pop(d) AS s FROM sb GROUP BY 1 HAVING count(*) >= 3),
+    hi AS (SELECT sb.*, m FROM sb JOIN us USING (sample_id) WHERE d > m + greatest(2.5 * s, m * 0.3)),
+    sz AS (SELECT h.sample_id, h.cs, h.ce, any_value(h.d) / greatest(any_value(h.m), 0.01) AS metric FROM hi h LEFT JOIN trace t ON t.sample_id = h.sample_id AND t.col BETWEEN h.cs AND h.ce
+      GROUP BY 1, 2, 3 HAVING count(t.y) / CAST(h.ce - h.cs + 1 AS DOUBLE) < 0.95),
+    lw AS (SELECT *, bi - row_number() OVER (PARTITION BY sample_id ORDER BY bi) AS g FROM i WHERE margin < 0.15),
+    lz AS (SELECT sample_id, min(cs) AS cs, max(ce) AS ce, count(*) AS metric FROM lw GROUP BY sample_id, g HAVING count(*) >= 2 AND max(bi) < max(n) - 1 AND sum(ce - cs + 1) >= 12)
+    SELECT sample_id, 'score_spike' AS trigger, CAST(cs AS INT) AS col_start, CAST(ce AS INT) AS col_end, """ + R("metric", 4) + """ AS metric FROM sz
+    UNION ALL SELECT sample_id, 'low_margin_streak', CAST(cs AS INT), CAST(ce AS INT), CAST(metric AS DOUBLE) FROM lz"""))
+def block_zones(spark, folder):
+    c, t = cands(spark, folder), I.trace(spark, folder)
+    states = c.select("sample_id", "col", (F.col("y") + F.col("confidence") * 10 + F.col("cand_id") % 1000 / 1000.0).alias("cost"))
+    blocks = Q.block_stats(states, 4)
+    zones = Q.spike_zones(t, blocks).withColumn("metric", r("metric", 4)).unionByName(Q.low_margin_zones(blocks))
+    return zones.select("sample_id", "trigger", F.col("col_start").cast("int").alias("col_start"), F.col("col_end").cast("int").alias("col_end"), "metric")
+
+
 EDGE = """zn AS (SELECT sample_id, col, y, 'left' AS side, CASE WHEN col < 5 THEN 'edge' WHEN col >= 10 AND col < 42 THEN 'stable' END AS z, col = 4 AS be, col = 10 AS bs FROM trace WHERE y IS NOT NULL
       UNION ALL SELECT sample_id, col, y, 'right', CASE WHEN col >= 59 THEN 'edge' WHEN col < 54 AND col >= 22 THEN 'stable' END, col = 59, col = 53 FROM trace WHERE y IS NOT NULL),
     ed AS (SELECT sample_id, side, count(*) FILTER (z = 'stable') AS n_stable, count(*) FILTER (z = 'edge') AS n_edge, abs(max(CASE WHEN be THEN y END) - max(CASE WHEN bs THEN y END)) AS jump,
@@ -394,6 +417,23 @@ def compare_sets(spark, folder):
     return out.select("sample_id", "cells", "changed_cells", "first_changed_col", *[r(x).alias(x) for x in ("max_abs", "mean_abs", "mean_square")])
 
 
+@register("field_summary", "K45", oracle("candidates", f"""
+    SELECT sample_id, count(DISTINCT col) AS columns, count(*) AS total, min(y) AS y_min, max(y) AS y_max, {R('min(confidence)')} AS confidence_min, {R('max(confidence)')} AS confidence_max, {R('avg(confidence)')} AS confidence_mean,
+      CAST(sum(('0x' || substr(md5(col::VARCHAR || ':' || y::BIGINT::VARCHAR || ':' || round_even(confidence * 1e6, 0)::BIGINT::VARCHAR), 1, 10))::BIGINT) AS BIGINT) AS fingerprint
+    FROM candidates GROUP BY 1"""))
+def field_summary(spark, folder):
+    out = C.field_summary(cands(spark, folder))
+    return out.select("sample_id", "columns", "total", "y_min", "y_max", *[r(n).alias(n) for n in ("confidence_min", "confidence_max", "confidence_mean")], "fingerprint")
+
+
+@register("removal_counts", "K4", oracle("candidates", SCORED + """
+    , s AS (SELECT sample_id, count(*) AS seen, count(*) FILTER (NOT confidence >= 0.25) AS low_confidence FROM candidates GROUP BY 1),
+    k AS (SELECT sample_id, count(*) AS kept FROM ranked WHERE rank <= 16 GROUP BY 1)
+    SELECT sample_id, seen, low_confidence, coalesce(kept, 0) AS kept, seen - low_confidence - coalesce(kept, 0) AS over_quota FROM s LEFT JOIN k USING (sample_id)"""))
+def removal_counts(spark, folder):
+    return C.removal_counts(cands(spark, folder)).select("sample_id", "seen", "low_confidence", "kept", "over_quota")
+
+
 TWO = """pa AS (SELECT sample_id, col, y FROM trace), pb AS (SELECT sample_id, col, CASE WHEN col % 4 = 1 THEN NULL ELSE y + (col % 3) * 2 END AS y FROM trace),
     bc AS (SELECT sample_id, col, y, max(confidence) AS c FROM candidates GROUP BY 1, 2, 3)"""
 
