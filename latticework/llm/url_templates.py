@@ -105,13 +105,10 @@ def judged(urls: DataFrame, settings: Settings = Settings(), rules: tuple[tuple[
     placed = with_templates(urls, settings)
     sums = placed.groupBy("host", "template").agg(F.count("bad").alias("_n"), F.sum(F.coalesce("bad", F.lit(0))).alias("_k"))
     hosts = sums.groupBy("host").agg(F.sum("_n").alias("_host_n"), F.sum("_k").alias("_host_k"))
-    total = hosts.agg(((F.sum("_host_k") + 1) / (F.sum("_host_n") + 2)).alias("_all"))
+    total = hosts.agg((F.sum("_host_k") + 1) / (F.sum("_host_n") + 2)).first()[0]
     s = F.lit(settings.strength)
-    of_host = (F.col("_host_k") + s * F.col("_all")) / (F.col("_host_n") + s)
-    shares = (
-        sums.join(hosts, "host").join(F.broadcast(total))
-        .select("host", "template", ((F.col("_k") + s * of_host) / (F.col("_n") + s)).alias("bad_share"))
-    )
+    of_host = (F.col("_host_k") + s * F.lit(0.5 if total is None else total)) / (F.col("_host_n") + s)
+    shares = sums.join(hosts, "host").select("host", "template", ((F.col("_k") + s * of_host) / (F.col("_n") + s)).alias("bad_share"))
     text, says = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") >= settings.reject, F.lit("block")).otherwise(F.lit("allow"))
     return placed.join(shares, ["host", "template"]).withColumn("rule", text).withColumn("verdict", F.coalesce(says, own))
