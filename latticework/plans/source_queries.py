@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from latticework.plans import inputs as I
-from latticework.plans.inputs import oracle
-from latticework.plans.registry import register
+from latticework.plans.inputs import R, oracle
+from latticework.plans.registry import r, register
+from latticework.session import scratch_path
 from latticework.sources import readers as RD
+from latticework.sources import sinks as SK
 
 LINES = """lines AS (SELECT pattern_id AS file, idx + 3 AS line_no, CASE idx % 3 WHEN 0 THEN two_theta::DECIMAL(6,1)::VARCHAR || chr(9) || intensity::BIGINT::VARCHAR
       WHEN 1 THEN two_theta::DECIMAL(6,1)::VARCHAR || ', ' || intensity::BIGINT::VARCHAR || 'cps' ELSE two_theta::DECIMAL(6,1)::VARCHAR || '   ' || intensity::BIGINT::VARCHAR END AS line FROM pattern_points)"""
@@ -54,3 +56,61 @@ def normalise_truth(spark, folder):
     gt = p.groupBy("pattern_id").agg(F.collect_list(F.when(F.col("intensity") > 250000, F.col("two_theta"))).alias("peak_x_values"))
     gt = gt.withColumn("peaks", F.array().cast("array<struct<two_theta:double>>"))
     return RD.normalise_truth(gt).select("pattern_id", F.size("peaks").cast("bigint").alias("n_peaks"))
+
+
+# the following write files to the shared folder and read them back
+
+
+@register("result_records", "S10", oracle("trace", f"""
+    SELECT sample_id, count(*) AS columns, count(y) AS valid, {R('CASE WHEN max(y) > min(y) + 30 THEN NULL ELSE avg(y) END')} AS mean_y FROM trace GROUP BY 1"""))
+def result_records(spark, folder):
+    """A mean of a tall trace is written as NaN, which the sink turns into an absent value."""
+    mean = F.when(F.max("y") > F.min("y") + 30, F.lit(float("nan"))).otherwise(F.avg("y"))
+    rows = I.trace(spark, folder).groupBy("sample_id").agg(F.count(F.lit(1)).alias("columns"), F.count("y").alias("valid"), mean.alias("mean_y"))
+    path = scratch_path(spark, "results")
+    SK.write_results(rows, path)
+    return spark.read.schema(rows.schema).json(path).withColumn("mean_y", r("mean_y"))
+
+
+@register("report_records", "S11", oracle("metrics", f"""
+    SELECT domain, count(*) AS samples, {R('avg(peak_recall)')} AS mean FROM metrics GROUP BY 1"""))
+def report_records(spark, folder):
+    m = I.metrics(spark, folder)
+    stats = m.groupBy("domain").agg(F.count(F.lit(1)).alias("samples"), F.avg("peak_recall").alias("metric_stats"))
+    path = scratch_path(spark, "report")
+    SK.write_report(stats, path)
+    back = spark.read.schema("domain string, samples long, core_metrics_stats double").json(path)
+    return back.select("domain", "samples", r("core_metrics_stats").alias("mean"))
+
+
+@register("risk_rows", "S12", oracle("candidates", f"""
+    SELECT part, sample_id, col, {R('confidence')} AS confidence FROM (SELECT sample_id, col, max(confidence) AS confidence FROM candidates GROUP BY 1, 2), (VALUES (1), (2)) v(part)"""))
+def risk_rows(spark, folder):
+    """Two appends to one table of rows."""
+    best = I.candidates(spark, folder).groupBy("sample_id", "col").agg(F.max("confidence").alias("confidence"))
+    path = scratch_path(spark, "risk")
+    for part in (1, 2):
+        SK.append_risk_rows(best.select(F.lit(part).alias("part"), "sample_id", "col", "confidence"), path)
+    back = spark.read.schema("part int, sample_id long, col int, confidence double").option("header", True).csv(path)
+    return back.withColumn("confidence", r("confidence"))
+
+
+@register("sample_manifest", "S8", oracle("trace", """
+    SELECT s_suppkey::VARCHAR AS sample_id, 'truth/' || s_suppkey || '.json' AS gt_path FROM supplier
+    WHERE s_suppkey IN (SELECT sample_id FROM trace GROUP BY 1 HAVING count(y) >= 40) AND s_suppkey IN (SELECT l_suppkey FROM lineitem)"""))
+def sample_manifest(spark, folder):
+    """Listed samples with a well-covered trace and with candidates."""
+    name = F.col("s_suppkey").cast("string")
+    listed = I.table(spark, folder, "supplier").select(name.alias("sample_id"), F.concat(F.lit("truth/"), name, F.lit(".json")).alias("gt_path"))
+    path = scratch_path(spark, "manifest")
+    listed.write.option("header", True).csv(path)
+    covered = I.trace(spark, folder).groupBy("sample_id").agg(F.count("y").alias("n")).where("n >= 40")
+    known = I.table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("sample_id")).distinct()
+    return RD.manifest(spark, path, covered.select(F.col("sample_id").cast("string").alias("sample_id")), known)
+
+
+@register("stored_points", "S10", oracle("pattern_points", "SELECT pattern_id, idx, two_theta, intensity FROM pattern_points"))
+def stored_points(spark, folder):
+    path = scratch_path(spark, "points")
+    SK.write_points(I.pattern_points(spark, folder).select("pattern_id", "idx", "two_theta", "intensity"), path)
+    return spark.read.parquet(path)

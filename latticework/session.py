@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; the driver's file system removes it when the session ends."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Store a derived table that later steps read several times and cut its lineage.
 

@@ -5,6 +5,7 @@ Every reader works on whole folders and returns long tables keyed by file or sam
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,12 +159,13 @@ def calibrations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(spark: SparkSession, path: str, have_result: DataFrame, have_debug: DataFrame, max_samples: int = 0) -> DataFrame:
-    """Listed samples that have both outputs; the cap counts manifest rows in order."""
+    """Listed samples that have both outputs; ``max_samples`` above 0 takes the first rows by file and place in it."""
     rows = spark.read.schema("sample_id string, gt_path string").option("header", True).csv(path)
-    rows = rows.withColumn("_order", F.monotonically_increasing_id())
     if max_samples > 0:
-        rows = rows.orderBy("_order").limit(max_samples)
-    return rows.drop("_order").join(have_result.select("sample_id"), "sample_id", "left_semi").join(have_debug.select("sample_id"), "sample_id", "left_semi")
+        # ids ascend within a split; splits of a file are ordered by where they start
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        rows = rows.withColumn("_order", place).orderBy("_order").limit(max_samples).drop("_order")
+    return rows.join(have_result.select("sample_id"), "sample_id", "left_semi").join(have_debug.select("sample_id"), "sample_id", "left_semi")
 
 
 def normalise_truth(gt: DataFrame) -> DataFrame:
@@ -182,21 +184,27 @@ def training_manifest(spark: SparkSession, images: str, truth: DataFrame) -> Dat
     return parts.join(truth.where("plot_box IS NOT NULL AND per_column_y_gt IS NOT NULL"), "sample_id")
 
 
+def rejected_images(spark: SparkSession, path: str) -> DataFrame:
+    """Files that the image decoder can't read."""
+    img = spark.read.format("image").option("dropInvalid", False).load(path)
+    return img.where("image.nChannels IS NULL OR image.nChannels < 1").select(F.col("image.origin").alias("file"))
+
+
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as pixel rows; the decoder delivers blue, green, red (and alpha) bytes."""
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select(
+    """Decoded images as pixel rows; the decoder delivers blue, green, red (and alpha) bytes.
+
+    Files that can't be decoded are those of ``rejected_images``.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(path).where("image.nChannels > 0").select(
         F.col("image.origin").alias("file"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
 
     def explode(batches):
         for pdf in batches:
             for file, w, n, data in pdf.itertuples(index=False, name=None):
-                raw = memoryview(data)
-                if n == 1:
-                    b = g = r = list(raw)
-                else:
-                    b, g, r = list(raw[0::n]), list(raw[1::n]), list(raw[2::n])
-                idx = range(len(b))
-                yield pd.DataFrame({"file": file, "x": [i % w for i in idx], "y": [i // w for i in idx], "r": r, "g": g, "b": b})
+                raw = np.frombuffer(data, np.uint8).reshape(-1, n)
+                b, g, r = (raw[:, min(k, n - 1) if n < 3 else k].astype("int32") for k in range(3))
+                at = np.arange(len(raw), dtype="int32")
+                yield pd.DataFrame({"file": file, "x": at % w, "y": at // w, "r": r, "g": g, "b": b})
 
     return img.mapInPandas(explode, "file string, x int, y int, r int, g int, b int")
 
