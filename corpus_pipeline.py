@@ -16,6 +16,10 @@ from latticework.llm.tables import read_table, stored
 from latticework.session import configure
 
 
+# aligned share of both documents' words from which they count as copies of one another
+COPY_SHARE = 0.65
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects go; labels of one hash quarter are never learned from."""
     configure(spark)
@@ -24,9 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go; so do documents of which nothing is left."""
+    """Blocks of lines that an earlier document has go; so do documents of which nothing is left.
+
+    Documents that are copies as a whole are left whole for the next stage, which keeps one
+    text of each group, instead of being cut to pieces that no longer look alike.
+    """
     configure(spark)
-    left = line_align.deduplicated(docs).filter(~F.col("emptied"))
+    left = line_align.deduplicated(docs, copy_share=COPY_SHARE).filter(~F.col("emptied"))
     changed = F.col("removed_blocks") > 0
     sizes = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", sizes).select(*docs.columns)

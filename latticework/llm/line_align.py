@@ -137,12 +137,17 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "sig", "units", "words"])
 
 
-def _aligned(block_words: int):
+def _aligned(block_words: int, copy_share: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
-            for doc_id, sig, later, words, earlier in zip(*(c.to_pylist() for c in batch.columns)):
-                for first, last in common_blocks(earlier, later, words, block_words):
+            for doc_id, sig, later, words, earlier, earlier_words in zip(*(c.to_pylist() for c in batch.columns)):
+                blocks = common_blocks(earlier, later, words, block_words)
+                if copy_share is not None:
+                    common = sum(words[i] for _, i in patience(earlier, later))
+                    if common >= copy_share * max(sum(words), earlier_words):
+                        continue
+                for first, last in blocks:
                     for column, value in zip(out, (doc_id, sig, first, last)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "sig", "first", "last"])
@@ -165,13 +170,16 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: int = PAIR_WORDS) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: int = PAIR_WORDS, copy_share: float | None = None
+) -> DataFrame:
     """`docs` with blocks taken out of `text`, and removed_words, removed_blocks, emptied.
 
     Columns of the three added names are replaced, others stay. Null and empty texts and rows
     with a null doc_id stay as they are and are compared with nothing. Rows that share a doc_id
     are not compared with each other. `emptied` marks texts of which nothing but white space
-    is left.
+    is left. With `copy_share`, a pair whose aligned units hold that share of the words of both
+    is a pair of copies and left whole, for a step that keeps one text of each such group.
     """
     added = ("removed_words", "removed_blocks", "emptied")
     docs = docs.drop(*added)
@@ -191,10 +199,12 @@ def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: in
         .groupBy("doc", "from").agg(F.sum("words").alias("shared")).filter(F.col("shared") >= pair_words).drop("shared")
     )
     pairs = stored(pairs, "pairs")
-    both = pairs.join(texts.select(key.alias("from"), F.col("units").alias("earlier")).dropDuplicates(["from"]), "from")
+    both = pairs.join(texts.select(
+        key.alias("from"), F.col("units").alias("earlier"), F.aggregate("words", F.lit(0), lambda a, x: a + x).alias("earlier_words")
+    ).dropDuplicates(["from"]), "from")
     both = both.join(texts.select(key.alias("doc"), "units", "words"), "doc")
-    blocks = both.select("doc.doc_id", "doc.sig", "units", "words", "earlier").mapInArrow(
-        _aligned(block_words), "doc_id long, sig long, first long, last long"
+    blocks = both.select("doc.doc_id", "doc.sig", "units", "words", "earlier", "earlier_words").mapInArrow(
+        _aligned(block_words, copy_share), "doc_id long, sig long, first long, last long"
     )
     blocks = stored(blocks.distinct().groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "last")).alias("blocks")), "blocks")
     dropped(texts)

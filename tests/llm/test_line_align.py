@@ -58,6 +58,18 @@ def test_many_copies_of_one_passage(make_docs):
     assert sum(r.removed_words for r in got) == 299 * 60
 
 
+def test_copies_can_be_left_whole(make_docs):
+    rng = random.Random(6)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    passage = [sentence(10) for _ in range(6)]
+    own = [sentence(10) for _ in range(12)]
+    copy = [*own[:5], sentence(10), *own[6:]]
+    texts = [" ".join(own), " ".join(copy), " ".join([*passage, sentence(60)]), " ".join([sentence(60), *passage])]
+    got = {r.doc_id: r for r in la.deduplicated(make_docs(texts), copy_share=0.65).collect()}
+    assert got[1].text == texts[1] and got[3].removed_words == 60
+    assert {r.doc_id: r.removed_words for r in la.deduplicated(make_docs(texts)).collect()}[1] == 110
+
+
 def test_edges(edge_docs, no_docs):
     got = la.deduplicated(edge_docs)
     assert got.columns[: len(edge_docs.columns)] == edge_docs.columns
