@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latticework.llm import decontaminate, html_paths, line_align, ngram_join, packing, quality_mil, rule_forest, toxicity, url_templates, warc
+from latticework.llm import (
+    decontaminate, html_paths, line_align, ngram_join, oracles, packing, quality_mil, rule_forest, toxicity, url_templates, warc,
+)
 from latticework.llm.tables import read_table, shared_path
 from latticework.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": oracles.jaccard_sql(), "op8_warc": oracles.warc_sql(), "op10_url_templates": oracles.url_sql(),
+}
 
 
 def tokenizer_path() -> str:

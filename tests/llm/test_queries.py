@@ -2,10 +2,11 @@
 
 import os
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from latticework.llm.queries import QUERIES
+from latticework.llm.queries import ORACLES, QUERIES
 from latticework.llm.tables import read_table
 
 from . import test_decontaminate, test_ngram_join, test_packing
@@ -50,6 +51,17 @@ def test_per_page_queries(spark):
         assert sorted(r.page_id for r in QUERIES[name](spark, FOLDER).collect()) == sorted(r.page_id for r in pages.collect())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    got = QUERIES[name](spark, FOLDER).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cursor.fetchall()))
+
+
 def test_rule_query(spark):
     rows = QUERIES["op6_rule_forest"](spark, FOLDER).collect()
     assert len(rows) == len(texts(spark)) and all(not r.kept for r in rows if r.base_failed)
