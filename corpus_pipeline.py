@@ -16,8 +16,8 @@ from latticework.llm.tables import read_table, stored
 from latticework.session import configure
 
 
-# aligned share of both documents' words from which they count as copies of one another
-COPY_SHARE = 0.65
+# near duplicates: words of a shingle, and the least Jaccard similarity as a fraction
+SHINGLE, PART, WHOLE = 5, 80, 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; so do documents of which nothing is left.
 
-    Documents that are copies as a whole are left whole for the next stage, which keeps one
-    text of each group, instead of being cut to pieces that no longer look alike.
+    Two documents that the next stage joins as they leave this one are left whole for it, which
+    keeps one text of each group, instead of being cut to pieces that no longer look alike.
     """
     configure(spark)
-    left = line_align.deduplicated(docs, copy_share=COPY_SHARE).filter(~F.col("emptied"))
+    left = line_align.deduplicated(docs, similar=(SHINGLE, PART, WHOLE)).filter(~F.col("emptied"))
     changed = F.col("removed_blocks") > 0
     sizes = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", sizes).select(*docs.columns)
@@ -43,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard similarity of 0.8 on five-word shingles the first stays."""
     configure(spark)
-    return ngram_join.one_per_component(docs, k=5, part=80).select(*docs.columns)
+    return ngram_join.one_per_component(docs, SHINGLE, PART, WHOLE).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

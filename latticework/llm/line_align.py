@@ -125,36 +125,104 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], block_
     return blocks
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, end, offsets, data in textops.slices(batch.column(2)):
-            found, words = units(offsets, data)
-            bounds = pa.array(np.searchsorted(found.row, np.arange(end - row + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row),
-                pa.ListArray.from_arrays(bounds, pa.array(found.hash.view(np.int64))),
-                pa.ListArray.from_arrays(bounds, pa.array(words.astype(np.int32))),
-            ], ["doc_id", "sig", "units", "words"])
+def _sequences(k: int | None):
+    """Units of every text and, with k, its number of distinct k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, offsets, data in textops.slices(batch.column(2)):
+                found, words = units(offsets, data)
+                bounds = pa.array(np.searchsorted(found.row, np.arange(end - row + 1)).astype(np.int32))
+                n = np.zeros(end - row, np.int64)
+                if k is not None:
+                    n = np.diff(textops.shingle_sets(textops.words(offsets, data, fold=True), end - row, k)[0])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row),
+                    pa.ListArray.from_arrays(bounds, pa.array(found.hash.view(np.int64))),
+                    pa.ListArray.from_arrays(bounds, pa.array(words.astype(np.int32))), pa.array(n.astype(np.int64)),
+                ], ["doc_id", "sig", "units", "words", "n"])
+
+    return run
+
+
+PAIR = ("doc_id", "sig", "from_id", "from_sig")
 
 
 def _aligned(block_words: int, copy_share: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[], [], [], []]
-            for doc_id, sig, later, words, earlier, earlier_words in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list[int]] = [[] for _ in range(6)]
+            for *pair, later, words, earlier, earlier_words in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks = common_blocks(earlier, later, words, block_words)
                 if copy_share is not None:
                     common = sum(words[i] for _, i in patience(earlier, later))
                     if common >= copy_share * max(sum(words), earlier_words):
                         continue
                 for first, last in blocks:
-                    for column, value in zip(out, (doc_id, sig, first, last)):
+                    for column, value in zip(out, (*pair, first, last)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "sig", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [*PAIR, "first", "last"])
 
     return run
 
 
+def alike(a: str, b: str, k: int, part: int, whole: int) -> bool:
+    """Jaccard similarity of the k-word shingle sets, letter case ignored, is at least part / whole."""
+    sets = []
+    for raw in (a.encode(), b.encode()):
+        spans = textops.words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), fold=True)
+        sets.append(textops.shingle_sets(spans, 1, k)[1])
+    common = len(np.intersect1d(*sets, assume_unique=True))
+    return common > 0 and whole * common >= part * (len(sets[0]) + len(sets[1]) - common)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int, int]) -> DataFrame:
+    """Those of the pairs whose two texts (doc_id, sig, text) are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [alike(a.as_py(), b.as_py(), *similar) for a, b in zip(batch.column(4), batch.column(5))]
+            yield batch.select(PAIR).filter(pa.array(found, pa.bool_()))
+
+    texts = texts.dropDuplicates(["doc_id", "sig"])
+    both = pairs.join(texts.withColumnRenamed("text", "later"), ["doc_id", "sig"]).join(
+        texts.select(F.col("doc_id").alias("from_id"), F.col("sig").alias("from_sig"), F.col("text").alias("earlier")), ["from_id", "from_sig"]
+    )
+    return both.select(*PAIR, "later", "earlier").mapInArrow(run, ", ".join(f"{n} long" for n in PAIR))
+
+
+def _copies(near: DataFrame, blocks: DataFrame, keyed: DataFrame, similar: tuple[int, int, int]) -> DataFrame:
+    """Pairs that are alike as whole texts and still are when the blocks of all other pairs are gone.
+
+    A pair that other cuts pull apart is no pair of copies: its own blocks go too, which
+    may pull further pairs apart, until none is.
+    """
+    copies = stored(_alike(near, keyed, similar), "copies")
+    left = copies.count()
+    while left:
+        cut = stored(_listed(blocks.join(copies, [*PAIR], "left_anti")), "cut")
+        changed = cut.select("doc_id", "sig")
+        doubtful = copies.join(changed, ["doc_id", "sig"], "left_semi").unionByName(
+            copies.join(changed.toDF("from_id", "from_sig"), ["from_id", "from_sig"], "left_semi").select(*PAIR)
+        ).distinct()
+        doubtful = stored(doubtful.select(*PAIR), "doubtful")
+        sides = doubtful.select("doc_id", "sig").unionByName(doubtful.select(F.col("from_id").alias("doc_id"), F.col("from_sig").alias("sig")))
+        texts = _without(keyed.join(sides.distinct(), ["doc_id", "sig"], "left_semi").select("doc_id", "sig", "text"), cut)
+        still = _alike(doubtful, texts.select("doc_id", "sig", "text"), similar)
+        now = stored(copies.join(doubtful, [*PAIR], "left_anti").select(*PAIR).unionByName(still), "copies")
+        before, left = left, now.count()
+        if left == before:
+            break
+        copies = now
+    return copies
+
+
+def _listed(blocks: DataFrame) -> DataFrame:
+    return blocks.select("doc_id", "sig", "first", "last").distinct().groupBy("doc_id", "sig").agg(
+        F.collect_list(F.struct("first", "last")).alias("blocks")
+    )
+
+
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the byte spans; a line that goes whole takes its line end along."""
     kept, at = [], 0
@@ -170,44 +238,11 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def deduplicated(
-    docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: int = PAIR_WORDS, copy_share: float | None = None
-) -> DataFrame:
-    """`docs` with blocks taken out of `text`, and removed_words, removed_blocks, emptied.
+ADDED = ("removed_words", "removed_blocks", "emptied")
 
-    Columns of the three added names are replaced, others stay. Null and empty texts and rows
-    with a null doc_id stay as they are and are compared with nothing. Rows that share a doc_id
-    are not compared with each other. `emptied` marks texts of which nothing but white space
-    is left. With `copy_share`, a pair whose aligned units hold that share of the words of both
-    is a pair of copies and left whole, for a step that keeps one text of each such group.
-    """
-    added = ("removed_words", "removed_blocks", "emptied")
-    docs = docs.drop(*added)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
-    texts = stored(
-        keyed.filter("doc_id is not null and text is not null").mapInArrow(
-            _sequences, "doc_id long, sig long, units array<long>, words array<int>"
-        ), "sequences",
-    )
-    key = F.struct("doc_id", "sig")
-    held = texts.select(key.alias("doc"), F.explode(F.arrays_zip("units", "words")).alias("u")).select(
-        "doc", F.col("u.units").alias("unit"), F.col("u.words").alias("words")
-    ).filter(F.col("words") >= UNIT_WORDS)
-    earliest = held.groupBy("unit").agg(F.min("doc").alias("from"), F.max("doc.doc_id").alias("hi")).filter("from.doc_id < hi")
-    pairs = (
-        held.join(earliest.drop("hi"), "unit").filter("doc.doc_id > from.doc_id")
-        .groupBy("doc", "from").agg(F.sum("words").alias("shared")).filter(F.col("shared") >= pair_words).drop("shared")
-    )
-    pairs = stored(pairs, "pairs")
-    both = pairs.join(texts.select(
-        key.alias("from"), F.col("units").alias("earlier"), F.aggregate("words", F.lit(0), lambda a, x: a + x).alias("earlier_words")
-    ).dropDuplicates(["from"]), "from")
-    both = both.join(texts.select(key.alias("doc"), "units", "words"), "doc")
-    blocks = both.select("doc.doc_id", "doc.sig", "units", "words", "earlier", "earlier_words").mapInArrow(
-        _aligned(block_words, copy_share), "doc_id long, sig long, first long, last long"
-    )
-    blocks = stored(blocks.distinct().groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "last")).alias("blocks")), "blocks")
-    dropped(texts)
+
+def _without(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`docs` without the listed unit ranges (doc_id, sig of the whole text, blocks), and the added columns."""
     names = docs.columns
     # a merge join whatever the number of changed texts, so small and large corpora behave alike
     joined = docs.alias("d").withColumn("_key", F.col("doc_id").cast("long")).withColumn("_sig", F.xxhash64("text")).join(
@@ -235,9 +270,60 @@ def deduplicated(
             columns[at] = pa.array(texts, pa.string())
             emptied = [bool(w) and not t.strip() for w, t in zip(words, texts)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(words, pa.int64()), pa.array(blocks, pa.int64()), pa.array(emptied, pa.bool_())], [*names, *added]
+                [*columns, pa.array(words, pa.int64()), pa.array(blocks, pa.int64()), pa.array(emptied, pa.bool_())], [*names, *ADDED]
             )
 
     kinds = (T.LongType(), T.LongType(), T.BooleanType())
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, kinds))])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(ADDED, kinds))])
     return joined.mapInArrow(take_out, schema)
+
+
+def deduplicated(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: int = PAIR_WORDS, copy_share: float | None = None,
+    similar: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """`docs` with blocks taken out of `text`, and removed_words, removed_blocks, emptied.
+
+    Columns of the three added names are replaced, others stay. Null and empty texts and rows
+    with a null doc_id stay as they are and are compared with nothing. Rows that share a doc_id
+    are not compared with each other. `emptied` marks texts of which nothing but white space
+    is left. With `copy_share`, a pair whose aligned units hold that share of the words of both
+    is a pair of copies and left whole. With `similar` = (k, part, whole), a pair is left whole
+    only if a step that joins k-word shingle sets of Jaccard similarity part / whole joins
+    its two texts as they come out of here (exact, see `_copies`).
+    """
+    docs = docs.drop(*ADDED)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
+    keyed = keyed.filter("doc_id is not null and text is not null")
+    texts = stored(keyed.mapInArrow(
+        _sequences(similar[0] if similar else None), "doc_id long, sig long, units array<long>, words array<int>, n long"
+    ), "sequences")
+    key = F.struct("doc_id", "sig")
+    held = texts.select(key.alias("doc"), F.explode(F.arrays_zip("units", "words")).alias("u")).select(
+        "doc", F.col("u.units").alias("unit"), F.col("u.words").alias("words")
+    ).filter(F.col("words") >= UNIT_WORDS)
+    earliest = held.groupBy("unit").agg(F.min("doc").alias("from"), F.max("doc.doc_id").alias("hi")).filter("from.doc_id < hi")
+    pairs = (
+        held.join(earliest.drop("hi"), "unit").filter("doc.doc_id > from.doc_id")
+        .groupBy("doc", "from").agg(F.sum("words").alias("shared")).filter(F.col("shared") >= pair_words).drop("shared")
+    )
+    pairs = stored(pairs, "pairs")
+    both = pairs.join(texts.select(
+        key.alias("from"), F.col("units").alias("earlier"), F.aggregate("words", F.lit(0), lambda a, x: a + x).alias("earlier_words")
+    ).dropDuplicates(["from"]), "from")
+    both = both.join(texts.select(key.alias("doc"), "units", "words"), "doc")
+    blocks = stored(both.select(
+        "doc.doc_id", "doc.sig", F.col("from.doc_id").alias("from_id"), F.col("from.sig").alias("from_sig"),
+        "units", "words", "earlier", "earlier_words",
+    ).mapInArrow(_aligned(block_words, copy_share), ", ".join(f"{n} long" for n in (*PAIR, "first", "last"))), "aligned")
+    if similar:
+        sizes = texts.select("doc_id", "sig", "n").distinct()
+        near = blocks.select(*PAIR).distinct().join(sizes, ["doc_id", "sig"]).join(
+            sizes.toDF("from_id", "from_sig", "from_n"), ["from_id", "from_sig"]
+        ).filter(similar[2] * F.least("n", "from_n") >= similar[1] * F.greatest("n", "from_n"))
+        near = stored(near.select(*PAIR), "near")
+        dropped(texts)
+        blocks = blocks.join(_copies(near, blocks, keyed, similar), [*PAIR], "left_anti")
+    else:
+        dropped(texts)
+    return _without(docs, stored(_listed(blocks), "blocks"))

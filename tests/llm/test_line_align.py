@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from latticework.llm import line_align as la
 
 
@@ -70,6 +71,43 @@ def test_copies_can_be_left_whole(make_docs):
     assert {r.doc_id: r.removed_words for r in la.deduplicated(make_docs(texts)).collect()}[1] == 110
 
 
+def test_only_pairs_that_the_next_stage_joins_stay_whole(make_docs):
+    rng = random.Random(8)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    own, other = [sentence(10) for _ in range(20)], [sentence(10) for _ in range(20)]
+    part = [*own[:16], *(sentence(10) for _ in range(4))]  # 80 % of the words, Jaccard 0.66
+    copy = [*own[:19], sentence(10)]  # Jaccard 0.9
+    passage = [sentence(10) for _ in range(3)]
+    pulled = [*passage, *other], [sentence(40), *other, *passage, sentence(10)], [sentence(15), *passage]
+    texts = [" ".join(x) for x in (own, part, copy, pulled[2], pulled[0], [*pulled[0][:-1], sentence(10)], pulled[1])]
+    got = {r.doc_id: r for r in la.deduplicated(make_docs(texts), similar=(5, 80, 100)).collect()}
+    assert got[1].removed_words == 160 and got[2].text == texts[2] and got[0].text == texts[0]
+    # both of a pair of copies lose the passage of an earlier text and are still joined; the last is not alike
+    assert got[4].removed_words == got[5].removed_words == 30 and la.alike(got[4].text, got[5].text, 5, 80, 100)
+    assert got[6].removed_words == 230
+    assert not la.alike(texts[0], texts[1], 5, 80, 100) and la.alike(texts[0], texts[2].upper(), 5, 80, 100)
+
+
+def test_pipeline_cuts_pairs_that_are_no_near_duplicates(spark, make_docs):
+    rng = random.Random(10)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    own = [sentence(10) for _ in range(20)]
+    docs = make_docs([" ".join(own), " ".join([*own[:16], *(sentence(10) for _ in range(4))])])
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got[0] == " ".join(own) and own[3] not in got[1]
+
+
+def test_copies_pulled_apart_by_other_cuts_are_cut(make_docs):
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    passage, rest = [sentence(10) for _ in range(12)], [sentence(10) for _ in range(3)]
+    changed = [*passage[:11], sentence(10)]
+    texts = [" ".join([sentence(30), *passage]), " ".join([*passage, *rest]), " ".join([*rest, *changed])]
+    assert la.alike(texts[1], texts[2], 5, 80, 100)
+    got = {r.doc_id: r for r in la.deduplicated(make_docs(texts), similar=(5, 80, 100)).collect()}
+    assert got[1].removed_words == 120 and rest[2] not in got[2].text and got[2].removed_words == 140
+
+
 def test_edges(edge_docs, no_docs):
     got = la.deduplicated(edge_docs)
     assert got.columns[: len(edge_docs.columns)] == edge_docs.columns
