@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
 Texts are sequences of units: lines, cut further at sentence ends, so a passage is found
-wherever its lines are broken. Every unit that several documents share points from each
-later document (larger doc_id) to the earliest one that has it; a pair that shares enough
-words this way is aligned by patience diff, and aligned blocks of at least `block_words`
-words go from the later document. Short shared units alone, like a common closing line,
-make no pair and no block.
+wherever its lines are broken. Every shortest run of units of at least `block_words` words
+points from each later document (larger doc_id) to the earliest one that has it, however
+short its units; these pairs are aligned by patience diff, and aligned blocks of at least
+`block_words` words go from the later document. A repeated block consists of its runs, so
+all of it is found, be it in one earlier document or in several. Short shared units alone,
+like a common closing line, make no run.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from latticework.llm import textops
 from latticework.llm.tables import dropped, stored
 
 BLOCK_WORDS = 25
-PAIR_WORDS = 20
-UNIT_WORDS = 3
 STOPS = textops.byte_mask(b".!?")
 
 
@@ -47,6 +46,27 @@ def units(offsets: np.ndarray, data: np.ndarray) -> tuple[textops.Spans, np.ndar
     return textops.Spans(words.starts[first], words.ends[last - 1], words.row[first], value), last - first
 
 
+def runs(row: np.ndarray, hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, hash) of the shortest runs of consecutive units of a row that reach `least` words.
+
+    Runs are taken from every unit onwards and from every unit backwards, so a passage of
+    `least` words or more consists of its own runs: each of its units lies in one of them.
+    """
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
+    begin, stop = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
+    at = np.arange(len(row))
+    onwards = np.searchsorted(total, total[at] + least, "left")
+    back = np.searchsorted(total, total[at + 1] - least, "right") - 1
+    ahead, behind = onwards <= stop, back >= begin
+    both = np.concatenate([np.stack([at, onwards], 1)[ahead], np.stack([back, at + 1], 1)[behind]])
+    first, end = np.unique(both, axis=0).T if len(both) else np.zeros((2, 0), np.int64)
+    up, down = textops._powers(len(row) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(hashes) * up[: len(row)])])
+        value = textops.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(textops.ODD))
+    return first, end, value
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched index pairs of a patience diff: unique common items anchor, gaps are aligned again."""
     out: list[tuple[int, int]] = []
@@ -125,22 +145,25 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], block_
     return blocks
 
 
-def _sequences(k: int | None):
-    """Units of every text and, with k, its number of distinct k-word shingles."""
+def _sequences(block_words: int, k: int | None):
+    """Units and runs of every text and, with k, its number of distinct k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, offsets, data in textops.slices(batch.column(2)):
                 found, words = units(offsets, data)
                 bounds = pa.array(np.searchsorted(found.row, np.arange(end - row + 1)).astype(np.int32))
+                first, _, value = runs(found.row, found.hash, words, block_words)
+                ranges = pa.array(np.searchsorted(found.row[first], np.arange(end - row + 1)).astype(np.int32))
                 n = np.zeros(end - row, np.int64)
                 if k is not None:
                     n = np.diff(textops.shingle_sets(textops.words(offsets, data, fold=True), end - row, k)[0])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row),
                     pa.ListArray.from_arrays(bounds, pa.array(found.hash.view(np.int64))),
-                    pa.ListArray.from_arrays(bounds, pa.array(words.astype(np.int32))), pa.array(n.astype(np.int64)),
-                ], ["doc_id", "sig", "units", "words", "n"])
+                    pa.ListArray.from_arrays(bounds, pa.array(words.astype(np.int32))),
+                    pa.ListArray.from_arrays(ranges, pa.array(value.view(np.int64))), pa.array(n.astype(np.int64)),
+                ], ["doc_id", "sig", "units", "words", "runs", "n"])
 
     return run
 
@@ -279,7 +302,7 @@ def _without(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def deduplicated(
-    docs: DataFrame, block_words: int = BLOCK_WORDS, pair_words: int = PAIR_WORDS, copy_share: float | None = None,
+    docs: DataFrame, block_words: int = BLOCK_WORDS, copy_share: float | None = None,
     similar: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """`docs` with blocks taken out of `text`, and removed_words, removed_blocks, emptied.
@@ -296,17 +319,13 @@ def deduplicated(
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
     keyed = keyed.filter("doc_id is not null and text is not null")
     texts = stored(keyed.mapInArrow(
-        _sequences(similar[0] if similar else None), "doc_id long, sig long, units array<long>, words array<int>, n long"
+        _sequences(block_words, similar[0] if similar else None),
+        "doc_id long, sig long, units array<long>, words array<int>, runs array<long>, n long",
     ), "sequences")
     key = F.struct("doc_id", "sig")
-    held = texts.select(key.alias("doc"), F.explode(F.arrays_zip("units", "words")).alias("u")).select(
-        "doc", F.col("u.units").alias("unit"), F.col("u.words").alias("words")
-    ).filter(F.col("words") >= UNIT_WORDS)
-    earliest = held.groupBy("unit").agg(F.min("doc").alias("from"), F.max("doc.doc_id").alias("hi")).filter("from.doc_id < hi")
-    pairs = (
-        held.join(earliest.drop("hi"), "unit").filter("doc.doc_id > from.doc_id")
-        .groupBy("doc", "from").agg(F.sum("words").alias("shared")).filter(F.col("shared") >= pair_words).drop("shared")
-    )
+    held = texts.select(key.alias("doc"), F.explode(F.array_distinct("runs")).alias("run"))
+    earliest = held.groupBy("run").agg(F.min("doc").alias("from"), F.max("doc.doc_id").alias("hi")).filter("from.doc_id < hi")
+    pairs = held.join(earliest.drop("hi"), "run").filter("doc.doc_id > from.doc_id").select("doc", "from").distinct()
     pairs = stored(pairs, "pairs")
     both = pairs.join(texts.select(
         key.alias("from"), F.col("units").alias("earlier"), F.aggregate("words", F.lit(0), lambda a, x: a + x).alias("earlier_words")

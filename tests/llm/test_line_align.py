@@ -71,6 +71,33 @@ def test_copies_can_be_left_whole(make_docs):
     assert {r.doc_id: r.removed_words for r in la.deduplicated(make_docs(texts)).collect()}[1] == 110
 
 
+def test_runs_reach_every_unit_of_a_block():
+    rng = random.Random(11)
+    for _ in range(50):
+        words = np.array([rng.choice([1, 2, 5, 12, 30]) for _ in range(rng.randrange(1, 30))])
+        row = np.sort(np.array([rng.randrange(3) for _ in words]))
+        hashes = np.array([rng.randrange(5) for _ in words], np.uint64)
+        first, end, value = la.runs(row, hashes, words, 25)
+        seen = {}
+        for f, e, v in zip(first, end, value):
+            assert row[f] == row[e - 1] and words[f:e].sum() >= 25 > min(words[f + 1 : e].sum(), words[f : e - 1].sum())
+            assert seen.setdefault(v, tuple(hashes[f:e])) == tuple(hashes[f:e])
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if row[a] == row[b - 1] and words[a:b].sum() >= 25:
+                    assert set(range(a, b)) <= {i for f, e in zip(first, end) if a <= f and e <= b for i in range(f, e)}
+
+
+def test_units_that_point_to_several_documents(make_docs):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    passage = [sentence(n) for n in (12, 18, 9, 11, 10, 2)]
+    others = [f"{sentence(30)} {passage[i]} {sentence(30)}" for i in (0, 2, 3, 4)]  # single sentences, earlier
+    texts = [*others, f"{sentence(40)} {' '.join(passage)} {sentence(8)}", f"{sentence(35)} {' '.join(passage)}"]
+    got = {r.doc_id: r for r in la.deduplicated(make_docs(texts)).collect()}
+    assert [got[i].removed_words for i in range(6)] == [0] * 5 + [62]
+
+
 def test_only_pairs_that_the_next_stage_joins_stay_whole(make_docs):
     rng = random.Random(8)
     sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
