@@ -98,6 +98,15 @@ def test_units_that_point_to_several_documents(make_docs):
     assert [got[i].removed_words for i in range(6)] == [0] * 5 + [62]
 
 
+def test_passages_of_short_units(make_docs):
+    rng = random.Random(13)
+    shouts = [f"Shout{i}!" for i in range(50)]
+    lines = [f"item {i}" for i in range(13)]
+    texts = [" ".join(shouts), "\n".join(["own", *lines]), "Other start. " + " ".join(shouts), "\n".join([*lines, "end"]), "\n".join(lines[:12])]
+    got = {r.doc_id: r.removed_words for r in la.deduplicated(make_docs(texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 50, 3: 26, 4: 0}
+
+
 def test_only_pairs_that_the_next_stage_joins_stay_whole(make_docs):
     rng = random.Random(8)
     sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
