@@ -119,7 +119,9 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_blocks(earlier: list[int], later: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
     """Unit ranges of the later text that align with the earlier one as blocks of enough words.
 
-    What one alignment leaves is aligned again, so a passage that moved is found too.
+    What one alignment leaves is aligned again, so a passage that moved is found too. An
+    alignment chains units whatever their words and only those that are unique, so runs of
+    the later text that the earlier one has and no alignment took are added.
     """
     blocks: list[tuple[int, int]] = []
     alive = list(range(len(later)))
@@ -138,11 +140,20 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], block_
                 found.append((first, last))
             k = e
         if not found:
-            return blocks
+            break
         blocks += found
         gone = {i for first, last in found for i in range(first, last)}
         alive = [i for i in alive if i not in gone]
-    return blocks
+    left = set(alive)
+    return blocks + [r for r in _held_runs(earlier, later, words, block_words) if not left.isdisjoint(range(*r))] if left else blocks
+
+
+def _held_runs(earlier: list[int], later: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
+    """Runs of the later text that are units in a row of the earlier one."""
+    size = dict(zip(later, words))
+    of = lambda x, w: runs(np.zeros(len(x), np.int64), np.array(x, np.int64).view(np.uint64), np.array(w, np.int64), least)
+    known = set(of(earlier, [size.get(x, least) for x in earlier])[2].tolist())  # with a unit that only it has, no run is equal
+    return [(f, e) for f, e, v in zip(*(x.tolist() for x in of(later, words))) if v in known]
 
 
 def _sequences(block_words: int, k: int | None):

@@ -37,6 +37,23 @@ def test_blocks_that_moved():
     assert la.common_blocks(earlier, later, [5] * 8) == []
 
 
+def test_passages_that_an_alignment_does_not_take():
+    lost = lambda *a: {i for r in la.common_blocks(*a) for i in range(*r)}
+    short, long = [1, 2, 3, 4, 5], [11, 12, 13]
+    assert lost(short + long, long + short, [20] * 3 + [4] * 5) == {0, 1, 2}  # short lines outnumber the passage
+    assert lost([8, *long, 9, *long, 7], [5, *long, 6, *long, 4], [1, *[10] * 3] * 2 + [1]) == {1, 2, 3, 5, 6, 7}  # nothing is unique
+    rng = random.Random(14)
+    for _ in range(200):
+        sizes = [rng.choice([1, 4, 9, 15, 26]) for _ in range(6)]
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(2))
+        w = [sizes[x] for x in b]
+        same = {
+            i for f in range(len(b)) for e in range(f + 1, len(b) + 1) for i in range(f, e)
+            if sum(w[f:e]) >= 25 and any(a[j : j + e - f] == b[f:e] for j in range(len(a)))
+        }
+        assert same <= lost(a, b, w)
+
+
 def test_later_documents_lose_the_passage(make_docs):
     rng = random.Random(4)
     sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
