@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows and exact weighted-shingle similarity.
 
-A window has as many words as the benchmark item it is held against. Its SimHash is the
+A window has as many words as the benchmark item it is held against; a text with fewer
+words is one window as a whole, verified without a fingerprint. A window's SimHash is the
 sign of summed shingle bits, computed for sliding windows from prefix sums. Item fingerprints
 lie in a multi-index: 8 blocks of 8 bits, each listed under all values within 2 bits, so
 every fingerprint within RADIUS = 23 bits shares a block entry. Entries within the radius
@@ -123,8 +124,24 @@ class Items:
             sizes = self.sizes[item]
             for size in np.unique(sizes[(sizes >= k) if k == self.k else (sizes == k)]):
                 self._windows(spans, hashes, first, np.unique(at[sizes == size]), k, int(size), least, best)
+            if k == self.k:
+                self._short_texts(spans, hashes, first, at, item, least, best)
         return [(row, item, *value) for (row, item), value in sorted(best.items())]
 
+    def _short_texts(
+        self, spans: textops.Spans, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, item: np.ndarray, least: float,
+        best: dict[tuple[int, int], tuple[float, int, int]],
+    ) -> None:
+        """Hold every text against the longer items with which it shares a shingle, as one window."""
+        row = spans.row[first]
+        words = np.bincount(spans.row, minlength=int(spans.row.max(initial=-1)) + 1)
+        short = words[row[at]] < self.sizes[item]
+        for r, i in np.unique(np.stack([row[at[short]], item[short]], axis=1), axis=0).tolist():
+            begin, end = np.searchsorted(row, [r, r + 1])
+            value = self.similarity(hashes[begin:end], i)
+            if value >= least:
+                best[r, i] = (value, int(first[begin]), int(first[begin] + words[r]))
+
     def _windows(
         self, spans: textops.Spans, hashes: np.ndarray, first: np.ndarray, hits: np.ndarray, k: int, words: int, least: float,
         best: dict[tuple[int, int], tuple[float, int, int]],

@@ -53,6 +53,42 @@ def test_against_brute_force(spark, make_docs):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute(docs, items)
 
 
+def brute_short(docs, items, k=5, least=0.8):
+    """As `brute`, for texts of fewer words than the item, taken as one window."""
+    own, out = collections.defaultdict(set), {}
+    grams = lambda w: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)]
+    lists = {i: words(t) for i, t in items}
+    for i, w in lists.items():
+        for g in grams(w):
+            own[g].add(i)
+    for d, t in docs:
+        for i, item in lists.items():
+            if 0 < len(words(t)) < len(item):
+                a, b = collections.Counter(grams(words(t))), collections.Counter(grams(item))
+                weight = {g: 1 / max(1, len(own.get(g, ()))) for g in a | b}
+                value = sum(min(a[g], b[g]) * weight[g] for g in weight) / sum(max(a[g], b[g]) * weight[g] for g in weight)
+                if value >= least:
+                    out[d, i] = round(value, 9)
+    return out
+
+
+def test_texts_shorter_than_an_item(spark, make_docs):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate([3, 6, 12, 20, 40, 60])]
+    items.append((6, items[5][1] + " one more"))
+    docs = []
+    for _, text in items:
+        w = words(text)
+        docs += [w[:-1], w[1:], w[: int(0.9 * len(w))], w[: int(0.75 * len(w))], w[2:-2], w[:4], [*w[: len(w) - 3], "x", "y"]]
+    docs = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    short = brute_short(docs, items)
+    got = dc.leaks(make_docs([t for _, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(short) >= 10
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute(docs, items) | short
+    sizes = {d: len(words(t)) for d, t in docs}
+    assert all((r.first_word, r.end_word) == (0, sizes[r.doc_id]) for r in got if (r.doc_id, r.item_id) in short)
+
+
 def test_multi_index_lists_all_within_the_radius():
     rng = np.random.default_rng(2)
     items = dc.Items([(i, " ".join(f"x{rng.integers(1000)}" for _ in range(12))) for i in range(40)], 5)
