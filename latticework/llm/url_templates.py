@@ -1,7 +1,7 @@
 """URL filters by a tree of path templates, in SQL functions only.
 
 A url's path is a list of segments. Level by level, per host and template so far, a
-segment stays literal only if it is frequent among its siblings, not a number, and its
+segment stays literal only if it has enough rows, is not a number, and its
 share of bad labels differs from that of all siblings together; every other segment
 becomes a wildcard, so variable parts and statistically similar branches merge. A
 template is rejected when its smoothed share of bad labels is too high: shares are
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from latticework.llm.tables import stored
 
@@ -26,9 +26,10 @@ RULES = (  # (verdict, host and path prefix)
 
 @dataclass(frozen=True)
 class Settings:
-    """`levels`: segments beyond it form one last segment. `support`, `share`: least rows of a
-    literal segment, alone and against its siblings. `z`: standard errors from which branches
-    differ. `strength`: pseudo-labels of the smoothing. `reject`: share of bad labels."""
+    """`support`: least rows of a literal segment. `z`: standard errors from which branches
+    differ. `strength`: pseudo-labels of the smoothing. `reject`: share of bad labels.
+    `levels`, `share`: bounds of the oracle text only, equal to none on paths of at most six
+    segments and at most fifty siblings of like size; the operator has neither."""
 
     levels: int = 6
     support: int = 5
@@ -56,19 +57,19 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return text, verdict
 
 
-def _segments(path: Column, levels: int) -> Column:
-    """Segments after the first slash; those beyond `levels` joined into one."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.when(F.size(parts) <= levels, parts).otherwise(
-        F.concat(F.slice(parts, 1, levels - 1), F.array(F.array_join(F.slice(parts, levels, F.size(parts)), "/")))
-    )
+def _segments(path: Column) -> Column:
+    """Segments after the first slash."""
+    return F.split(F.regexp_replace(path, "^/", ""), "/")
 
 
 def with_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`urls` (host, path, bad: 0, 1 or null) with `template`, a path with * for variable segments."""
-    now = urls.withColumn("_parts", _segments(F.col("path"), settings.levels)).withColumn("template", F.lit(""))
+    now = urls.withColumn("_parts", _segments(F.col("path"))).withColumn("template", F.lit(""))
     now = stored(now, "paths")
-    depth = now.agg(F.max(F.size("_parts"))).first()[0] or 0
+    # deeper than this no host has enough rows for a literal segment, so all others there are wildcards
+    sizes = now.groupBy("host", F.size("_parts").alias("size")).agg(F.count("*").alias("n"))
+    deeper = sizes.select("size", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size"))).alias("n"))
+    depth = deeper.filter(F.col("n") >= settings.support).agg(F.max("size")).first()[0] or 0
     for level in range(depth):
         has = F.size("_parts") > level
         now = now.withColumn("_part", F.when(has, F.col("_parts")[level]))
@@ -82,7 +83,7 @@ def with_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFram
         apart = F.abs(F.col("bad") - rate * F.col("labelled")) >= settings.z * F.sqrt(rate * (1 - rate) * F.col("labelled"))
         literal = (
             counted.filter((F.col("n") >= settings.support) & (F.col("labelled") > 0) & ~F.rlike("_part", F.lit("^[0-9]+(\\.[a-z]+)?$")))
-            .join(every, ["host", "template"]).filter((F.col("n") >= settings.share * F.col("all_n")) & apart)
+            .join(every, ["host", "template"]).filter(apart)
             .select("host", "template", "_part", F.lit(True).alias("_literal"))
         )
         step = F.when(F.col("_literal"), F.col("_part")).otherwise(F.lit("*"))
@@ -90,7 +91,8 @@ def with_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFram
             "template", F.when(has, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))
         ).drop("_literal")
         now = stored(now, "paths")  # the next level reads it several times
-    return now.drop("_parts", "_part")
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("_parts") - depth, F.lit(0)))
+    return now.withColumn("template", F.concat("template", rest)).drop("_parts", "_part")
 
 
 def judged(urls: DataFrame, settings: Settings = Settings(), rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

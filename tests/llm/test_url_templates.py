@@ -31,6 +31,18 @@ def test_bad_branches_are_rejected_and_others_merge(spark):
     assert {r.template for r in same.values()} == {"/*/*"}
 
 
+def test_small_branches_of_large_hosts_and_deep_ones(spark):
+    branch = [(i, f"http://h.org/spam/{i}", 1) for i in range(60)]
+    others = [(1000 + i, f"http://h.org/d{i % 40}/{i}", 0) for i in range(4000)]
+    deep = [(9000 + i, f"http://g.org/a/b/c/d/e/f/{'good' if i % 2 else 'bad'}/{i}", 1 - i % 2) for i in range(200)]
+    long = [(9900, "http://g.org/" + "/".join("abcdefghijkl"), None)]
+    got = judged(spark, branch + others + deep + long)
+    assert got[7].template == "/spam/*" and got[7].verdict == "block" and got[1007].verdict == "allow"
+    assert got[9000].template == "/*/*/*/*/*/*/bad/*" and got[9000].verdict == "block" and got[9001].verdict == "allow"
+    assert got[9900].template.count("*") == 12
+    assert judged(spark, branch + others[:400])[7].verdict == "block"
+
+
 def test_edges(spark):
     rows = [(1, "http://h/a", 1), (1, "http://h/a", 1), (None, None, None), (2, "http://h/" + "/".join("abcdefghij"), None), (3, "http://h/" + "x" * 50_000, None)]
     urls = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.lit("mine")).withColumn("template", F.lit(1))
