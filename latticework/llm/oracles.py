@@ -60,3 +60,37 @@ def jaccard_sql(k: int = 4, part: int = 85, whole: int = 100) -> str:
     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
     r AS (SELECT doc_id AS root, doc_id AS node FROM n UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node)
     SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id FROM n JOIN (SELECT root AS doc_id, min(node) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""
+
+
+# the table of CRC-32 (reflected polynomial EDB88320), by its rule
+CRC_TABLE = """crc_table AS (SELECT list(list_reduce(range(8), lambda c, _k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+      FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))"""
+
+
+def crc32_sql(text: str, table: str = "t") -> str:
+    """CRC-32 of a text's UTF-8 bytes, with the list `table` of CRC_TABLE in scope."""
+    hexed = f"hex(encode({text}))"
+    return f"""xor(4294967295, list_reduce(list_transform(range(0, CAST(length({hexed}) AS BIGINT), 2), lambda i: CAST('0x' || substr({hexed}, CAST(i AS INT) + 1, 2) AS BIGINT)),
+      lambda c, b: xor(c >> 8, {table}[CAST(xor(c, b) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)))"""
+
+
+def variants_sql(least_symbols: int = 5, least_n: int = 3, of: int = 97, ratio: int = 2) -> str:
+    """Near words by equal texts with one symbol taken out; forms followed step by step."""
+    cut = f"{crc32_sql('key')} AS h"
+    return f"""WITH RECURSIVE {CRC_TABLE},
+    o AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{A_TO_Z}', '{A_TO_Z.lower()}'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+    k AS (SELECT run, c, CAST(doc_id AS VARCHAR) || ':' || run AS key, length(run) AS size FROM o),
+    h AS (SELECT run, c, size, {cut} FROM k, crc_table),
+    d AS (SELECT CASE WHEN h % {of} = 0 THEN substr(run, 1, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word, c FROM h),
+    w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE length(word) >= {least_symbols} GROUP BY 1 HAVING sum(c) >= {least_n}),
+    e AS (SELECT word, n, CAST(i AS INT) AS i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    p AS (SELECT DISTINCT * FROM (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION ALL SELECT a.word, b.word, b.n FROM e a JOIN w b ON a.less = b.word
+      UNION ALL SELECT b.word, a.word, a.n FROM e a JOIN w b ON a.less = b.word)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+    f AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= {ratio} * w.n THEN r.near END AS form, CASE WHEN r.near_n >= {ratio} * w.n THEN r.near_n END AS form_n
+      FROM w LEFT JOIN r ON r.word = w.word AND r.k = 1),
+    s AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL),
+    z AS (SELECT s.word, s.at AS root FROM s JOIN f ON f.word = s.at WHERE f.form IS NULL)
+    SELECT f.word, f.form, coalesce(z.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f LEFT JOIN z ON z.word = f.word"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latticework.llm import (
-    decontaminate, html_paths, line_align, ngram_join, oracles, packing, quality_mil, rule_forest, toxicity, url_templates, warc,
+    decontaminate, html_paths, line_align, ngram_join, oracles, packing, quality_mil, rule_forest, spelling_variants, toxicity,
+    url_templates, warc,
 )
 from latticework.llm.tables import read_table, shared_path
 from latticework.session import configure
@@ -15,6 +16,7 @@ from latticework.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.jaccard_sql(), "op8_warc": oracles.warc_sql(), "op10_url_templates": oracles.url_sql(),
+    "op11_spelling_variants": oracles.variants_sql(),
 }
 
 
@@ -104,3 +106,8 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     urls = pages.select("page_id", "url", url_templates.document_of(url_templates.path_of(F.col("url"))).alias("document"))
     urls = urls.join(known, "document", "left").drop("document")
     return url_templates.judged(urls).select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read_table(spark, folder, "documents"))
