@@ -94,3 +94,22 @@ def variants_sql(least_symbols: int = 5, least_n: int = 3, of: int = 97, ratio:
     s AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL),
     z AS (SELECT s.word, s.at AS root FROM s JOIN f ON f.word = s.at WHERE f.form IS NULL)
     SELECT f.word, f.form, coalesce(z.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f LEFT JOIN z ON z.word = f.word"""
+
+
+def runs_sql(least_words: int = 6, least_exponent: int = 4) -> str:
+    """Equal words a period apart, joined to stretches; equal stretches keep the smallest period."""
+    return f"""WITH {CRC_TABLE},
+    a AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS o, CAST(doc_id AS VARCHAR) AS key FROM documents),
+    b AS (SELECT doc_id, o, CAST(len(o) AS BIGINT) AS n, {crc32_sql('key')} AS h FROM a, crc_table),
+    c AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS f, h % 10 = 0 AND n > 0 AS hit FROM b),
+    d AS (SELECT *, CASE WHEN hit THEN 1 + (n - f) // (3 + (h // 10) % 8) END AS p FROM c),
+    w AS (SELECT doc_id, n, i, CASE WHEN hit AND i >= f THEN o[f + (i - f) % p + 1] ELSE o[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+    e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND {least_exponent} * (y.i - x.i) <= x.n),
+    g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k),
+    r AS (SELECT doc_id, s, length, min(q) AS q FROM g WHERE length >= greatest({least_words}, {least_exponent} * q) GROUP BY ALL),
+    t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+      first(s ORDER BY length DESC, s, q) AS start, first(length ORDER BY length DESC, s, q) AS length, first(q ORDER BY length DESC, s, q) AS period FROM r GROUP BY 1),
+    z AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM r),
+    k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN z USING (doc_id, i) GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, CAST(length AS BIGINT) AS length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+      sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""

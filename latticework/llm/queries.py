@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latticework.llm import (
-    decontaminate, html_paths, line_align, ngram_join, oracles, packing, quality_mil, rule_forest, spelling_variants, toxicity,
-    url_templates, warc,
+    decontaminate, html_paths, line_align, ngram_join, oracles, packing, periodic_runs, quality_mil, rule_forest,
+    spelling_variants, toxicity, url_templates, warc,
 )
 from latticework.llm.tables import read_table, shared_path
 from latticework.session import configure
@@ -16,7 +16,7 @@ from latticework.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.jaccard_sql(), "op8_warc": oracles.warc_sql(), "op10_url_templates": oracles.url_sql(),
-    "op11_spelling_variants": oracles.variants_sql(),
+    "op11_spelling_variants": oracles.variants_sql(), "op13_periodic_runs": oracles.runs_sql(),
 }
 
 
@@ -111,3 +111,9 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.spelling_variants(read_table(spark, folder, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.planted(read_table(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.with_runs(docs))
