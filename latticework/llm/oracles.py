@@ -113,3 +113,17 @@ def runs_sql(least_words: int = 6, least_exponent: int = 4) -> str:
     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN z USING (doc_id, i) GROUP BY 1)
     SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, CAST(length AS BIGINT) AS length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def repeats_sql(length: int = 400) -> str:
+    """Digests of all windows of the hexadecimal text; overlapping repeated windows are joined to runs."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT doc_id, i, md5_number(substr(x, CAST(2 * i + 1 AS INT), {2 * length})) AS g FROM (SELECT doc_id, x, unnest(range(CAST(length(x) // 2 AS BIGINT) - {length - 1})) AS i FROM d)),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+    b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM r),
+    s AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY doc_id, k),
+    g AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM s),
+    t AS (SELECT g.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(CASE WHEN k = 1 THEN substr(x, 1, CAST(2 * a AS INT)) ELSE '' END ||
+      substr(x, CAST(2 * z + 1 AS INT), CAST(2 * (coalesce(next, length(x) // 2) - z) AS INT)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY 1)
+    SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latticework.llm import (
     decontaminate, html_paths, line_align, ngram_join, oracles, packing, periodic_runs, quality_mil, rule_forest,
-    spelling_variants, toxicity, url_templates, warc,
+    spelling_variants, suffix_dedup, toxicity, url_templates, warc,
 )
 from latticework.llm.tables import read_table, shared_path
 from latticework.session import configure
@@ -16,7 +16,8 @@ from latticework.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.jaccard_sql(), "op8_warc": oracles.warc_sql(), "op10_url_templates": oracles.url_sql(),
-    "op11_spelling_variants": oracles.variants_sql(), "op13_periodic_runs": oracles.runs_sql(),
+    "op11_spelling_variants": oracles.variants_sql(), "op12_suffix_dedup": oracles.repeats_sql(),
+    "op13_periodic_runs": oracles.runs_sql(),
 }
 
 
@@ -113,6 +114,16 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.spelling_variants(read_table(spark, folder, "documents"))
 
 
+@query
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["length"])
+    return cut.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = periodic_runs.planted(read_table(spark, folder, "documents"))
