@@ -1,18 +1,20 @@
 """Spelling variants by a variable-length gram index.
 
-Words are padded with `^` and `$`. The dictionary is a prefix-closed set of common grams:
-those of QMIN to QMAX - 1 symbols that more than `common` padded words hold. A word's
-variable gram at a position is the shortest one that is not common (or that ends with the
-word or at QMAX symbols), so lists of frequent grams are never read. As it depends on the
-symbols it covers alone, an edit affects a gram only by touching it.
-
-Affected-gram bound: of a word's grams one edit affects at most as many as cover one place.
-A set of query grams with more members than that bound keeps one in every near word; the
-smallest such sets are two grams that do not overlap (bound 1). The two lists are merged:
-a pair found by the left gram is taken there, one found by the right gram only if the other
-word lacks the left gram, so every near pair comes up once, then Levenshtein distance
-verifies it. Words without two such uncommon grams use their two halves, which are in the
-index as well, so no near pair is lost.
+Words are padded with `^` and `$`; lists are kept per gram, position and length of the word.
+The frequency-pruned dictionary holds the grams whose list has more than `common` words.
+A word's variable gram at a position is the shortest one that is not in the dictionary (or
+ends with the word or at QMAX symbols), so the lists of frequent grams are read only where
+nothing better is left. As a variable gram depends on the symbols it covers alone, an edit
+affects it only by touching it.
+
+Affected-gram bound: of a set of grams of a word one edit affects at most as many as cover
+one place, and a set with more members keeps one in every near word. The smallest such sets
+are two grams that do not overlap (bound 1, so one common gram is enough); each word asks
+with the two of the shortest lists, once among words of its length and once among those one
+symbol longer. Such a pair always exists: beginnings of the word that are in the dictionary
+are listed too, and variable grams may reach the end. The two lists are merged without
+repeats: a pair found by the left gram is taken there, one found by the right gram only if
+the other word lacks the left one. Levenshtein distance verifies.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from latticework.llm.tables import stored
@@ -27,9 +30,9 @@ from latticework.llm.tables import stored
 LETTERS = "[a-zA-ZÀ-ÿ]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_SYMBOLS, LEAST_N = 5, 3
-QMIN, QMAX = 2, 8
-COMMON = 128
-# bound of the broadcast dictionary; the most frequent grams stay, fewer only make lists longer
+QMAX = 8
+COMMON = 32
+# bound of the broadcast dictionary; the longest lists stay, fewer only make lists longer
 DICTIONARY = 1 << 18
 
 
@@ -53,104 +56,113 @@ def vocabulary(words: DataFrame, least_symbols: int = LEAST_SYMBOLS, least_n: in
     return long.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_n)
 
 
-def common_grams(words: DataFrame, common: int = COMMON, most: int = DICTIONARY) -> set[str]:
-    """Grams held more than `common` times, at most the `most` most frequent ones."""
-    padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
-    at = padded.select("p", F.explode(F.sequence(F.lit(1), F.char_length("p") - QMIN + 1)).alias("i"))
-    grams = at.select("p", "i", F.explode(
-        F.sequence(F.lit(QMIN), F.least(F.lit(QMAX - 1), F.char_length("p") - F.col("i") + 1))
-    ).alias("q")).groupBy(F.substring("p", F.col("i"), F.col("q")).alias("gram")).count().filter(F.col("count") > common)
-    return {r.gram for r in grams.orderBy(F.desc("count"), "gram").limit(most).collect()}
-
-
-def decompose(padded: str, common: set[str]) -> list[tuple[int, int]]:
-    """(start, end) of the variable gram at every position that has QMIN symbols left."""
-    out = []
-    for i in range(len(padded) - QMIN + 1):
-        j = i + QMIN
-        last = min(i + QMAX, len(padded))
-        while j < last and padded[i:j] in common:
-            j += 1
-        out.append((i, j))
+Lists = dict[int, dict[int, dict[str, int]]]
+
+
+def common_grams(words: DataFrame, common: int = COMMON, most: int = DICTIONARY) -> Lists:
+    """Sizes of the lists of more than `common` words by length, position and gram; at most the `most` longest."""
+    padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("p"), F.char_length("word").alias("size"))
+    at = padded.select("p", "size", F.explode(F.sequence(F.lit(1), F.char_length("p"))).alias("i"))
+    grams = at.select("p", "size", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(QMAX), F.char_length("p") - F.col("i") + 1))).alias("q"))
+    grams = grams.groupBy("size", "i", F.substring("p", F.col("i"), F.col("q")).alias("gram")).count().filter(F.col("count") > common)
+    out: Lists = {}
+    for r in grams.orderBy(F.desc("count"), "size", "i", "gram").limit(most).collect():
+        out.setdefault(r["size"], {}).setdefault(r["i"] - 1, {})[r["gram"]] = r["count"]
+    return out
+
+
+def decompose(padded: str, lists: Lists, size: int, shift: int = 0) -> list[int]:
+    """End of the variable gram at every place, for lists of words of `size` symbols and places moved by `shift`."""
+    of, n, out = lists.get(size, {}), len(padded), []
+    for i in range(n):
+        grams = of.get(i + shift)
+        j, last = i + 1, min(i + QMAX, n)
+        if grams:
+            while j < last and padded[i:j] in grams:
+                j += 1
+        out.append(j)
     return out
 
 
-def query_pair(padded: str, grams: list[tuple[int, int]], common: set[str]) -> tuple[tuple[int, int], tuple[int, int]] | None:
-    """Two uncommon grams that do not overlap, the longest together; None if there are none."""
-    rare = [(i, j) for i, j in grams if j - i == QMAX or padded[i:j] not in common]
-    best, found = 0, None
-    left: tuple[int, int] | None = None
-    ends = sorted(rare, key=lambda g: g[1])
-    k = 0
-    for i, j in rare:
-        while k < len(ends) and ends[k][1] <= i:
-            if left is None or ends[k][1] - ends[k][0] > left[1] - left[0]:
-                left = ends[k]
-            k += 1
-        if left is not None and left[1] - left[0] + j - i > best:
-            best, found = left[1] - left[0] + j - i, (left, (i, j))
-    return found
-
-
-VARIABLE, HALF = 0, 1
-
-
-def index_keys(padded: str, grams: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(kind, position, gram) under which a word can be found."""
-    for i, j in grams:
-        yield VARIABLE, i, padded[i:j]
-    n = len(padded) - 2
-    for c, shift in ((n // 2, 0), ((n - 1) // 2, 1)):
-        yield HALF, 0, padded[: 1 + c]
-        yield HALF, 1 + c + shift, padded[1 + c + shift :]
-
-
-def query_keys(padded: str, grams: list[tuple[int, int]], common: set[str]) -> Iterator[tuple[int, int, str, int, bool, str]]:
-    """(kind, position, gram, symbols of the other word, found by the left gram, left gram)."""
-    n = len(padded) - 2
-    pair = query_pair(padded, grams, common)
-    kind = VARIABLE if pair else HALF
-    (a0, a1), (b0, b1) = pair or ((0, 1 + n // 2), (1 + n // 2, n + 2))
-    left = padded[a0:a1]
+def query_pair(padded: str, lists: Lists, size: int) -> tuple[int, int, int, int]:
+    """Two grams (start, end, start, end) that do not overlap, of the shortest lists together, then the longest.
+
+    The first is looked for at its place, the second moved by the difference of the lengths.
+    """
+    n = len(padded)
+    shift = size - (n - 2)
+    of = lists.get(size, {})
+    left_ends = decompose(padded, lists, size)
+    right_ends = decompose(padded, lists, size, shift) if shift else left_ends
+    right, behind = (1 << 60, 0, 0, 0), [(0, 0, 0, 0)] * n
+    for i in range(n - 1, 0, -1):
+        j = right_ends[i]
+        right = behind[i] = min(right, (of.get(i + shift, {}).get(padded[i:j], 0), i - j, i, j))
+    ending: list[tuple[int, int, int, int] | None] = [None] * (n + 1)
+    for i, j in enumerate(left_ends):
+        entry = (of.get(i, {}).get(padded[i:j], 0), i - j, i, j)
+        if ending[j] is None or entry < ending[j]:
+            ending[j] = entry
+    best, left = (1 << 61, 0, 0, 0, 0, 0), (1 << 60, 0, 0, 0)
+    starts = of.get(0, {})
+    for cut in range(1, n):
+        if ending[cut] is not None and ending[cut] < left:
+            left = ending[cut]
+        now = left
+        if cut < left_ends[0]:  # a beginning that is in the dictionary
+            now = min(left, (starts[padded[:cut]], -cut, 0, cut))
+        best = min(best, (now[0] + behind[cut][0], now[1] + behind[cut][1], *now[2:], *behind[cut][2:]))
+    return best[2:]
+
+
+def index_keys(padded: str, lists: Lists) -> list[tuple[int, str]]:
+    """(place, gram) under which a word can be found."""
+    ends = decompose(padded, lists, len(padded) - 2)
+    return [(i, padded[i:j]) for i, j in enumerate(ends)] + [(0, padded[:j]) for j in range(1, ends[0])]
+
+
+def query_keys(padded: str, lists: Lists) -> list[tuple[int, str, int, bool, int, str]]:
+    """(place, gram, symbols of the other word, found by the left gram, place of the left gram, left gram)."""
+    n, out = len(padded) - 2, []
     for longer in (0, 1):
-        yield kind, a0, left, n + longer, True, left
-        yield kind, b0 + longer, padded[b0:b1], n + longer, False, left
+        a0, a1, b0, b1 = query_pair(padded, lists, n + longer)
+        left = padded[a0:a1]
+        out += [(a0, left, n + longer, True, a0, left), (b0 + longer, padded[b0:b1], n + longer, False, a0, left)]
+    return out
+
+
+def _rows(out: list[list], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds)], [name for name, _ in kinds])
+
+
+INDEX = [("at", pa.int32()), ("gram", pa.string()), ("size", pa.int32()), ("padded", pa.string()), ("n", pa.int64())]
+QUERY = [*INDEX, ("first", pa.bool_()), ("at_left", pa.int32()), ("left", pa.string())]
 
 
-def _index(common: set[str]):
+def _index(lists: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in INDEX]
             for word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 padded = f"^{word}$"
-                for kind, at, gram in set(index_keys(padded, decompose(padded, common))):
-                    for column, value in zip(out, (kind, at, gram, len(word), padded, n)):
+                for at, gram in index_keys(padded, lists.value):
+                    for column, value in zip(out, (at, gram, len(word), padded, n)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                ["kind", "at", "gram", "size", "padded", "n"],
-            )
+            yield _rows(out, INDEX)
 
     return run
 
 
-def _queries(common: set[str]):
+def _queries(lists: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in QUERY]
             for word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 padded = f"^{word}$"
-                grams = decompose(padded, common)
-                rows = list(query_keys(padded, grams, common))
-                at_left = rows[0][1]
-                for kind, at, gram, size, first, left in rows:
-                    for column, value in zip(out, (kind, at, gram, size, padded, n, first, left, at_left)):
+                for at, gram, size, first, at_left, left in query_keys(padded, lists.value):
+                    for column, value in zip(out, (at, gram, size, padded, n, first, at_left, left)):
                         column.append(value)
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, kinds)],
-                ["kind", "at", "gram", "size", "padded", "n", "first", "left", "at_left"],
-            )
+            yield _rows(out, QUERY)
 
     return run
 
@@ -158,11 +170,11 @@ def _queries(common: set[str]):
 def near_pairs(words: DataFrame, common: int = COMMON, most: int = DICTIONARY) -> DataFrame:
     """Every pair (a, b) of words at Levenshtein distance 1 once, with a_n and b_n; `a` is not the longer one."""
     words = words.select("word", "n")
-    grams = common_grams(words, common, most)
-    key = F.xxhash64("kind", "at", "gram", "size").alias("key")
-    index = words.mapInArrow(_index(grams), "kind int, at int, gram string, size int, padded string, n long")
+    lists = words.sparkSession.sparkContext.broadcast(common_grams(words, common, most))
+    key = F.xxhash64("at", "gram", "size").alias("key")
+    index = words.mapInArrow(_index(lists), "at int, gram string, size int, padded string, n long")
     queries = words.mapInArrow(
-        _queries(grams), "kind int, at int, gram string, size int, padded string, n long, first boolean, left string, at_left int"
+        _queries(lists), "at int, gram string, size int, padded string, n long, first boolean, at_left int, left string"
     )
     i = index.select(key, "padded", "n").alias("i")
     q = queries.select(key, "padded", "n", "first", "left", "at_left").alias("q")

@@ -1,4 +1,3 @@
-import hashlib
 import random
 from collections import Counter
 
@@ -96,6 +95,5 @@ def test_long_text(make_docs):
     half = " ".join(f"w{rng.randrange(10**6)}" for _ in range(180_000))
     texts = [half + " middle " + half, half[:500_000], "alone " * 10]
     rows = {r.doc_id: r for r in suffix_dedup.without_repeats(make_docs(texts)).collect()}
-    assert len(half) > suffix_dedup.SEGMENT and bytes(rows[0].kept) == b" middle"[1:-1] + b" " or len(rows[0].kept) <= 10
+    assert len(half) > suffix_dedup.SEGMENT and bytes(rows[0].kept) == b" middle "
     assert rows[1].kept == b"" and bytes(rows[2].kept).decode() == texts[2]
-    assert hashlib.sha256(rows[1].kept).hexdigest() == hashlib.sha256(b"").hexdigest()
