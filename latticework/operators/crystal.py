@@ -323,92 +323,12 @@ def d_ratio_class(spacings: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by("label", F.struct("rmse", "no")).alias("likely_system"), F.min("rmse").alias("rmse"))
 
 
-def edge_grid(spark: SparkSession, lo: float, hi: float, step: float) -> DataFrame:
-    count = int((hi - lo) / step + 1e-9) + 1
-    return spark.range(count).select((F.lit(lo) + F.col("id") * F.lit(step)).alias("a"))
-
-
-def coarse_cells(spark: SparkSession, a_min: float = 2.5, a_max: float = 16.0, step: float = 0.04) -> DataFrame:
-    """Trial cells of the first pass: cubic, hexagonal and tetragonal with their limits."""
-    kinds = lambda names: F.explode(F.array(*[F.struct(F.lit(n).alias("structure"), F.lit(c).alias("centering")) for n, c in names]))
-    cubic = edge_grid(spark, a_min, a_max, step).select(
-        "a", F.col("a").alias("c"), F.lit("cubic").alias("system"), kinds([("fcc", "F"), ("bcc", "I"), ("sc", "P")]).alias("s"))
-    ratios = sorted({*HCP_RATIOS, *[round(1.45 + 0.025 * i, 3) for i in range(21)]})
-    hexa = edge_grid(spark, a_min, min(a_max, 4.5), step).select(
-        "a", F.explode(F.array(*map(F.lit, ratios))).alias("_q")).select(
-        "a", (F.col("a") * F.col("_q")).alias("c"), F.lit("hexagonal").alias("system"), kinds([("hcp", "HCP")]).alias("s")).where("c <= 5.5")
-    tet = edge_grid(spark, a_min, min(a_max, 8.0), step).select(
-        "a", F.explode(F.array(*[F.lit(round(0.4 + 0.1 * i, 2)) for i in range(32)])).alias("_q")).select(
-        "a", (F.col("a") * F.col("_q")).alias("c"), F.lit("tetragonal").alias("system"),
-        kinds([("tetragonal-P", "P"), ("tetragonal-I", "I")]).alias("s"))
-    return cubic.unionByName(hexa).unionByName(tet).select("s.*", "system", "a", "c")
-
-
-def _fine(win: DataFrame, keys: list[str]) -> DataFrame:
-    """Trial cells around each pattern's coarse winner."""
-    steps = lambda span, step: F.sequence(F.lit(-round(span / step)), F.lit(round(span / step)))
-    cub = win.where("system = 'cubic'").withColumn("_i", F.explode(steps(0.08, 0.0005))).withColumns(
-        {"a": F.col("a") + F.col("_i") * 0.0005}).withColumn("c", F.col("a")).where("a >= 2 AND a <= 24")
-    hexa = win.where("system = 'hexagonal'").withColumn("_i", F.explode(steps(0.06, 0.001))).withColumn(
-        "_j", F.explode(steps(0.04, 0.005)))
-    ratio = F.round(F.col("c") / F.col("a") + F.col("_j") * 0.005, 4)
-    hexa = hexa.withColumn("_q", ratio).withColumn("a", F.round(F.col("a") + F.col("_i") * 0.001, 4)).withColumn(
-        "c", F.col("a") * F.col("_q")).where("a >= 2 AND _q BETWEEN 1.40 AND 2.05 AND c <= 5.5").drop("_q", "_j")
-    tet = win.where("system = 'tetragonal'").withColumn("_i", F.explode(steps(0.08, 0.002))).withColumn(
-        "_j", F.explode(steps(0.15, 0.005)))
-    tet = tet.withColumns({"a": F.round(F.col("a") + F.col("_i") * 0.002, 4), "c": F.round(F.col("c") + F.col("_j") * 0.005, 4)}).where(
-        "a >= 2 AND c >= 1.5").drop("_j")
-    cols = [*keys, "structure", "centering", "system", "a", "c"]
-    return cub.select(*cols).unionByName(hexa.select(*cols)).unionByName(tet.select(*cols))
-
-
 def size_penalty(system: Column, a: Column) -> Column:
     """Grows for implausibly large cells of each system."""
     over = lambda limit, weight: F.when(a > limit, weight * F.pow(a - limit, F.lit(2.0))).otherwise(0.0)
     return F.when(system == "hexagonal", over(4.0, 0.5)).when(system == "tetragonal", over(8.0, 0.05)).otherwise(over(6.0, 0.5))
 
 
-def lattice_search(peaks: DataFrame, keys: list[str], cells: DataFrame, tolerance: float = 0.12) -> DataFrame:
-    """Coarse grid at three times the tolerance, then a fine grid around each winner.
-
-    One row per pattern and structure with cell, match and scores. The coarse
-    reflections are made once per trial cell, not per pattern.
-    """
-    used = strongest(peaks, keys).select(*keys, "order_no", "two_theta", "intensity")
-    sizes = used.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
-    used = settle(used.join(sizes.select(*keys), keys, "left_semi"))
-    sizes = settle(sizes)
-    cell = ["structure", "centering", "system", "a", "c"]
-    coarse = 3 * tolerance
-    span = used.agg(F.min("two_theta").alias("lo"), F.max("two_theta").alias("hi")).first()
-    refl = settle(phase_reflections(cells, cell, (span.lo or 0.0) - 1, (span.hi or 180.0) + 1))
-    hit = greedy_match(candidate_pairs(used, refl, keys, cell, coarse), sizes, keys, cell, coarse)
-    # cells without a single reflection near a peak all cost the same; the first stands for them
-    blank = cells.groupBy("structure", "centering", "system").agg(F.min(F.struct("a", "c")).alias("_c")).select(
-        "structure", "centering", "system", "_c.*")
-    blank = sizes.withColumn("_j", F.lit(1)).join(blank.withColumn("_j", F.lit(1)), "_j").select(
-        *keys, *cell, (F.col("n") * (UNMATCHED * coarse * coarse)).alias("cost"))
-    every = hit.select(*keys, *cell, "cost").unionByName(blank)
-    pen = F.when(F.col("system") == "cubic", size_penalty(F.col("system"), F.col("a"))).otherwise(0.0)
-    win = settle(every.groupBy(*keys, "structure", "centering", "system").agg(
-        F.min_by(F.struct("a", "c"), F.struct(F.col("cost") + pen, F.col("c") / F.col("a"), F.col("a"))).alias("_w")).select(
-        *keys, "structure", "centering", "system", "_w.*"))
-    trial = _fine(win, keys)
-    fine_key = [*keys, *cell]
-    # each pattern's own angle range keeps the fine reflections few before they are shuffled
-    lim = used.groupBy(*keys).agg((F.min("two_theta") - 1).alias("_lo"), (F.max("two_theta") + 1).alias("_hi"))
-    fine_refl = phase_reflections(trial.join(lim, keys), fine_key, F.col("_lo"), F.col("_hi"))
-    fine = greedy_match(candidate_pairs(used, fine_refl, keys, cell, tolerance, shared=keys), sizes, keys, cell, tolerance)
-    row = F.struct("a", "c", "cost", "matched", "rms_deg", "n")
-    best = fine.groupBy(*keys, "structure", "centering", "system").agg(
-        F.min_by(row, F.struct("cost", "a", "c")).alias("_b")).select(*keys, "structure", "centering", "system", "_b.*")
-    return win.select(*keys, "structure", "centering", "system", F.col("a").alias("_a0"), F.col("c").alias("_c0")).join(
-        best, [*keys, "structure", "centering", "system"], "left").join(sizes.withColumnRenamed("n", "_n"), keys).select(
-        *keys, "structure", "centering", "system", F.coalesce("a", "_a0").alias("a"), F.coalesce("c", "_c0").alias("c"),
-        F.coalesce("cost", F.col("_n") * (UNMATCHED * tolerance * tolerance)).alias("cost"),
-        F.coalesce("matched", F.lit(0)).alias("matched"), "rms_deg", F.col("_n").alias("n"))
-
-
 def rank_candidates(found: DataFrame, keys: list[str], tolerance: float = 0.12) -> DataFrame:
     """Score lattice candidates (free parameters and size cost extra) and rank them.
 

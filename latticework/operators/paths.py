@@ -31,20 +31,23 @@ def border_cost(y: Column, height: int) -> Column:
 def min_cost_path(final: DataFrame, spine: DataFrame, width: int, height: int) -> DataFrame:
     """Cheapest smooth path per sample, one row per column (y NULL where there is none).
 
-    ``final`` holds at most a few ranked rows per column. An empty column restarts the
-    search and only the stretch after the last one is reported, so only that stretch
-    (at most one picture width) is folded.
+    ``final`` holds at most a few ranked rows per column; a column trend_cost, where there
+    is one, adds to the cost of a row. An empty column restarts the search and only the
+    stretch after the last one is reported, so only that stretch (at most one picture
+    width) is folded.
     """
+    if "trend_cost" not in final.columns:
+        final = final.withColumn("trend_cost", F.lit(0.0))
     limit = window_limit(width)
     last_empty = spine.select(*SC).join(final.select(*SC).distinct(), SC, "left_anti").join(
         final.groupBy("sample_id").agg(F.max("col").alias("_end")), "sample_id").where(
         F.col("col") < F.col("_end")).groupBy("sample_id").agg(F.max("col").alias("_cut"))
     row = F.struct("rank", "confidence", "comp_score", "source")
     # equal heights: position of the first, attributes of the last
-    levels = final.groupBy(*SC, "y").agg(F.min("rank").alias("at"), F.max(row).alias("_l"))
+    levels = final.groupBy(*SC, "y").agg(F.min("rank").alias("at"), F.max(row).alias("_l"), F.max("trend_cost").alias("_pull"))
     live = levels.join(last_empty, "sample_id", "left").where(F.col("_cut").isNull() | (F.col("col") > F.col("_cut")))
     apex = F.when(F.col("_l.source") == "peak_apex", STEP_APEX).otherwise(STEP)
-    option = F.struct("at", F.col("y").cast("int").alias("y"), (DOUBT * (1 - F.col("_l.confidence"))).alias("doubt"),
+    option = F.struct("at", F.col("y").cast("int").alias("y"), (DOUBT * (1 - F.col("_l.confidence")) + F.col("_pull")).alias("doubt"),
                       F.col("_l.comp_score").alias("comp"), apex.alias("step"), border_cost(F.col("y"), height).alias("border"))
     columns = live.groupBy(*SC).agg(F.array_sort(F.collect_list(option)).alias("opts"))
     rows = columns.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("col", "opts"))).alias("_cols"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import bragg as B
 from latticework.operators import crystal as X
+from latticework.operators import lattice as L
 from latticework.plans import inputs as I
 from latticework.plans.inputs import LATTICE_CENTERINGS, R, oracle
 from latticework.plans.peak_queries import MAXIMA, maxima
@@ -302,3 +303,11 @@ def lattice_report(spark, folder):
     return rows.groupBy("pattern_id").agg(
         F.count("miller").alias("matched_reflections"),
         r(F.sqrt(F.avg(F.col("delta_deg") * F.col("delta_deg")))).alias("rms_deg"))
+
+
+@register("lattice_candidates", "X20 X21 X22 X23")
+def lattice_candidates(spark, folder):
+    """Cubic, hexagonal and tetragonal cells of every pattern, ranked; tests hold them against the whole trial grid."""
+    found = X.rank_candidates(L.lattice_candidates(_observed(spark, folder), K), K)
+    return found.select("pattern_id", "structure", r("a", 4).alias("a"), r("c", 4).alias("c"), "matched", "n", r("cost").alias("cost"),
+                        r("score").alias("score"), r("volume", 4).alias("volume"), "rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from latticework.operators import calibrate as C
 from latticework.operators import candidates as K
 from latticework.operators import crystal as X
+from latticework.operators import lattice as L
 from latticework.operators import evaluate as E
 from latticework.operators import fit as FIT
 from latticework.operators import micro as M
@@ -109,23 +110,64 @@ def test_gates_treat_missing_errors_as_zero(spark):
     assert out == {1: True, 2: False}
 
 
-@pytest.mark.parametrize("name,structure,a", [("Al", "fcc", 4.046), ("Fe-BCC (α-Fe)", "bcc", 2.866)])
-def test_known_cubic_cells_are_recovered(spark, name, structure, a):
-    refl = X.phase_reflections(X.phases(spark).where(F.col("phase") == name), ["phase"], 20.0, 120.0).where("two_theta BETWEEN 20 AND 120")
-    peaks = refl.select(F.lit(1).cast("bigint").alias("pattern_id"), "two_theta", (100 - F.col("two_theta") / 2).alias("intensity"))
-    cells = X.coarse_cells(spark, a - 0.2, a + 0.2).where("system = 'cubic'")
-    found = X.lattice_search(peaks, PK, cells).where(F.col("structure") == structure).first()
-    assert found.a == pytest.approx(a, abs=0.002) and found.matched == found.n
-    best = X.rank_presets(peaks, PK).where("rank = 1").first()
-    assert best.phase == name
-
-
-def test_known_hexagonal_cell_is_recovered(spark):
-    refl = X.phase_reflections(X.phases(spark).where("phase LIKE 'Ti-α%'"), ["phase"], 30.0, 80.0).where("two_theta BETWEEN 30 AND 80 AND rel > 0")
-    peaks = refl.select(F.lit(1).cast("bigint").alias("pattern_id"), "two_theta", F.lit(1.0).alias("intensity"))
-    cells = X.coarse_cells(spark, 2.90, 3.02).where("system = 'hexagonal' AND c / a BETWEEN 1.56 AND 1.62")
-    found = X.lattice_search(peaks, PK, cells).first()
-    assert found.a == pytest.approx(2.951, abs=0.01) and found.c == pytest.approx(4.684, abs=0.03) and found.matched == found.n
+# pattern, structure, system, centering, a, c
+KNOWN = [(1, "fcc", "cubic", "F", 4.046, 4.046), (2, "bcc", "cubic", "I", 2.866, 2.866), (3, "hcp", "hexagonal", "HCP", 2.951, 4.684),
+         (4, "tetragonal-I", "tetragonal", "I", 3.1, 4.96)]
+
+
+def known_peaks(spark):
+    cells = spark.createDataFrame(KNOWN, "pattern_id bigint, structure string, system string, centering string, a double, c double")
+    refl = X.phase_reflections(cells, ["pattern_id"], 20.0, 100.0).where("two_theta BETWEEN 20 AND 100 AND rel > 0")
+    return refl.select("pattern_id", "two_theta", (200 - F.col("two_theta")).alias("intensity"))
+
+
+def test_known_cells_are_recovered(spark):
+    """The whole default grid finds cells as good as the known ones (larger multiples fit as well); small edges only, the known ones."""
+    peaks = known_peaks(spark)
+    for search in (L.Search(), L.Search(a_max=4.0)):
+        found = {(r.pattern_id, r.structure): r for r in X.rank_candidates(L.lattice_candidates(peaks, PK, search), PK).collect()}
+        for i, structure, _, _, a, c in KNOWN:
+            if a > search.a_max:
+                continue
+            r = found[i, structure]
+            assert r.matched == r.n and r.cost <= 0.04
+            if search.a_max < 5 or structure in ("fcc", "hcp"):
+                assert r.a == pytest.approx(a, abs=0.004) and r.c == pytest.approx(c, abs=0.02)
+        assert found[3, "hcp"]["rank"] == 1
+    best = {r.pattern_id: r.phase for r in X.rank_presets(peaks, PK).where("rank = 1").collect()}
+    assert best[1] == "Al" and best[2].startswith("Fe-BCC")
+
+
+def test_votes_bound_the_cost_of_every_cell(spark):
+    """Each trial cell's votes are what a plain loop over its reflections gives, and no match costs less than its bound."""
+    search = L.Search(a_min=2.8, a_max=3.4, step=0.04, kept=10**6)
+    peaks = known_peaks(spark).where("pattern_id = 3").unionByName(
+        spark.createDataFrame([(3, 33.3, 50.0), (3, 61.7, 20.0)], "pattern_id bigint, two_theta double, intensity double"))
+    used = X.strongest(peaks, PK).select("pattern_id", "order_no", "two_theta", "intensity").cache()
+    sizes = used.groupBy("pattern_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    table = L.shells(spark, search).where("structure IN ('bcc', 'hcp') AND q < 1.6").cache()
+    voted = L.votes(used, PK, table, search)
+    bits = {(r.structure, r.q, r.step_no): r.bits for r in voted.collect()}
+    shells, angles = {}, [(r.order_no - 1, r.two_theta) for r in used.collect()]
+    for r in table.collect():
+        shells.setdefault((r.structure, r.q), set()).add(r.s)
+    want = {}
+    for (structure, q), lengths in shells.items():
+        for k in range(16):
+            a, code = 2.8 + k * 0.04, 0
+            if structure == "hcp" and a * q > 5.5:
+                continue
+            theory = [2 * math.degrees(math.asin(1.5406 * s / (2 * a))) for s in lengths if 1.5406 * s / (2 * a) < 1]
+            for p, t in angles:
+                off = min(abs(x - t) for x in theory) / search.coarse
+                code |= sum(1 << (4 * p + j) for j, share in enumerate(L.CLOSE) if off <= share)
+            if code:
+                want[structure, q, k] = code
+    assert bits == want
+    short = L.shortlist(voted, sizes, PK, search)
+    matched = X.greedy_match(L.cell_pairs(used, short, table, PK, search.coarse), sizes, PK, L.CELL, search.coarse)
+    both = matched.join(short, ["pattern_id", *L.CELL]).select("cost", "bound", "structure", "a").collect()
+    assert len(both) == len(want) and all(r.cost >= r.bound - 1e-9 - (0.5 * max(0.0, r.a - 6) ** 2) for r in both)
 
 
 def test_profile_fit_recovers_two_gaussians(curve):
