@@ -217,7 +217,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     listed = stored(texts.mapInArrow(
         _listed(length, gram), "doc long, sig long, sig2 int, start long, windows int, at int, key long, value long"
     ), "pieces")
-    twice = listed.groupBy("key").count().filter("count > 1").select("key")
+    # stored, so that both sides of the join are plain exchanges that Spark can split at hot grams
+    twice = stored(listed.groupBy("key").count().filter("count > 1").select("key"), "twice")
     held = stored(listed.join(twice, "key", "left_semi"), "held")
     dropped(listed)
     classes = held.groupBy("key", "value").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "sig2", "start", "windows", "at")).alias("of"))
