@@ -61,8 +61,9 @@ def _item_shingles(spans: textops.Spans, row: int, k: int) -> np.ndarray:
 class Items:
     """One block of benchmark items: shingles, weights and the multi-index, by item size in words."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], k: int, shared: tuple[np.ndarray, np.ndarray]) -> None:
         self.k = k
+        self.shared, self.holding = shared
         ids, sets, sizes = [], [], []
         for row, end, _, spans, _ in word_spans(pa.array([t for _, t in rows], pa.string())):
             for i in range(end - row):
@@ -84,9 +85,11 @@ class Items:
         self.prints = np.array(prints, np.uint64)
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
-        """1 / (items that hold the shingle), 1 for shingles of no item."""
-        n = np.searchsorted(self.hash, hashes, "right") - np.searchsorted(self.hash, hashes, "left")
-        return 1.0 / np.maximum(n, 1)
+        """1 / (items of the whole benchmark that hold the shingle), 1 for shingles of no item."""
+        if not len(self.shared):
+            return np.ones(len(hashes))
+        at = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+        return np.where(self.shared[at] == hashes, 1.0 / self.holding[at], 1.0)
 
     def holders(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, item) for all positions whose shingle occurs in an item."""
@@ -167,17 +170,36 @@ class Items:
                         best[key] = (value, word, word + words)
 
 
+def shared_shingles(benchmark: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more items of the whole benchmark hold, in order, and how many items do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, _, spans, _ in word_spans(batch.column(0)):
+                every = [np.unique(_item_shingles(spans, i, k)) for i in range(end - row)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], ["hash"])
+
+    counted = benchmark.select("text").mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1").toPandas()
+    hashes, n = counted["hash"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.float64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
 def item_blocks(benchmark: DataFrame, k: int, block: int = ITEM_BLOCK) -> Iterator[Items]:
-    """The items with a text, in blocks of at most `block` by hash of their ids."""
+    """The items with a text, in blocks of at most `block` by hash of their ids.
+
+    Weights come from all items, so results don't depend on the blocks.
+    """
     benchmark = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     n = benchmark.count()
-    parts = -(-n // (block // 2)) if n > block else 1
+    shared = shared_shingles(benchmark, k)
+    parts = -(-n // max(1, block // 2)) if n > block else 1
     for part in range(parts):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        yield Items([(r[0], r[1]) for r in rows], k)
+        yield Items([(r[0], r[1]) for r in rows], k, shared)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float = SIMILARITY, block: int = ITEM_BLOCK) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, similarity, first_word, end_word of the best window.
 
     Null and empty texts and items match nothing; repeated rows give repeated results; a
@@ -205,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float =
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [search(items) for items in item_blocks(benchmark, k)])
+    return reduce(DataFrame.unionByName, [search(items) for items in item_blocks(benchmark, k, block)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:

@@ -49,8 +49,18 @@ def test_against_brute_force(spark, make_docs):
         docs.append((d, ", ".join(w)))
     docs += [(60, None), (61, "")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = dc.leaks(make_docs([t for _, t in docs]), benchmark).collect()
-    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute(docs, items)
+    for block in (dc.ITEM_BLOCK, 2):  # results don't depend on how the items are cut into blocks
+        got = dc.leaks(make_docs([t for _, t in docs]), benchmark, block=block).collect()
+        assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute(docs, items)
+
+
+def test_shared_shingles_weigh_alike_in_every_block(spark, make_docs):
+    common = " ".join(f"c{i}" for i in range(20))
+    items = [(i, f"{common} " + " ".join(f"own{i}x{j}" for j in range(12))) for i in range(9)]
+    text = f"{common} " + " ".join(f"own3x{j}" for j in range(9)) + " and then more of it"
+    docs, benchmark = make_docs([text]), spark.createDataFrame(items, "item_id long, text string")
+    found = [{(r.item_id, r.similarity) for r in dc.leaks(docs, benchmark, least=0.1, block=b).collect()} for b in (dc.ITEM_BLOCK, 4, 2)]
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 1
 
 
 def brute_short(docs, items, k=5, least=0.8):
@@ -91,7 +101,7 @@ def test_texts_shorter_than_an_item(spark, make_docs):
 
 def test_multi_index_lists_all_within_the_radius():
     rng = np.random.default_rng(2)
-    items = dc.Items([(i, " ".join(f"x{rng.integers(1000)}" for _ in range(12))) for i in range(40)], 5)
+    items = dc.Items([(i, " ".join(f"x{rng.integers(1000)}" for _ in range(12))) for i in range(40)], 5, (np.zeros(0, np.uint64), np.zeros(0)))
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     for n in range(300):  # flip 0 to 24 bits of an item's fingerprint
         flips = rng.choice(64, rng.integers(0, 25), replace=False).astype(np.uint64)
