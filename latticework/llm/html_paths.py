@@ -2,10 +2,12 @@
 
 A page's text nodes are grouped by their path of tags from the root. Every path has a text
 ratio (text per node) and a punctuation ratio (stops per node); both are smoothed along the
-page, fused by their product, and summed up the tree. The content root is the best article
-or main element by fused weight, else the deepest element that holds most of it; paths
-below it pass if they don't lie in page furniture and, on pages without such an element,
-reach a share of the mean fused weight. Furniture is told by tag, role, class and id.
+page, fused by their product, and summed up the tree. The fused weights choose the content root:
+the main element, if much of its weight lies outside its articles, else all articles that
+hold a share of the best one's weight, else the deepest element that holds most of the
+page's; on pages without article and main, paths below it must reach a share of the mean
+weight. Page furniture is told by tag, role, class and id; names that also occur within
+articles (header, legal, related, ...) count there only where the fused weight is low.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span "
     "strike strong sub sup time tt u var img wbr".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -42,6 +45,8 @@ FURNITURE_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related "
     "recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer hidden".split()
 )
+# fixed values: of these words, those that sections of an article may bear as well
+DOUBTFUL_WORDS = frozenset("header head masthead foot footer legal copyright disclaimer related hidden notice notices alert banner rail widget toolbar promotion".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -52,6 +57,10 @@ STOP = re.compile(r"[.,;:!?。，！？]")
 SMOOTH = (0.25, 0.5, 0.25)
 ROOT_SHARE = 0.6
 PATH_SHARE = 0.2
+# weight outside its articles from which main is the root; share of the best article that others need
+OUTSIDE_SHARE, PART_SHARE = 0.3, 0.2
+# share of the mean weight below which a doubtful section is furniture
+DOUBT_SHARE = 0.5
 
 
 @dataclass
@@ -60,6 +69,7 @@ class Element:
     label: str
     number: int
     furniture: bool
+    doubtful: bool = False
 
 
 @dataclass
@@ -72,20 +82,24 @@ class Node:
 
 
 def _element(tag: str, attributes: str, number: int, inside: list[Element]) -> Element:
-    names, furniture = [], tag in FURNITURE_TAGS
+    names, furniture, doubtful = [], tag in FURNITURE_TAGS, False
+    within = any(e.tag in ("article", "main") for e in inside)
     for m in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         name, value = m.group(1).lower(), next((g for g in m.groups()[1:] if g is not None), "")
         if name in ("class", "id"):
             words = NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
             names += value.split()[:1]
-            furniture |= tag not in ("article", "main", "body", "html") and not FURNITURE_WORDS.isdisjoint(w.lower() for w in words)
+            telling = FURNITURE_WORDS.intersection(w.lower() for w in words) if tag not in ("article", "main", "body", "html") else ()
+            only = within and all(w in DOUBTFUL_WORDS for w in telling)
+            furniture |= bool(telling) and not only
+            doubtful |= bool(telling) and only
         elif name == "role":
             furniture |= value.lower() in FURNITURE_ROLES
         else:
             furniture |= name == "hidden" or value.lower() == "true"
     if tag == "header":  # a heading inside an article belongs to it
-        furniture |= not any(e.tag in ("article", "main") for e in inside)
-    return Element(tag, ".".join([tag, *names[:1]]), number, furniture)
+        furniture |= not within
+    return Element(tag, ".".join([tag, *names[:1]]), number, furniture, doubtful)
 
 
 def parse(page: str) -> list[Node]:
@@ -170,30 +184,55 @@ def fused_weights(nodes: list[Node]) -> list[float]:
     return [x * (0.1 + math.log1p(y)) for x, y in zip(length, stops)]
 
 
+def _drop_light(nodes: list[Node], weights: list[float]) -> None:
+    """Take the weight of doubtful sections whose mean, headings aside, is small beside that of the certain nodes."""
+    certain = [w for n, w in zip(nodes, weights) if w and not any(e.doubtful for e in n.path)]
+    sections: dict[int, list[int]] = defaultdict(list)
+    for i, n in enumerate(nodes):
+        for e in n.path:
+            if e.doubtful:
+                sections[e.number].append(i)
+    limit = DOUBT_SHARE * sum(certain) / len(certain) if certain else 0.0
+    for places in sections.values():
+        plain = [weights[i] for i in places if not any(e.tag in HEADINGS for e in nodes[i].path)]
+        if sum(plain) < limit * len(plain):
+            for i in places:
+                weights[i] = 0.0
+
+
 def content_nodes(nodes: list[Node]) -> list[Node]:
     """Nodes of the selected paths."""
     nodes = [n for n in nodes if n.text.strip()]
     if not nodes:
         return []
-    weights = [0.0 if any(e.furniture for e in n.path) else w for n, w in zip(nodes, fused_weights(nodes))]
+    fused = fused_weights(nodes)
+    weights = [0.0 if any(e.furniture for e in n.path) else w for n, w in zip(nodes, fused)]
+    _drop_light(nodes, weights)
     held: dict[int, float] = defaultdict(float)
     depth: dict[int, tuple[int, Element]] = {}
+    inside: dict[int, tuple[Element, ...]] = {}
     for node, weight in zip(nodes, weights):
         if weight:
             for d, e in enumerate(node.path):
                 held[e.number] += weight
                 depth[e.number] = (d, e)
-    named = [n for n, (_, e) in depth.items() if e.tag in ("article", "main")]
-    if named:
-        mains = [n for n in named if depth[n][1].tag == "article"] or named
-        root = max(mains, key=lambda n: (held[n], -n))
-        least = 0.0
-    else:
+                inside[e.number] = node.path[:d]
+    articles = [n for n, (_, e) in depth.items() if e.tag == "article" and not any(x.tag == "article" for x in inside[n])]
+    main = max((n for n, (_, e) in depth.items() if e.tag == "main"), key=lambda n: (held[n], -n), default=None)
+    least, roots = 0.0, None
+    if main is not None:
+        own = [n for n in articles if any(x.number == main for x in inside[n])]
+        if not articles or held[main] - sum(held[n] for n in own) >= OUTSIDE_SHARE * held[main]:
+            roots = {main, *(n for n in articles if n not in own and held[n] > held[main])}
+    if roots is None and articles:
+        best = max(held[n] for n in articles)
+        roots = {n for n in articles if held[n] >= PART_SHARE * best}
+    if roots is None:
         total = sum(weights)
         inner = [n for n, (_, e) in depth.items() if held[n] >= ROOT_SHARE * total and e.tag not in INLINE]
         root = max(inner, key=lambda n: (depth[n][0], held[n], -n), default=None)
-        if root is not None and depth[root][1].tag == "p":
-            root = None
+        if root is not None and depth[root][1].tag != "p":
+            roots = {root}
         used = [w for w in weights if w]
         least = PATH_SHARE * sum(used) / len(used) if used else 0.0
     by_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
@@ -202,7 +241,7 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     passed = {p for p, w in by_path.items() if max(w) > 0 and max(w) >= least}
     return [
         n for n, w in zip(nodes, weights)
-        if w and (root is None or any(e.number == root for e in n.path)) and tuple(e.label for e in n.path if e.tag not in INLINE) in passed
+        if w and (roots is None or any(e.number in roots for e in n.path)) and tuple(e.label for e in n.path if e.tag not in INLINE) in passed
     ]
 
 
