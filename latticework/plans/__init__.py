@@ -9,5 +9,6 @@ from latticework.plans import crystal_queries  # noqa: F401
 from latticework.plans import evaluation_queries  # noqa: F401
 from latticework.plans import candidate_queries  # noqa: F401
 from latticework.plans import evidence_queries  # noqa: F401
+from latticework.plans import recovery_queries  # noqa: F401
 from latticework.plans import pixel_queries  # noqa: F401
 from latticework.plans import source_queries  # noqa: F401
