@@ -76,6 +76,14 @@ def blend_auxiliary(cands: DataFrame, weight: float, minimum: float, aux: str =
         "confidence", F.when(F.col("confidence") >= minimum, mixed).otherwise(F.col("confidence")))
 
 
+def auxiliary_summary(blended: DataFrame, minimum: float, aux: str = "aux") -> DataFrame:
+    """Per sample means before and after the blend and of the auxiliary score, and how many candidates it reached."""
+    low = F.col("base_confidence") < minimum
+    return blended.groupBy("sample_id").agg(
+        F.avg("base_confidence").alias("mean_base_conf"), F.avg("confidence").alias("mean_final_conf"), F.avg(F.coalesce(F.col(aux), F.lit(0.0))).alias("mean_contrast_bonus"),
+        F.count(F.lit(1)).alias("num_candidates"), F.count_if(~low).alias("num_bonus_applied"), F.count_if(low).alias("num_base_conf_too_low"))
+
+
 def envelope_bonus(cands: DataFrame) -> DataFrame:
     """Add ``rank_score``: confidence, lifted near the top of crowded, tall columns."""
     shape = cands.groupBy(*SC).agg(F.count(F.lit(1)).alias("_n"), F.min("y").alias("_top"), F.max("y").alias("_bottom"))

@@ -309,6 +309,24 @@ def batch_report(metrics: DataFrame, level: str, groups: list[str] | None = None
     return out.withColumn("next_action", next_action(F.get("top_failures", F.lit(0))["label"])).drop("_all", "improved")
 
 
+def report_samples(metrics: DataFrame, level: str) -> DataFrame:
+    """One row per sample of a report: whether it passed, the gates it failed and its failure labels."""
+    checked = check_gates(metrics, level)
+    failed = checked.where(~F.col("passed")).groupBy("sample_id").agg(F.array_sort(F.collect_set("metric")).alias("failed_gates"))
+    none = F.array().cast("array<string>")
+    out = metrics.withColumn("labels", failure_labels()).join(gate_verdict(checked).select("sample_id", "passed"), "sample_id").join(failed, "sample_id", "left")
+    return out.withColumn("failed_gates", F.coalesce("failed_gates", none))
+
+
+def report_metadata(report: DataFrame, **tags: str | None) -> DataFrame:
+    """The report's rows with a map of what is known of the run (None stays absent) and the decision against a baseline."""
+    known = [F.lit(x) for name, value in sorted(tags.items()) if value is not None for x in (name, value)]
+    meta = F.create_map(*known) if known else F.create_map().cast("map<string,string>")
+    better = F.when(F.col("verdict") == "fail_but_improved", "improved").otherwise("unknown")
+    return report.withColumn("metadata", F.map_concat(meta, F.create_map(
+        F.lit("gate_level"), F.col("gate_level"), F.lit("num_samples"), F.col("num_samples").cast("string")))).withColumn("relative_to_baseline", better)
+
+
 def report_lines(samples: DataFrame) -> DataFrame:
     """One printable line per sample."""
     labels = F.when(F.size("labels") > 0, F.concat_ws(", ", "labels")).otherwise("-")

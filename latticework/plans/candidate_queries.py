@@ -50,6 +50,15 @@ def blend_auxiliary(spark, folder):
     return out.select("sample_id", "col", "cand_id", r("confidence").alias("confidence"))
 
 
+@register("auxiliary_summary", "K3", oracle("candidates", f"""
+    SELECT sample_id, {R('avg(confidence)')} AS mean_base_conf, {R('avg(CASE WHEN confidence >= 0.35 THEN least(1, 0.85 * confidence + 0.15 * comp_score / 10) ELSE confidence END)')} AS mean_final_conf,
+      {R('avg(comp_score / 10)')} AS mean_contrast_bonus, count(*) AS num_candidates, count(*) FILTER (confidence >= 0.35) AS num_bonus_applied, count(*) FILTER (confidence < 0.35) AS num_base_conf_too_low
+    FROM candidates GROUP BY 1"""))
+def auxiliary_summary(spark, folder):
+    out = C.auxiliary_summary(C.blend_auxiliary(cands(spark, folder).withColumn("aux", F.col("comp_score") / 10), 0.15, 0.35), 0.35)
+    return out.withColumns({c: r(c) for c in ("mean_base_conf", "mean_final_conf", "mean_contrast_bonus")})
+
+
 SCORED = """scored AS (SELECT *, confidence + CASE WHEN count(*) OVER w >= 8 AND max(y) OVER w - min(y) OVER w >= 4
       THEN 0.35 * exp(-(y - min(y) OVER w) / 6.0) ELSE 0 END AS rank_score FROM candidates WINDOW w AS (PARTITION BY sample_id, col)),
     kept AS (SELECT * FROM scored WHERE confidence >= 0.25),

@@ -265,3 +265,19 @@ def report_lines(spark, folder):
     v = E.gate_verdict(E.check_gates(m, "mvp")).select("sample_id", "passed")
     # shifted off exact half cents so that both engines print the same digits
     return E.report_lines(m.join(v, "sample_id").withColumns({"curve_y_mae_px": F.col("curve_y_mae_px") + 0.001, "peak_recall": F.col("peak_recall") + 0.0001}))
+
+
+@register("report_samples", "E23", oracle("metrics", WIDE + ", " + CHECK.replace("LEVEL", "mvp") + """,
+    v AS (SELECT sample_id, bool_and(ok) AS passed, string_agg(metric, ',' ORDER BY metric) FILTER (NOT ok) AS failed FROM checked GROUP BY 1)
+    SELECT sample_id, domain, passed, coalesce(failed, '') AS failed_gates, array_to_string(labels, ',') AS labels FROM labelled JOIN v USING (sample_id)"""))
+def report_samples(spark, folder):
+    out = E.report_samples(_wide(spark, folder), "mvp")
+    return out.select("sample_id", "domain", "passed", F.array_join("failed_gates", ",").alias("failed_gates"), F.array_join("labels", ",").alias("labels"))
+
+
+@register("report_metadata", "E23", oracle("metrics", """
+    SELECT domain, 'nightly' AS run_tag, 'mvp' AS gate_level, CAST(count(*) AS VARCHAR) AS num_samples, CAST(NULL AS VARCHAR) AS commit, 'unknown' AS relative_to_baseline FROM metrics GROUP BY 1"""))
+def report_metadata(spark, folder):
+    out = E.report_metadata(E.batch_report(_wide(spark, folder), "mvp", ["domain"]), run_tag="nightly", git_commit=None)
+    said = lambda name: F.col("metadata").getItem(name).alias(name)
+    return out.select("domain", said("run_tag"), said("gate_level"), said("num_samples"), F.col("metadata").getItem("git_commit").alias("commit"), "relative_to_baseline")

@@ -114,3 +114,41 @@ def stored_points(spark, folder):
     path = scratch_path(spark, "points")
     SK.write_points(I.pattern_points(spark, folder).select("pattern_id", "idx", "two_theta", "intensity"), path)
     return spark.read.parquet(path)
+
+
+@register("structure_cells", "S4", oracle("", f"""
+    SELECT s_suppkey AS id, {R('2.5 + (s_suppkey % 97) * 0.02')} AS a, {R('3.1 + (s_suppkey % 83) * 0.02')} AS c, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(90 + s_suppkey % 30 AS DOUBLE) END AS gamma,
+      'F m -' || s_nationkey || ' m' AS space_group FROM supplier"""))
+def structure_cells(spark, folder):
+    """One structure file per supplier, uncertainties in brackets and quotes included, written and read back."""
+    s, key = I.table(spark, folder, "supplier"), F.col("s_suppkey")
+    edge = lambda low, of: F.format_string("%.2f(3)", low + key % of * F.lit(0.02))
+    gamma = F.when(key % 5 != 0, F.concat(F.lit("_cell_angle_gamma   "), (90 + key % 30).cast("string"))).otherwise("_cell_angle_gamma ?")
+    lines = F.array(
+        F.concat(F.lit("data_"), key.cast("string")), F.concat(F.lit("_cell_length_a "), edge(2.5, 97)), F.concat(F.lit("  _cell_length_c  "), edge(3.1, 83)),
+        gamma, F.concat(F.lit("_space_group_name_H-M_alt 'F m -"), F.col("s_nationkey").cast("string"), F.lit(" m'")))
+    path = scratch_path(spark, "structures")
+    s.select(key.alias("id"), F.array_join(lines, "\n").alias("value")).repartition("id").write.partitionBy("id").text(path)
+    back = RD.cif_cells(spark, f"{path}/id=*")
+    return back.select(F.regexp_extract("file", r"id=(\d+)", 1).cast("long").alias("id"), r("a").alias("a"), r("c").alias("c"), "gamma", "space_group")
+
+
+SUPPLIERS_A_FILE = 50
+
+
+@register("calibration_records", "S7", oracle("calibration", """
+    SELECT sample_id, CAST(x0 AS DOUBLE) AS x0, x_v2, y_v2 FROM calibration WHERE sample_id % 7 <> 0"""))
+def calibration_records(spark, folder):
+    """Calibrations written as arrays of records, every seventh without a required key, and read back."""
+    c = I.calibration(spark, folder)
+    d = lambda *names: F.array(*[F.col(n).cast("double") for n in names])
+    record = F.struct(
+        d("x0", "y0", "x1", "y1").alias("plot_box"), F.array(d("px1", "y1"), d("px2", "y1")).alias("x_axis_points"), d("x_v1", "x_v2").alias("x_axis_values"),
+        F.array(d("x0", "py1"), d("x0", "py2")).alias("y_axis_points"), F.when(F.col("sample_id") % 7 != 0, d("y_v1", "y_v2")).alias("y_axis_values"),
+        d("x0", "y0").alias("color_sample_point"), F.col("sample_id").cast("int").alias("export_resample_points"))
+    files = c.groupBy(F.floor(F.col("sample_id") / SUPPLIERS_A_FILE).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    path = scratch_path(spark, "calibrations")
+    files.repartition("file").write.partitionBy("file").text(path)
+    good, _ = RD.calibrations(spark, f"{path}/file=*")
+    return good.select(F.col("export_resample_points").cast("long").alias("sample_id"), F.get("plot_box", F.lit(0)).alias("x0"),
+                       F.get("x_axis_values", F.lit(1)).alias("x_v2"), F.get("y_axis_values", F.lit(1)).alias("y_v2"))
