@@ -67,21 +67,22 @@ def shells(spark: SparkSession, search: Search) -> DataFrame:
     hexagonal, tetragonal = axial_ratios()
     kinds = [("fcc", "F", "cubic", [1.0]), ("bcc", "I", "cubic", [1.0]), ("sc", "P", "cubic", [1.0]), ("hcp", "HCP", "hexagonal", hexagonal),
              ("tetragonal-P", "P", "tetragonal", tetragonal), ("tetragonal-I", "I", "tetragonal", tetragonal)]
-    rows = [(n, c, s, q) for n, c, s, ratios in kinds for q in ratios]
+    rows = [(i, *kind) for i, kind in enumerate((n, c, s, q) for n, c, s, ratios in kinds for q in ratios)]
     top = F.when(F.col("system") == "hexagonal", 12).otherwise(14)
     at = lambda last: F.explode(F.sequence(F.lit(0), last))
-    g = spark.createDataFrame(rows, "structure string, centering string, system string, q double").withColumn("h", at(top))
+    g = spark.createDataFrame(rows, "cell_no int, structure string, centering string, system string, q double").withColumn("h", at(top))
     g = g.withColumn("k", at(F.when(F.col("system") == "hexagonal", 12).otherwise(F.col("h"))))
     g = g.withColumn("l", at(F.when(F.col("system") == "cubic", F.col("k")).otherwise(20)))
     h, k, l, q = F.col("h"), F.col("k"), F.col("l"), F.col("q")  # noqa: E741
     s2 = F.when(F.col("system") == "hexagonal", 4 * (h * h + h * k + k * k) / 3 + l * l / (q * q)).otherwise(h * h + k * k + l * l / (q * q))
-    a_max = F.when(F.col("system") == "hexagonal", search.hexagonal_a_max).when(F.col("system") == "tetragonal", search.tetragonal_a_max).otherwise(search.a_max)
+    a_max = F.when(F.col("system") == "hexagonal", F.least(F.lit(search.hexagonal_a_max), search.hexagonal_c_max / q))
+    a_max = a_max.when(F.col("system") == "tetragonal", search.tetragonal_a_max).otherwise(search.a_max)
     a_max = F.least(a_max, F.lit(search.a_max))
     rel = F.when(F.col("system") == "hexagonal", B.hcp_factor(h, k, l)).when(
         F.col("system") == "tetragonal", F.when(F.col("centering") == "I", 100.0).otherwise(25.0)
     ).otherwise(F.when(F.col("centering") == "F", 16.0).when(F.col("centering") == "I", 4.0).otherwise(1.0))
     return g.where(B.allowed(h, k, l, F.col("centering"))).select(
-        "structure", "centering", "system", "q", "h", "k", "l", F.sqrt(s2).alias("s"), a_max.alias("a_max"), rel.alias("rel")
+        "cell_no", "structure", "centering", "system", "q", "h", "k", "l", F.sqrt(s2).alias("s"), a_max.alias("a_max"), rel.alias("rel")
     ).where(F.col("s") <= F.col("a_max") * 2 / B.CU_K_ALPHA)
 
 
@@ -103,7 +104,7 @@ def votes(peaks: DataFrame, keys: list[str], table: DataFrame, search: Search) -
     # spacings of all peaks that reach an edge of the grid, a bucket more on both sides for the tolerance
     first = F.floor((F.lit(log(search.a_min)) - F.log("s")) / SPACING) - 2
     last = F.floor((F.log("a_max") - F.log("s")) / SPACING) + 2
-    reach = table.groupBy("structure", "centering", "system", "q", F.round("s", 9).alias("s")).agg(F.max("a_max").alias("a_max"))
+    reach = table.groupBy("cell_no", F.round("s", 9).alias("s")).agg(F.max("a_max").alias("a_max"))
     reach = reach.withColumn("bucket", F.explode(F.sequence(first, last)))
     near = by_spacing.join(F.broadcast(reach), "bucket")  # bounded by the trial grid
     number = lambda edge: (edge - search.a_min) / search.step
@@ -112,10 +113,12 @@ def votes(peaks: DataFrame, keys: list[str], table: DataFrame, search: Search) -
     each = near.withColumns({"low": low, "high": high}).where("low <= high").withColumn("step_no", F.explode(F.sequence("low", "high")))
     a = F.lit(search.a_min) + F.col("step_no") * search.step
     each = each.withColumn("off", F.abs(_angle(a, F.col("s")) - F.col("two_theta")) / tol)
-    fits = (F.col("off") <= 1) & ((F.col("system") != "hexagonal") | (a * F.col("q") <= search.hexagonal_c_max))
     code = F.when(F.col("off") <= CLOSE[3], 15).when(F.col("off") <= CLOSE[2], 7).when(F.col("off") <= CLOSE[1], 3).otherwise(1)
     bits = F.call_function("shiftleft", code.cast("long"), F.col("bit").cast("int"))
-    return each.where(fits).groupBy(*keys, "structure", "centering", "system", "q", "step_no").agg(F.bit_or(bits).alias("bits"))
+    # numbers alone are grouped; what they stand for is joined to the result
+    gathered = each.where("off <= 1").groupBy(*keys, "cell_no", F.col("step_no").cast("int").alias("step_no")).agg(F.bit_or(bits).alias("bits"))
+    named = table.select("cell_no", "structure", "centering", "system", "q").distinct()
+    return gathered.join(F.broadcast(named), "cell_no").drop("cell_no")
 
 
 def cost_bound(bits: Column, n: Column, tolerance: float) -> Column:
