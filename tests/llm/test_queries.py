@@ -23,6 +23,12 @@ def test_one_query_for_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
+def test_entry_registers_all_of_them():
+    import __spark_entry__ as entry
+
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 @pytest.mark.parametrize(("name", "of", "label"), [("op1_toxicity", 4, "toxic"), ("op3_quality_mil", 5, "quality")])
 def test_classifiers(spark, name, of, label):
     rows = QUERIES[name](spark, FOLDER).collect()
