@@ -15,7 +15,8 @@ SOME = [
     "axis_fit", "trace_to_numeric", "gap_fill", "plateau_removal", "analyzer_smooth", "local_maxima", "detect_peaks",
     "williamson_hall_by_pattern", "texture_index", "sin2psi_stress", "reflections", "greedy_match", "candidate_topk",
     "candidate_final", "column_fill", "risk_segments", "peak_prf", "gate_check", "metric_stats", "failure_labels",
-    "topmost_trace", "dominant_colour", "delimited_points",
+    "topmost_trace", "dominant_colour", "delimited_points", "apex_candidates", "band_trend", "evidence_pick", "continuity_quota",
+    "islands", "blended_path", "near_truth", "structure_cells",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("LATTICEWORK_ALL") else SOME
 
