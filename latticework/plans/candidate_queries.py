@@ -190,9 +190,27 @@ def candidate_margins(spark, folder):
     return out.select("sample_id", "count", "n", r("mean", 8).alias("mean"), *[r(x).alias(x) for x in ("p10", "p50", "p90", "mean_confidence")])
 
 
-@register("min_cost_path", "K19")
+# the search column by column over lists of states, then the way back; `paths` holds the ranked rows with trend_cost
+PATH_SQL = """lv AS (SELECT sample_id, col, y, min(rank) AS rk, arg_max(confidence, rank) AS conf, arg_max(comp_score, rank) AS comp, arg_max(source, rank) AS src, max(trend_cost) AS pull FROM paths GROUP BY 1, 2, 3),
+    lc AS (SELECT t.sample_id, max(t.col) AS cut FROM trace t JOIN (SELECT sample_id, max(col) AS e FROM lv GROUP BY 1) m ON m.sample_id = t.sample_id AND t.col < m.e
+      WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.sample_id = t.sample_id AND lv.col = t.col) GROUP BY 1),
+    co AS (SELECT sample_id, col, list({'rk': rk, 'y': CAST(y AS INT), 'doubt': 0.88 * (1 - conf) + pull, 'comp': comp, 'step': CASE WHEN src = 'peak_apex' THEN 0.35 ELSE 1.0 END,
+        'border': CASE WHEN least(y, 59 - y) >= 12 THEN 0 ELSE 3.0 * (1 - least(y, 59 - y) / 12.0) END} ORDER BY rk) AS opts, row_number() OVER (PARTITION BY sample_id ORDER BY col) AS k
+      FROM lv LEFT JOIN lc USING (sample_id) WHERE cut IS NULL OR col > cut GROUP BY 1, 2),
+    wk AS (SELECT sample_id, k, col, list_transform(opts, lambda o: {'cost': CAST(o.doubt + o.border AS DOUBLE), 'rk': o.rk, 'y': o.y, 'prev': CAST(NULL AS INT), 'comp': o.comp}) AS st FROM co WHERE k = 1
+      UNION ALL SELECT c.sample_id, c.k, c.col, list_transform(c.opts, lambda o: list_transform([coalesce(
+        list_min(list_transform(list_filter(w.st, lambda s: abs(o.y - s.y) <= 28), lambda s: {'cost': s.cost + (o.step * abs(o.y - s.y) + CASE WHEN s.prev IS NULL THEN 0 ELSE 0.2 * abs((o.y - s.y) - (s.y - s.prev)) END
+          + o.doubt + CASE WHEN abs(o.comp - s.comp) > 0.58 THEN 1.2 ELSE 0 END + o.border), 'f': s.rk, 'p': s.y})),
+        list_transform([list_min(list_transform(w.st, lambda s: {'cost': s.cost, 'f': s.rk, 'p': s.y}))], lambda m: {'cost': m.cost + o.doubt + o.step * abs(o.y - m.p), 'f': m.f, 'p': m.p})[1])],
+        lambda b: {'cost': CAST(b.cost AS DOUBLE), 'rk': o.rk, 'y': o.y, 'prev': b.p, 'comp': o.comp})[1]) FROM wk w JOIN co c ON c.sample_id = w.sample_id AND c.k = w.k + 1),
+    bk AS (SELECT sample_id, k, col, list_min(st) AS best FROM wk QUALIFY k = max(k) OVER (PARTITION BY sample_id)
+      UNION ALL SELECT w.sample_id, w.k, w.col, list_filter(w.st, lambda z: z.y = b.best.prev)[1] FROM bk b JOIN wk w ON w.sample_id = b.sample_id AND w.k = b.k - 1 WHERE b.best.prev IS NOT NULL)"""
+
+
+@register("min_cost_path", "K19", oracle("candidates trace", HINTED + """,
+    paths AS (SELECT * REPLACE (least(confidence, 1) AS confidence), CAST(0 AS DOUBLE) AS trend_cost FROM final), """ + PATH_SQL + f"""
+    SELECT t.sample_id, t.col, b.best.y AS y, {R('b.best.cost', 4)} AS cost FROM trace t LEFT JOIN bk b ON b.sample_id = t.sample_id AND b.col = t.col"""))
 def min_cost_path(spark, folder):
-    """No oracle text: the tests compare the search with a plain recursion on small samples."""
     final = _final(spark, folder).withColumn("confidence", F.least("confidence", F.lit(1.0)))
     out = Q.min_cost_path(final, I.trace(spark, folder), 64, 60)
     return out.select("sample_id", "col", "y", r("cost", 4).alias("cost"))

@@ -6,7 +6,7 @@ from latticework.operators import candidates as C
 from latticework.operators import evidence as E
 from latticework.operators import paths as Q
 from latticework.plans import inputs as I
-from latticework.plans.candidate_queries import HINTED, SCORED, _final, cands
+from latticework.plans.candidate_queries import HINTED, PATH_SQL, SCORED, _final, cands
 from latticework.plans.inputs import R, oracle
 from latticework.plans.registry import r, register
 
@@ -87,8 +87,8 @@ def apex_candidates(spark, folder):
 TREND = {"sigma": 6.0, "share": 0.6, "run": 3, "most": 0.9}
 
 
-@register("band_trend", "K20", oracle("candidates", HINTED + ", " + SPINE + f""",
-    t0 AS (SELECT s.sample_id, s.col, CAST(min(f.y) AS DOUBLE) AS top_y, coalesce(max(f.y) - min(f.y), 0) > 36 AS wide FROM spine s LEFT JOIN final f USING (sample_id, col) GROUP BY 1, 2),
+def trend_sql(source: str) -> str:
+    return f"""t0 AS (SELECT s.sample_id, s.col, CAST(min(f.y) AS DOUBLE) AS top_y, coalesce(max(f.y) - min(f.y), 0) > 36 AS wide FROM spine s LEFT JOIN {source} f USING (sample_id, col) GROUP BY 1, 2),
     t1 AS (SELECT *, wide AND count(*) FILTER (wide) OVER (PARTITION BY sample_id) <= 0.9 * 64 AS w, count(top_y) OVER (PARTITION BY sample_id) AS tops,
       last_value(CASE WHEN top_y IS NOT NULL THEN col END IGNORE NULLS) OVER a AS bc, last_value(top_y IGNORE NULLS) OVER a AS bv,
       last_value(CASE WHEN top_y IS NOT NULL THEN col END IGNORE NULLS) OVER d AS ac, last_value(top_y IGNORE NULLS) OVER d AS av FROM t0
@@ -96,15 +96,25 @@ TREND = {"sigma": 6.0, "share": 0.6, "run": 3, "most": 0.9}
     t2 AS (SELECT sample_id, col, count(*) FILTER (w) OVER (PARTITION BY sample_id ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 AS wide,
       CASE WHEN top_y IS NOT NULL THEN top_y WHEN tops < 2 THEN 0 WHEN bv IS NULL THEN av WHEN av IS NULL THEN bv ELSE bv + (av - bv) / (ac - bc) * (col - bc) END AS v FROM t1),
     kern AS (SELECT CAST(j AS INT) AS j, exp(-0.5 * pow(j / 6.0, 2)) / sum(exp(-0.5 * pow(j / 6.0, 2))) OVER () AS g FROM range(-24, 25) k(j)),
-    sm AS (SELECT a.sample_id, a.col, sum(g * b.v) AS trend_y FROM t2 a, kern JOIN t2 b ON b.sample_id = a.sample_id AND b.col = CASE WHEN a.col + j < 0 THEN -1 - a.col - j WHEN a.col + j > 63 THEN 127 - a.col - j ELSE a.col + j END GROUP BY 1, 2)
+    sm AS (SELECT a.sample_id, a.col, sum(g * b.v) AS trend_y FROM t2 a, kern JOIN t2 b ON b.sample_id = a.sample_id AND b.col = CASE WHEN a.col + j < 0 THEN -1 - a.col - j WHEN a.col + j > 63 THEN 127 - a.col - j ELSE a.col + j END GROUP BY 1, 2)"""
+
+
+@register("band_trend", "K20", oracle("candidates", HINTED + ", " + SPINE + ", " + trend_sql("final") + f"""
     SELECT sample_id, col, wide, {R('trend_y')} AS trend_y FROM t2 JOIN sm USING (sample_id, col)"""))
 def band_trend(spark, folder):
     return E.band_trend(_final(spark, folder), WIDTH, HEIGHT, **TREND).select("sample_id", "col", "wide", r("trend_y").alias("trend_y"))
 
 
-@register("trend_path", "K19 K20")
+@register("trend_path", "K19 K20", oracle("candidates trace", HINTED + ", " + APEX_SQL + """,
+    an AS (SELECT a.sample_id, a.col, a.y, c.confidence, c.comp_score FROM apexes a LEFT JOIN candidates c USING (sample_id, col) WHERE reason = 'added'
+      QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.col ORDER BY abs(c.y - a.y), c.confidence DESC, c.cand_id) = 1),
+    both_ AS (SELECT sample_id, col, y, rank, least(confidence, 1) AS confidence, comp_score, source FROM final
+      UNION ALL SELECT sample_id, col, y, 9, least(0.95, greatest(coalesce(confidence, 0), 0.35)), comp_score, 'peak_apex' FROM an), """ + trend_sql("both_") + """,
+    paths AS (SELECT b.*, CASE WHEN t2.wide THEN 0.08 * abs(b.y - trend_y) ELSE CAST(0 AS DOUBLE) END AS trend_cost FROM both_ b JOIN t2 USING (sample_id, col) JOIN sm USING (sample_id, col)
+      QUALIFY NOT t2.wide OR row_number() OVER (PARTITION BY b.sample_id, b.col ORDER BY b.y, rank) <= greatest(3, floor(0.4 * count(*) OVER (PARTITION BY b.sample_id, b.col)))), """ + PATH_SQL + f"""
+    SELECT t.sample_id, t.col, b.best.y AS y, {R('b.best.cost', 4)} AS cost FROM trace t LEFT JOIN bk b ON b.sample_id = t.sample_id AND b.col = t.col"""))
 def trend_path(spark, folder):
-    """Cheapest path with apex candidates among the rows and the trend of wide bands; tests compare with a plain recursion."""
+    """Cheapest path with apex candidates among the rows and the trend of wide bands."""
     raw = cands(spark, folder)
     apexes = Q.settle(E.apex_candidates(_apexes(spark, folder), raw))
     final = _final(spark, folder).select("sample_id", "col", "y", "rank", F.least("confidence", F.lit(1.0)).alias("confidence"), "comp_score", "source")
