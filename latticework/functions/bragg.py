@@ -184,9 +184,18 @@ def metric(system: Column, a: Column, b: Column, c: Column, alpha: Column, beta:
     return out
 
 
-def d_from_metric(h: Column, k: Column, l: Column) -> Column:  # noqa: E741
-    inv = (
+def _form(h: Column, k: Column, l: Column) -> Column:  # noqa: E741
+    return (
         F.col("m11") * h * h + F.col("m22") * k * k + F.col("m33") * l * l
         + F.col("m12") * h * k + F.col("m13") * h * l + F.col("m23") * k * l
     )
+
+
+def may_diffract(h: Column, k: Column, l: Column, wavelength: float = CU_K_ALPHA) -> Column:  # noqa: E741
+    """Cheap test before angles are worked out; lets a little too much through, nothing too little."""
+    return _form(h, k, l) <= 4 / wavelength**2 * (1 + 1e-6)
+
+
+def d_from_metric(h: Column, k: Column, l: Column) -> Column:  # noqa: E741
+    inv = _form(h, k, l)
     return F.when(inv > 0, 1 / F.sqrt(inv))

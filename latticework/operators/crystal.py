@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import bragg as B
-from latticework.session import settle
+from latticework.session import settle, spread
 
 PEAKS_USED = 14
 INTENSITY_SHARE = 0.45
@@ -62,13 +62,12 @@ def phases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PHASES, "phase string, system string, centering string, a double, c double")
 
 
-def _axis(name: str, upto: int | str) -> Column:
-    top = F.lit(upto) if isinstance(upto, int) else F.col(upto)
-    return F.explode(F.sequence(F.lit(0), top)).alias(name)
+def _axis(name: str, upto: int | Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(upto) if isinstance(upto, int) else upto)).alias(name)
 
 
-def _grid(cells: DataFrame, h: int, k: int | str, l: int | str) -> DataFrame:  # noqa: E741
-    """Index triples per cell; a string bound ("h") keeps k <= h."""
+def _grid(cells: DataFrame, h: int | Column, k: int | Column, l: int | Column) -> DataFrame:  # noqa: E741
+    """Index triples per cell; a bound may be a column, as k <= h."""
     out = cells.select("*", _axis("h", h))
     out = out.select("*", _axis("k", k))
     return out.select("*", _axis("l", l))
@@ -79,22 +78,31 @@ def _with_metric(cells: DataFrame, triclinic: bool) -> DataFrame:
     return cells.withColumns(B.metric(*edges, triclinic=triclinic))
 
 
-def _first_per_angle(df: DataFrame, key: list[str]) -> DataFrame:
-    """Of reflections whose angles agree to three decimals, the first index triple."""
-    row = F.struct(*[F.col(c) for c in df.columns if c not in key])
-    return df.groupBy(*key, F.round("two_theta", 3).alias("_t")).agg(
-        F.min_by(row, F.struct("h", "k", "l")).alias("_r")).select(*key, "_r.*")
+def _first_per_angle(df: DataFrame, key: list[str], cell: list[str]) -> DataFrame:
+    """Of reflections whose angles agree to three decimals, the first index triple.
+
+    ``cell`` names the numbers of the cell. Indices travel as one number, so that groups are
+    hashed and not sorted; `spread` has put a cell's rows into one task.
+    """
+    code = (F.col("h") * 64 + F.col("k")) * 64 + F.col("l")
+    first = df.groupBy(*key, *[c for c in ("system", "centering") if c not in key], F.round("two_theta", 3).alias("_t")).agg(
+        F.min(code).alias("_hkl"), *[F.max(c).alias(c) for c in cell if c not in key]).drop("_t")
+    part = lambda shift: F.shiftright("_hkl", shift).bitwiseAND(63)
+    return first.withColumns({"h": part(12), "k": part(6), "l": part(0)}).drop("_hkl")
 
 
 def reflections(cells: DataFrame, key: list[str], max_hkl: int = 10, max_angle: float = 90.0,
                 wavelength: float = B.CU_K_ALPHA) -> DataFrame:
     """General reflection list per cell (system, centering, edges and angles as columns)."""
-    g = _grid(_with_metric(cells, False), max_hkl, max_hkl, max_hkl)
+    metric = [f"m{n}" for n in (11, 22, 33, 12, 13, 23)]
+    needed = _with_metric(cells, False).select(*key, *[c for c in ("system", "centering") if c not in key], *metric)
+    g = _grid(spread(needed, key), max_hkl, max_hkl, max_hkl)
     h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
-    g = g.where(B.allowed(h, k, l, F.col("centering"))).withColumn("d", B.d_from_metric(h, k, l))
-    g = g.withColumn("two_theta", B.angle_from_d(F.col("d"), wavelength)).where(F.col("two_theta") <= max_angle)
-    g = g.withColumn("rel", B.relative_intensity(h, k, l, F.col("centering")))
-    return _first_per_angle(g.select(*key, "h", "k", "l", "d", "two_theta", "rel"), key)
+    angle = B.angle_from_d(B.d_from_metric(h, k, l), wavelength)
+    g = g.where(B.may_diffract(h, k, l, wavelength)).where(B.allowed(h, k, l, F.col("centering"))).withColumn("two_theta", angle).where(F.col("two_theta") <= max_angle)
+    g = _first_per_angle(g, key, metric).withColumn("d", B.d_from_metric(h, k, l))
+    return g.select(*key, "h", "k", "l", "d", B.angle_from_d(F.col("d"), wavelength).alias("two_theta"),
+                    B.relative_intensity(h, k, l, F.col("centering")).alias("rel"))
 
 
 def phase_reflections(cells: DataFrame, key: list[str], lo: float | Column, hi: float | Column,
@@ -104,21 +112,51 @@ def phase_reflections(cells: DataFrame, key: list[str], lo: float | Column, hi:
     Hexagonal cells always use the close-packed rule; half a degree of margin is kept.
     """
     h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
+    hexagonal = F.col("system") == "hexagonal"
+    if "centering" not in key:
+        cells = cells.withColumn("centering", F.when(hexagonal, "HCP").otherwise(F.col("centering")))
+    bounds = {"_from": (lo if isinstance(lo, Column) else F.lit(float(lo))) - 0.5, "_to": (hi if isinstance(hi, Column) else F.lit(float(hi))) + 0.5}
+    cells = cells.where("system IN ('cubic', 'hexagonal', 'tetragonal')").withColumns(bounds)
+    names = [n for n in ("system", "centering", "a", "c") if n not in key]
     none = F.lit(None).cast("double")
-    cubic = _grid(cells.where("system = 'cubic'"), 14, "h", "k")
-    hexa = _grid(cells.where("system = 'hexagonal'"), 12, 12, 20).withColumn("centering", F.lit("HCP"))
-    tet = _grid(cells.where("system = 'tetragonal'"), 14, "h", 20)
-    g = cubic.unionByName(hexa).unionByName(tet).where(B.allowed(h, k, l, F.col("centering")))
-    g = g.withColumn("d", B.d_from_hkl(h, k, l, F.col("system"), F.col("a"), none, F.col("c")))
-    g = g.withColumn("two_theta", B.angle_from_d(F.col("d"), wavelength)).where(
-        (F.col("two_theta") >= lo - 0.5) & (F.col("two_theta") <= hi + 0.5))
-    c = F.col("centering")
+    metric = B.metric(F.col("system"), F.col("a"), none, F.col("c"), none, none, none)
+    cells = spread(cells.select(*key, *names, "_from", "_to").withColumns(metric), key)
+    # one pass for all systems: the bounds of an index depend on the system
+    g = _grid(cells, F.when(hexagonal, 12).otherwise(14), F.when(hexagonal, 12).otherwise(h),
+              F.when(F.col("system") == "cubic", k).otherwise(20))
+    c = F.when(hexagonal, "HCP").otherwise(F.col("centering"))
+    spacing = B.d_from_hkl(h, k, l, F.col("system"), F.col("a"), none, F.col("c"))
+    g = g.where(B.may_diffract(h, k, l, wavelength)).where(B.allowed(h, k, l, c)).withColumn("two_theta", B.angle_from_d(spacing, wavelength))
+    g = g.where(F.col("two_theta").between(F.col("_from"), F.col("_to")))
+    g = _first_per_angle(g, key, ["a", "c"]).withColumn("d", spacing).withColumn("two_theta", B.angle_from_d(F.col("d"), wavelength))
     rel = (
         F.when(F.col("system") == "hexagonal", B.hcp_factor(h, k, l))
         .when(F.col("system") == "tetragonal", F.when(c == "I", 100.0).otherwise(25.0))
         .otherwise(F.when(c == "F", 16.0).when(c == "I", 4.0).otherwise(1.0))
     )
-    return _first_per_angle(g.select(*key, "h", "k", "l", "d", "two_theta", rel.alias("rel")), key)
+    return g.select(*key, "h", "k", "l", "d", "two_theta", rel.alias("rel"))
+
+
+def allowed_counts(cells: DataFrame, max_hkl: int = 10) -> DataFrame:
+    """Cells with the numbers of index triples their centering allows, in all and with h > k.
+
+    The triples are counted once per centering, not per cell.
+    """
+    ok = B.allowed(F.col("h"), F.col("k"), F.col("l"), F.col("centering"))
+    kinds = _grid(cells.select("centering").distinct(), max_hkl, max_hkl, max_hkl).groupBy("centering").agg(
+        F.count_if(ok).alias("allowed"), F.count_if(ok & (F.col("h") > F.col("k"))).alias("allowed_upper"))
+    kinds = kinds.withColumnRenamed("centering", "_kind")
+    return cells.join(F.broadcast(kinds), F.col("centering").eqNullSafe(F.col("_kind"))).drop("_kind")  # one row per centering
+
+
+def plane_families(cells: DataFrame, key: list[str], max_hkl: int = 10) -> DataFrame:
+    """Label and multiplicity of every plane of every cell; both are worked out once per system."""
+    h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
+    kinds = _grid(cells.select("system").distinct(), max_hkl, max_hkl, max_hkl).where("h + k + l > 0")
+    plane = F.struct("h", "k", "l", B.family_label(h, k, l, F.col("system")).alias("label"), B.cubic_multiplicity(h, k, l).alias("multiplicity"))
+    kinds = kinds.groupBy(F.col("system").alias("_kind")).agg(F.array_sort(F.collect_list(plane)).alias("_planes"))
+    found = spread(cells.select(*key, "system"), key).join(F.broadcast(kinds), F.col("system").eqNullSafe(F.col("_kind")))
+    return found.select(*key, F.explode("_planes").alias("_p")).select(*key, "_p.*")
 
 
 def reverse_index(peaks: DataFrame, cells: DataFrame, keys: list[str], tolerance: float = 0.01,
@@ -129,7 +167,7 @@ def reverse_index(peaks: DataFrame, cells: DataFrame, keys: list[str], tolerance
     count once; rank orders by closeness (to nine decimals, then by indices).
     """
     span = peaks.groupBy(*keys).agg(F.min("d_obs").alias("_dlo"), F.max("d_obs").alias("_dhi"))
-    g = _grid(_with_metric(cells.join(span, keys), True), max_hkl, max_hkl, max_hkl)
+    g = _grid(spread(_with_metric(cells.join(span, keys), True), keys), max_hkl, max_hkl, max_hkl)
     h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
     g = g.where(~((h == 0) & (k == 0) & (l == 0)))
     if max_hkl > 8:
@@ -140,7 +178,7 @@ def reverse_index(peaks: DataFrame, cells: DataFrame, keys: list[str], tolerance
     w = float(tolerance)
     home = F.floor(F.col("d") / w)
     near = peaks.withColumn("_b", F.floor(F.col("d_obs") / w)).join(
-        g.withColumn("_b", F.explode(F.array(home - 1, home, home + 1))), [*keys, "_b"]
+        g.withColumn("_b", F.explode(F.array(home - 1, home, home + 1))).hint("merge"), [*keys, "_b"]
     ).withColumn("diff", F.abs(F.col("d") - F.col("d_obs"))).where(F.col("diff") < tolerance)
     fh, fk, fl = B.family(h, k, l, F.col("system"))
     best = near.groupBy(*keys, "idx", fh.alias("_fh"), fk.alias("_fk"), fl.alias("_fl")).agg(
@@ -157,7 +195,8 @@ def match_angles(peaks: DataFrame, refl: DataFrame, keys: list[str], tolerance:
     home = F.floor(F.col("theory_angle") / w)
     rhs = refl.withColumnRenamed("two_theta", "theory_angle").withColumn(
         "_b", F.explode(F.array(home - 1, home, home + 1)))
-    pairs = peaks.withColumn("_b", F.floor(F.col("two_theta") / w)).join(rhs, [*keys, "_b"]).drop("_b")
+    # the list grows with the cells and its estimated size ignores the index grid: never broadcast
+    pairs = peaks.withColumn("_b", F.floor(F.col("two_theta") / w)).join(rhs.hint("merge"), [*keys, "_b"]).drop("_b")
     pairs = pairs.withColumn("angle_diff", F.abs(F.col("theory_angle") - F.col("two_theta"))).where(
         F.col("angle_diff") <= tolerance)
     score = 1 - F.col("angle_diff") / tolerance
@@ -281,7 +320,8 @@ def candidate_pairs(peaks: DataFrame, refl: DataFrame, keys: list[str], group: l
     number = F.row_number().over(Window.partitionBy(*(shared or []), *group).orderBy("two_theta"))
     home = F.floor(F.col("two_theta") / w)
     rhs = refl.withColumn("i", number).withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
-    return lhs.join(rhs, [*(shared or []), "_b"]).withColumn(
+    # lists of the patterns' own cells grow with them, and their estimated size ignores the index grid
+    return lhs.join(rhs.hint("merge") if shared else rhs, [*(shared or []), "_b"]).withColumn(
         "delta", F.abs(F.col("two_theta") - F.col("angle"))).where(F.col("delta") <= tolerance).drop("_b")
 
 
