@@ -46,9 +46,7 @@ REL = """CASE centering WHEN 'F' THEN 16.0 WHEN 'I' THEN 4.0
     SELECT lattice_id, count(*) FILTER ({ALLOWED}) AS allowed, count(*) FILTER (h > k AND {ALLOWED}) AS allowed_upper
     FROM lattices, hkl GROUP BY 1"""))
 def systematic_absences(spark, folder):
-    g = X._grid(I.lattices(spark, folder), 10, 10, 10)
-    ok = B.allowed(F.col("h"), F.col("k"), F.col("l"), F.col("centering"))
-    return g.groupBy("lattice_id").agg(F.count_if(ok).alias("allowed"), F.count_if(ok & (F.col("h") > F.col("k"))).alias("allowed_upper"))
+    return X.allowed_counts(I.lattices(spark, folder)).select("lattice_id", "allowed", "allowed_upper")
 
 
 @register("plane_spacing", "X3", oracle("lattices", f"""
@@ -103,10 +101,7 @@ def phase_reflections(spark, folder):
       CASE WHEN q[2] = 0 THEN 6 WHEN q[1] = 0 AND q[2] = q[3] THEN 12 WHEN q[1] = 0 THEN 24 WHEN q[1] = q[2] AND q[2] = q[3] THEN 8 ELSE 24 END AS multiplicity
     FROM s"""))
 def plane_families(spark, folder):
-    g = X._grid(I.lattices(spark, folder), 10, 10, 10).where("h + k + l > 0")
-    h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
-    return g.select("lattice_id", "h", "k", "l", B.family_label(h, k, l, F.col("system")).alias("label"),
-                    B.cubic_multiplicity(h, k, l).alias("multiplicity"))
+    return X.plane_families(I.lattices(spark, folder), ["lattice_id"])
 
 
 OBS = MAXIMA + """, pk AS (SELECT pattern_id, idx, two_theta, intensity, 1.5406 / (2 * sin(radians(two_theta / 2))) AS d_obs
