@@ -51,3 +51,35 @@ def test_absences_and_families_are_worked_out_per_kind(spark, cells):
     want = grid.select("pattern_id", "h", "k", "l", B.family_label(h, k, l, F.col("system")).alias("label"), B.cubic_multiplicity(h, k, l).alias("multiplicity"))
     found = X.plane_families(cells, ["pattern_id"])
     assert found.count() == want.count() and found.exceptAll(want).isEmpty()
+
+
+def test_metrics_add_lines_in_table_order(spark, tmp_path):
+    """Averages on a gate's value must not depend on how the files are split."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from latticework.plans import inputs as I
+
+    rng = random.Random(5)
+    keys = [k for k in range(400) for _ in range(6)]
+    rng.shuffle(keys)
+    hundredths = lambda top: [rng.randint(0, top) / 100 for _ in keys]
+    lines = pa.table({"l_orderkey": keys, "l_linenumber": pa.array([1] * len(keys), pa.int32()), "l_quantity": [float(rng.randint(1, 50)) for _ in keys],
+                      "l_discount": hundredths(10), "l_tax": hundredths(8)})
+    pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=100)
+    pq.write_table(pa.table({"o_orderkey": list(range(400)), "o_orderpriority": ["3-MEDIUM"] * 400}), tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    want = dict(con.execute(f"SELECT l_orderkey, 1 - avg(l_discount) * 8 FROM '{tmp_path}/lineitem.parquet' GROUP BY 1").fetchall())
+    old = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for name in old:
+            spark.conf.set(name, "4096")
+        got = {r.sample_id: r.peak_recall for r in I.metrics(spark, str(tmp_path)).collect()}
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert got == want
