@@ -5,6 +5,8 @@ import os
 import pytest
 
 from latticework.plans.check import compare, oracle_connection
+from latticework.plans.inputs import R
+from latticework.plans.registry import r
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,3 +35,13 @@ def stepped(tmp_path):
 def test_flat_tops(spark, stepped, name):
     ok, text = compare(spark, oracle_connection(stepped), stepped, name)
     assert ok, text
+
+
+def test_output_rounding_is_that_of_the_oracle(spark):
+    """Just below a half, at a half, and on both sides of zero."""
+    import duckdb
+
+    values = [33.229687499999997, 0.0000005, 2.5e-7, -33.229687499999997, 123456.0125, 1e15 + 0.3, -2e-7, 7.0]
+    got = [row[0] for row in spark.createDataFrame([(v,) for v in values], "v double").select(r("v")).collect()]
+    want = [duckdb.execute(f"SELECT {R('CAST(? AS DOUBLE)')}", [v]).fetchall()[0][0] for v in values]
+    assert got == want
