@@ -46,7 +46,9 @@ def min_cost_path(final: DataFrame, spine: DataFrame, width: int, height: int) -
     # equal heights: position of the first, attributes of the last
     levels = final.groupBy(*SC, "y").agg(F.min("rank").alias("at"), F.max(row).alias("_l"), F.max("trend_cost").alias("_pull"))
     live = levels.join(last_empty, "sample_id", "left").where(F.col("_cut").isNull() | (F.col("col") > F.col("_cut")))
-    apex = F.when(F.col("_l.source") == "peak_apex", STEP_APEX).otherwise(STEP)
+    # whole hundredths, so that steps and bends add up exactly: equal costs must stay equal
+    hundredths = lambda v: round(v * 100)
+    apex = F.when(F.col("_l.source") == "peak_apex", hundredths(STEP_APEX)).otherwise(hundredths(STEP))
     option = F.struct("at", F.col("y").cast("int").alias("y"), (DOUBT * (1 - F.col("_l.confidence")) + F.col("_pull")).alias("doubt"),
                       F.col("_l.comp_score").alias("comp"), apex.alias("step"), border_cost(F.col("y"), height).alias("border"))
     columns = live.groupBy(*SC).agg(F.array_sort(F.collect_list(option)).alias("opts"))
@@ -60,14 +62,14 @@ def min_cost_path(final: DataFrame, spine: DataFrame, width: int, height: int) -
     def advance(states: Column, item: Column) -> Column:
         def enter(o: Column) -> Column:
             def via(s: Column) -> Column:
-                bend = F.when(s["prev"].isNull(), 0.0).otherwise(BEND * F.abs((o["y"] - s["y"]) - (s["y"] - s["prev"])))
+                bend = F.when(s["prev"].isNull(), 0).otherwise(hundredths(BEND) * F.abs((o["y"] - s["y"]) - (s["y"] - s["prev"])))
                 switch = F.when(F.abs(o["comp"] - s["comp"]) > SWITCH_AT, SWITCH).otherwise(0.0)
-                total = s["cost"] + (o["step"] * F.abs(o["y"] - s["y"]) + bend + o["doubt"] + switch + o["border"])
+                total = s["cost"] + ((o["step"] * F.abs(o["y"] - s["y"]) + bend) / 100.0 + o["doubt"] + switch + o["border"])
                 return F.struct(total.alias("cost"), s["at"].alias("from"), s["y"].alias("prev"))
 
             near = F.filter(states, lambda s: F.abs(o["y"] - s["y"]) <= limit)
             cheapest = F.array_min(F.transform(states, lambda s: F.struct(s["cost"].alias("cost"), s["at"].alias("from"), s["y"].alias("prev"))))
-            jump = F.struct((cheapest["cost"] + o["doubt"] + o["step"] * F.abs(o["y"] - cheapest["prev"])).alias("cost"),
+            jump = F.struct((cheapest["cost"] + o["doubt"] + o["step"] * F.abs(o["y"] - cheapest["prev"]) / 100.0).alias("cost"),
                             cheapest["from"].alias("from"), cheapest["prev"].alias("prev"))
             best = F.coalesce(F.array_min(F.transform(near, via)), jump)
             return F.struct(best["cost"].alias("cost"), o["at"].alias("at"), o["y"].alias("y"), best["prev"].alias("prev"), o["comp"].alias("comp"))

@@ -45,3 +45,14 @@ def test_output_rounding_is_that_of_the_oracle(spark):
     got = [row[0] for row in spark.createDataFrame([(v,) for v in values], "v double").select(r("v")).collect()]
     want = [duckdb.execute(f"SELECT {R('CAST(? AS DOUBLE)')}", [v]).fetchall()[0][0] for v in values]
     assert got == want
+
+
+def test_paths_of_equal_cost(spark, tmp_path):
+    """One sample whose steps of 0.35 and bends of 0.2 add up to equal costs only when they are added exactly."""
+    source = "/root/testdata/sf0.1/lineitem.parquet"
+    if not os.path.exists(source):
+        pytest.skip("test tables not present")
+    folder = changed(tmp_path, "lineitem", f"SELECT * REPLACE (l_partkey + 20000 AS l_partkey) FROM '{source}' WHERE l_suppkey = 180")
+    for name in ("min_cost_path", "trend_path"):
+        ok, text = compare(spark, oracle_connection(folder), folder, name)
+        assert ok, text
