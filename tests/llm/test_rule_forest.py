@@ -61,3 +61,16 @@ def test_edges(spark, edge_docs, no_docs):
             got = rule_forest.judged(docs, rule_forest.fit(docs, known)).collect()
             assert len(got) == docs.count()
             assert all(r.base_failed and not r.kept for r in got if r.n_words < 50)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not present")
+def test_cut_comes_from_all_labelled_texts(spark):
+    """With trees from few texts the cut is still the best one for all of them."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    forest = rule_forest.fit(docs, labels, rows=40)
+    rows = [r for r in rule_forest.judged(docs, forest).collect() if not r.base_failed and r.doc_id in known]
+    score, bad = np.array([r.anomaly for r in rows]), np.array([known[r.doc_id] == 0 for r in rows])
+    f1 = lambda cut: 2 * (bad & (score > cut)).sum() / ((score > cut).sum() + bad.sum())
+    assert len(rows) > 300 and f1(forest.cut) >= max(map(f1, np.arange(10_001) / 10_000)) - 1e-9
