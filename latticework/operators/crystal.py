@@ -121,9 +121,11 @@ def phase_reflections(cells: DataFrame, key: list[str], lo: float | Column, hi:
     none = F.lit(None).cast("double")
     metric = B.metric(F.col("system"), F.col("a"), none, F.col("c"), none, none, none)
     cells = spread(cells.select(*key, *names, "_from", "_to").withColumns(metric), key)
-    # one pass for all systems: the bounds of an index depend on the system
-    g = _grid(cells, F.when(hexagonal, 12).otherwise(14), F.when(hexagonal, 12).otherwise(h),
-              F.when(F.col("system") == "cubic", k).otherwise(20))
+    # one pass for all systems: the bounds of an index depend on the system; no index exceeds edge / spacing of the last angle
+    finest = wavelength / (2 * F.sin(F.radians(F.least(F.greatest(F.col("_to"), F.lit(1e-3)), F.lit(180.0)) / 2)))
+    reach = lambda edge: F.greatest(F.floor(F.least(edge / finest, F.lit(100.0))) + 1, F.lit(0)).cast("int")
+    top = F.least(F.when(hexagonal, 12).otherwise(14), reach(F.col("a")))
+    g = _grid(cells, top, F.when(hexagonal, top).otherwise(h), F.when(F.col("system") == "cubic", k).otherwise(F.least(F.lit(20), reach(F.col("c")))))
     c = F.when(hexagonal, "HCP").otherwise(F.col("centering"))
     spacing = B.d_from_hkl(h, k, l, F.col("system"), F.col("a"), none, F.col("c"))
     g = g.where(B.may_diffract(h, k, l, wavelength)).where(B.allowed(h, k, l, c)).withColumn("two_theta", B.angle_from_d(spacing, wavelength))

@@ -24,7 +24,7 @@ from latticework.functions import bragg as B
 from latticework.operators.crystal import (
     HCP_RATIOS, PEAKS_USED, UNMATCHED, candidate_pairs, greedy_match, phase_reflections, size_penalty, strongest,
 )
-from latticework.session import settle
+from latticework.session import settle, spread
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,8 @@ CLOSE = (1.0, 0.6, 0.35, 0.15)
 # ln(s) is bucketed for the join of cells with reflections; ln(spacing) for that of peaks
 SHELL, SPACING = 0.05, 0.25
 CELL = ["structure", "centering", "system", "a", "c"]
+# a peak casts up to a thousand votes, a cell has a few dozen pairs
+PEAKS_A_TASK, CELLS_A_TASK = 1000, 10000
 
 
 def axial_ratios() -> tuple[list[float], list[float]]:
@@ -135,7 +137,8 @@ def shortlist(voted: DataFrame, sizes: DataFrame, keys: list[str], search: Searc
     """The `kept` cells per pattern and structure with the lowest bounds."""
     a = F.lit(search.a_min) + F.col("step_no") * search.step
     bound = cost_bound(F.col("bits"), F.col("n"), search.coarse) + _coarse_penalty(F.col("system"), a)
-    rows = voted.join(sizes, keys).withColumns({"a": a, "bound": bound})
+    # the votes stay in the tasks of their peaks: neither sorted nor moved for the sizes
+    rows = voted.join(sizes.hint("shuffle_hash"), keys).withColumns({"a": a, "bound": bound})
     rank = F.row_number().over(Window.partitionBy(*keys, "structure").orderBy("bound", "q", "step_no"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= search.kept).select(*keys, *CELL[:3], "q", "a", (F.col("a") * F.col("q")).alias("c"), "bound")
 
@@ -148,7 +151,7 @@ def cell_pairs(peaks: DataFrame, cells: DataFrame, table: DataFrame, keys: list[
     """Peaks of each pattern with the reflections of its shortlisted cells within the tolerance."""
     top = peaks.groupBy(*keys).agg(F.greatest(F.max("intensity"), F.lit(1e-12)).alias("_top"))
     lhs = peaks.join(top, keys).select(*keys, "order_no", F.col("two_theta").alias("angle"), (F.col("intensity") / F.col("_top")).alias("share"))
-    both = cells.select(*keys, *CELL, "q").join(lhs, keys)
+    both = cells.select(*keys, *CELL, "q").join(lhs.hint("shuffle_hash"), keys)
     ln = lambda angle: F.floor(F.log(F.col("a") / B.d_from_angle(angle)) / SHELL)
     shell = F.explode(F.sequence(ln(F.greatest(F.col("angle") - tolerance, F.lit(1e-3))), ln(F.col("angle") + tolerance)))
     rhs = table.select("structure", "q", "h", "k", "l", "s", "rel", F.floor(F.log("s") / SHELL).alias("shell"))
@@ -217,11 +220,12 @@ def lattice_candidates(peaks: DataFrame, keys: list[str], search: Search = Searc
     spark = peaks.sparkSession
     used = strongest(peaks, keys).select(*keys, "order_no", "two_theta", "intensity")
     sizes = used.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
-    used = settle(_spread(used.join(sizes.select(*keys), keys, "left_semi"), keys))
+    used = settle(used.join(sizes.select(*keys), keys, "left_semi"))
     sizes = settle(sizes)
     table = settle(shells(spark, search))
-    cells = settle(shortlist(votes(used, keys, table, search), sizes, keys, search))
-    coarse = greedy_match(cell_pairs(used, cells, table, keys, search.coarse), sizes, keys, CELL, search.coarse)
+    # peaks and cells are dealt by pattern before they are expanded: votes and pairs are gathered where they arise
+    cells = settle(shortlist(votes(spread(used, keys, PEAKS_A_TASK), keys, table, search), sizes, keys, search))
+    coarse = greedy_match(cell_pairs(used, spread(cells, keys, CELLS_A_TASK), table, keys, search.coarse), sizes, keys, CELL, search.coarse)
     order = F.struct((F.col("cost") + _coarse_penalty(F.col("system"), F.col("a"))), F.col("c") / F.col("a"), F.col("a"))
     winners = coarse.groupBy(*keys, "structure", "centering", "system").agg(F.min_by(F.struct("a", "c", "picks"), order).alias("_w")).select(
         *keys, "structure", "centering", "system", "_w.*")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import bragg as B
 from latticework.operators import crystal as X
+from latticework.operators import lattice as L
 from latticework.session import spread
 
 
@@ -83,3 +84,22 @@ def test_metrics_add_lines_in_table_order(spark, tmp_path):
         for name, value in old.items():
             spark.conf.set(name, value)
     assert got == want
+
+
+def test_votes_of_a_pattern_stay_in_one_task(spark, cells, monkeypatch):
+    """The lattice search deals the peaks, not their votes."""
+    plans = []
+    real = L.settle
+    monkeypatch.setattr(L, "settle", lambda df: (plans.append(plan(df)), real(df))[1])
+    peaks = cells.limit(3).select("pattern_id", F.explode(F.array(*map(F.lit, (30.0, 35.0, 41.0)))).alias("two_theta"), F.lit(1.0).alias("intensity"))
+    plans.append(plan(L.lattice_candidates(peaks, ["pattern_id"], L.Search(a_min=2.8, a_max=3.0))))
+    moved = [line for text in plans for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("cell_no" in line for line in moved)
+
+
+def test_index_bounds_leave_no_reflection_out(spark, cells):
+    """Indices are bounded by the last angle asked for: cutting the whole list at that angle gives the same."""
+    for hi in (20.0, 60.0, 179.5):
+        whole = X.phase_reflections(cells, ["pattern_id"], 0.0, 180.0).where(F.col("two_theta") <= hi).drop("rel")
+        got = X.phase_reflections(cells, ["pattern_id"], 0.0, hi - 0.5).where(F.col("two_theta") <= hi).drop("rel")
+        assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
