@@ -111,14 +111,19 @@ def json_wavelength(docs: DataFrame) -> DataFrame:
 
 
 def cif_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cell parameters and space group per structure file."""
+    """Cell parameters and space group per structure: a file holds one, or several as data blocks."""
     doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    blocks = F.split("value", r"(?m)^(?=data_\S+\s*?$)")
+    # what stands before the first block belongs to none
+    blocks = F.when(F.size(blocks) > 1, F.filter(blocks, lambda b: b.startswith("data_"))).otherwise(blocks)
+    doc = doc.select("file", F.explode(blocks).alias("value"))
+    block = F.nullif(F.regexp_extract("value", r"^data_(\S+)", 1), F.lit(""))
     tag = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^\s*{name}\s+(.+?)\s*$", 1)), F.lit(""))
     num = lambda name: F.nullif(number_prefix(tag(name)), F.lit(0.0))
     text = lambda name: F.regexp_replace(tag(name), r"^['\"]|['\"]$", "")
     return doc.select(
         "file", *[num(f"_cell_length_{n}").alias(n) for n in "abc"], *[num(f"_cell_angle_{n}").alias(n) for n in ("alpha", "beta", "gamma")],
-        F.coalesce(text("_cell_space_group_name_H-M_alt"), F.lit("cubic")).alias("system"), text("_space_group_name_H-M_alt").alias("space_group"))
+        F.coalesce(text("_cell_space_group_name_H-M_alt"), F.lit("cubic")).alias("system"), text("_space_group_name_H-M_alt").alias("space_group"), block.alias("block"))
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from latticework.plans import source_queries
 from latticework.sources import readers as RD
 from latticework.sources import sinks
 
@@ -56,3 +57,11 @@ def test_sample_pattern_and_formats(spark):
     assert rows.count() == 4001 and rows.agg(F.max_by("two_theta", "intensity")).first()[0] == 31.76
     got = spark.createDataFrame([("/a/B.JSON",), ("x.Cif",), ("y.xyz",)], "p string").select(RD.format_of(F.col("p")).alias("f")).collect()
     assert [g.f for g in got] == ["json", "cif", "delimited"]
+
+
+def test_structure_files_hold_several_blocks(spark, tmp_path):
+    (tmp_path / "many.cif").write_text("# list\ndata_p1\n_cell_length_a 4.05(1)\n_space_group_name_H-M_alt 'P 1'\ndata_p2\n  _cell_length_c 3.5\n_cell_angle_gamma ?\n")
+    (tmp_path / "plain.cif").write_text("_cell_length_a 2.5\n")
+    got = {r.block: (r.a, r.c, r.gamma, r.space_group) for r in RD.cif_cells(spark, str(tmp_path)).collect()}
+    assert got == {"p1": (4.05, None, None, "P 1"), "p2": (None, 3.5, None, None), None: (2.5, None, None, None)}
+    assert source_queries.STRUCTURES_A_FILE > 1
