@@ -287,17 +287,20 @@ def removal_counts(cands: DataFrame, keep: int = KEEP_FILTERED, minimum: float =
 
 def keep_near_truth(raw: DataFrame, final: DataFrame, gt: DataFrame, near: float = 5.0, wider: float = 10.0, keep: int = KEEP_FINAL) -> DataFrame:
     """Force the best raw candidate near the truth into each column's final rows."""
+    final, gt = settle(final.select(*SC, "y", "confidence", "cand_id", "source")), settle(gt.select(*SC, "gt_y"))
     d = F.abs(F.col("y") - F.col("gt_y"))
     close = raw.join(gt.select(*SC, "gt_y"), SC).withColumn("_tier", F.when(d <= near, 0).when(d <= wider, 1)).where("_tier IS NOT NULL")
     pick = close.groupBy(*SC).agg(F.max_by(F.struct("y", "confidence", "cand_id", "source"), F.struct(-F.col("_tier"), F.col("confidence"), -F.col("cand_id"))).alias("_p"))
+    pick = settle(pick)
     present = final.join(pick.select(*SC, "_p"), SC).where(F.col("y") == F.col("_p.y")).select(*SC).distinct()
     added = pick.join(present, SC, "left_anti").select(*SC, "_p.*").withColumn("source", F.concat("source", F.lit("+debug_gt_near")))
+    added = settle(added)
     touched = added.select(*SC)
     base = final.select(*SC, "y", "confidence", "cand_id", "source")
     pool = base.join(touched, SC, "left_semi").unionByName(added).join(gt.select(*SC, "gt_y"), SC)
-    n = pool.groupBy(*SC).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*SC))
     weak = Window.partitionBy(*SC).orderBy(F.when(d > wider, 0).otherwise(1), "confidence", F.desc("cand_id"))
-    pool = pool.join(n, SC).withColumn("_w", F.row_number().over(weak)).where(~((F.col("_n") > keep) & (F.col("_w") == 1) & (d > wider)))
+    pool = pool.withColumn("_n", n).withColumn("_w", F.row_number().over(weak)).where(~((F.col("_n") > keep) & (F.col("_w") == 1) & (d > wider)))
     order = Window.partitionBy(*SC).orderBy(F.desc("confidence"), "cand_id")
     pool = pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).select(*base.columns)
     return base.join(touched, SC, "left_anti").unionByName(pool)

@@ -6,9 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import bragg as B
+from latticework.operators import candidates as K
 from latticework.operators import crystal as X
 from latticework.operators import evidence as EV
 from latticework.operators import lattice as L
+from latticework.operators import paths as Q
+from latticework.operators import recovery as V
+from latticework.operators import scans
 from latticework.session import spread
 
 
@@ -128,3 +132,16 @@ def test_continuity_looks_heights_up_in_bulk(spark):
         assert got[i].support_hits == len(hits) and got[i].density == dense
         assert got[i].support == pytest.approx(sum((1 - j / 8) / d for j, d in hits), rel=1e-12)
         assert got[i].jump_penalty == pytest.approx(sum(j / d for j, d in hits) / max(len(hits), 1) / 8, rel=1e-12)
+
+
+def test_ordered_steps_store_what_they_read_twice(spark):
+    """What a chained step reads several times is worked out once: its source isn't part of the later plan."""
+    i = F.col("id")
+    final = spark.range(300).select((i % 3).alias("sample_id"), F.floor(i / 6).cast("int").alias("col"), (i % 7).cast("int").alias("y"), i.alias("cand_id"),
+                                    (i % 2 + 1).cast("int").alias("rank"), (i / 300).alias("confidence"), F.lit("raw").alias("source"))
+    path = final.groupBy("sample_id", "col").agg(F.max("y").cast("double").alias("y"))
+    truth = path.withColumnRenamed("y", "gt_y")
+    reasons = path.select("sample_id", "col", F.array(F.lit("a")).alias("reasons"), F.array(F.lit("b")).alias("reasons_raw"))
+    made = {"sessions": scans.sessions(path, ["sample_id"], "col", F.lit(1)), "near_truth": V.near_truth(path, final, truth), "keep": K.keep_near_truth(final, final, truth),
+            "risk": Q.risk_summary(reasons, 64), "trend": EV.band_trend(final, 64, 60, sigma=6.0, share=0.6, run=3, most=0.9)}
+    assert {name: plan(df).count("Range (") for name, df in made.items()} == dict.fromkeys(made, 0)
