@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latticework.operators.paths import BEND, STEP, STEP_APEX, mask_runs
 from latticework.operators.scans import carry, core, halo, ordered, running_total, sessions
 from latticework.operators.signal import rolling_median_iqr
+from latticework.session import settle
 
 SAMPLE, SC = ["sample_id"], ["sample_id", "col"]
 # fixed values of the recovery rules
@@ -84,6 +85,7 @@ def pool_additions(
     order = (F.desc("confidence"), F.col("cand_id"))
     place = F.row_number().over(Window.partitionBy(*SC).orderBy(*order))
     best = pool.join(columns.select(*SC).distinct(), SC, "left_semi").withColumn("_p", place).where(F.col("_p") <= top)
+    best = settle(best)
     limit = best.groupBy(*SC).agg(F.greatest(F.lit(POOL_FLOOR), POOL_SHARE * F.max("confidence")).alias("_limit"))
     rows = best.join(limit, SC).where((F.col("y") < band * height) & (F.col("confidence") >= F.col("_limit")))
     rows = rows.join(current.select(*SC, "y").distinct(), [*SC, "y"], "left_anti")
@@ -202,13 +204,14 @@ def near_truth(path: DataFrame, final: DataFrame, truth: DataFrame, near: float
     """Per column the most confident candidate near the truth: rank, distance, confidence gap, what a step to it would
     cost from the selected path, and its jump and bend along the run of such columns.
     """
+    final = settle(final.select(*SC, "y", "rank", "confidence", "source"))
     close = final.join(truth.select(*SC, "gt_y"), SC).where(F.abs(F.col("y") - F.col("gt_y")) <= near)
     alt = close.groupBy(*SC).agg(F.max_by(F.struct("y", "rank", "confidence", "source", "gt_y"), F.struct("confidence", -F.col("rank"))).alias("alt"))
     own = final.groupBy(*SC, "y").agg(F.min_by("confidence", "rank").alias("_own"))
     chosen = path.where("y IS NOT NULL").select(*SC, F.col("y").cast("int").alias("y")).join(own, [*SC, "y"])
-    chosen = carry(chosen, SAMPLE, "col", F.col("y"), before="_before", inclusive=False)
+    chosen = carry(settle(chosen), SAMPLE, "col", F.col("y"), before="_before", inclusive=False)
     rows = path.select(*SC).join(chosen.select(*SC, F.struct("y", F.col("_before").alias("before"), "_own").alias("sel")), SC, "left").join(alt, SC, "left")
-    rows = carry(rows, SAMPLE, "col", F.when(F.col("sel").isNotNull(), F.struct("sel.y", "sel.before")), before="_prev", inclusive=False)
+    rows = carry(settle(rows), SAMPLE, "col", F.when(F.col("sel").isNotNull(), F.struct("sel.y", "sel.before")), before="_prev", inclusive=False)
     w = ordered(SAMPLE, "col")
     one, two = F.lag("alt.y", 1).over(w), F.lag("alt.y", 2).over(w)
     rows = core(halo(rows, "col", 2).withColumns({"jump": F.abs(F.col("alt.y") - one), "bend": F.abs((F.col("alt.y") - one) - (one - two))}))
@@ -223,6 +226,7 @@ def near_truth(path: DataFrame, final: DataFrame, truth: DataFrame, near: float
 
 def feasibility(near: DataFrame) -> DataFrame:
     """Per sample whether a path could have stayed near the truth: columns, longest run and gap, jumps and bends."""
+    near = settle(near)
     base = near.groupBy(*SAMPLE).agg(
         F.count("near_y").alias("near_columns"), F.avg("jump").alias("mean_jump"), F.max("jump").alias("max_jump"), F.avg("bend").alias("mean_bend"),
         F.avg("confidence_gap").alias("mean_confidence_gap"), F.avg("transition_cost").alias("mean_transition_cost"))

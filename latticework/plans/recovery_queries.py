@@ -34,7 +34,7 @@ def _regions(spark, folder):
 
 
 def _zones(spark, folder):
-    t = I.trace(spark, folder)
+    t = Q.settle(I.trace(spark, folder))
     zones = Q.low_coverage_zones(t, 10, 0.85).drop("metric").unionByName(Q.missing_zones(t, 64).drop("metric"))
     return Q.merge_zones(zones, 2).select("sample_id", F.col("col_start").cast("int").alias("start"), F.col("col_end").cast("int").alias("end"), "trigger")
 
@@ -167,7 +167,7 @@ NEAR_SQL = HINTED + """,
 
 
 def _near(spark, folder):
-    t = I.trace(spark, folder)
+    t = Q.settle(I.trace(spark, folder))
     truth = t.where("y IS NOT NULL").select((F.col("sample_id") - 1).alias("sample_id"), "col", F.col("y").alias("gt_y"))
     return V.near_truth(t, _final(spark, folder), truth)
 
