@@ -151,6 +151,7 @@ def mask_runs(df: DataFrame, keys: list[str], pos: str, mask: Column, least: int
 def path_monitor(path: DataFrame, height: int, window: int = 51, min_run: int = 12) -> DataFrame:
     """Signs of a path that settled on the wrong branch: bottom runs, drift runs, jump clusters."""
     key = ["sample_id"]
+    path = settle(path.select(*SC, "y"))
     n = path.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     seen = rolling_median_iqr(path.select(*SC, "y"), key, window)
     bottom = (F.col("y") > F.col("roll_median") + F.coalesce("roll_iqr", F.lit(0.0))) | (F.col("y") >= 0.85 * height)
@@ -159,7 +160,7 @@ def path_monitor(path: DataFrame, height: int, window: int = 51, min_run: int =
     local = rolling_median_iqr(seen.select(*SC, F.col("resid").alias("y")), key, window).select(*SC, F.col("roll_iqr").alias("_iqr"))
     dev = seen.join(local, SC).join(sigma, key, "left")
     z = F.abs(F.col("resid") / F.greatest(F.coalesce(F.col("_iqr") / 1.349, F.col("_global")), F.lit(1.0)))
-    dev = dev.withColumn("_z", z)
+    dev = settle(dev.select(*SC, z.alias("_z")))
     w = ordered(key, "col")
     step = core(halo(path.select(*SC, "y"), "col", 2).withColumns({
         "_dy": F.abs(F.col("y") - F.lag("y").over(w)), "_ddy": F.abs(F.col("y") - 2 * F.lag("y").over(w) + F.lag("y", 2).over(w))}))
@@ -389,9 +390,10 @@ def risk_summary(features: DataFrame, width: int, rules: RiskRules = RiskRules()
 
     ``features`` has ``reasons`` (all rules) and ``reasons_raw`` (without the label rule).
     """
+    features = settle(features.select(*SC, "reasons", "reasons_raw"))
     raw = features.groupBy("sample_id").agg(
         F.count_if(F.size("reasons_raw") > 0).alias("risky_raw"), F.count_if(F.size("reasons") > 0).alias("risky_labelled"))
-    wide = dilate(features.where(F.size("reasons") > 0).select(*SC, "reasons"), width, rules.dilate_radius)
+    wide = settle(dilate(features.where(F.size("reasons") > 0).select(*SC, "reasons"), width, rules.dilate_radius))
     counted = wide.groupBy("sample_id").agg(F.count(F.lit(1)).alias("risky_dilated"))
     seg = risk_segments(wide, rules.merge_gap, rules.least_columns).groupBy("sample_id").agg(
         F.sum("segment_len").alias("risky_merged"), F.count(F.lit(1)).alias("segments"))
