@@ -1,6 +1,7 @@
 """Plans and results that must hold when the tables grow."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from latticework.operators import candidates as K
 from latticework.operators import crystal as X
 from latticework.operators import evidence as EV
 from latticework.operators import lattice as L
+from latticework.operators import peaks as P
 from latticework.operators import paths as Q
 from latticework.operators import recovery as V
 from latticework.operators import scans
@@ -145,3 +147,27 @@ def test_ordered_steps_store_what_they_read_twice(spark):
     made = {"sessions": scans.sessions(path, ["sample_id"], "col", F.lit(1)), "near_truth": V.near_truth(path, final, truth), "keep": K.keep_near_truth(final, final, truth),
             "risk": Q.risk_summary(reasons, 64), "trend": EV.band_trend(final, 64, 60, sigma=6.0, share=0.6, run=3, most=0.9)}
     assert {name: plan(df).count("Range (") for name, df in made.items()} == dict.fromkeys(made, 0)
+
+
+def test_peaks_meet_their_columns_by_one_exchange(spark):
+    """No peak is copied for each row around it; repeated pixels, peaks between rows and columns without light as before."""
+    rng = random.Random(11)
+    rows = [(i, x, y, *[rng.choice([None, *range(5)]) if i == 2 else rng.randint(0, 4) for _ in "rgb"])
+            for i in range(3) for x in range(4) for y in range(40) if rng.random() < 0.6 for _ in range(rng.choice([1, 1, 2]))]
+    px = spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")
+    peaks = [(rng.randint(0, 3), rng.choice([None, 0, 1, 2, 3, 4]), rng.choice([None, 0.5, 2.5, 7.2, 20.0, 39.6, 50.0])) for _ in range(150)]
+    out = P.refine_on_pixels(spark.createDataFrame(peaks, "image_id int, x int, y double"), px)
+    assert plan(out).count("Exchange") == 1 and "Generate" not in plan(out)
+    light = [(i, x, y, None if None in (r, g, b) else 0.2989 * r + 0.5870 * g + 0.1140 * b) for i, x, y, r, g, b in rows]
+    order = lambda v: (v is not None, v or 0.0)
+    want = {}
+    for i, x, y in peaks:
+        column = [(q, v) for j, c, q, v in light if (j, c) == (i, x)]
+        known = [v for _, v in column if v is not None]
+        near = [(q, v) for q, v in column if y is not None and abs(q - round(y)) <= 5]
+        if known and near and len(near) * sum((j, c) == (i, x) and v is not None and round(v) == round(y) for j, c, v in peaks) >= 3:
+            mid = statistics.median(known)
+            centre = max((v for q, v in near if q == round(y) and v is not None), default=mid)
+            dark = min(near, key=lambda p: (order(p[1]), p[0]))[0]
+            want[i, x, round(y)] = float(dark if centre <= mid else max(near, key=lambda p: (order(p[1]), -p[0]))[0])
+    assert {(r.image_id, r.x, r.y0): r.y_refined for r in out.collect()} == want
