@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.scans import core, halo, ordered
@@ -137,22 +137,23 @@ def prototypes(px_lab: DataFrame, reference: DataFrame, radius: int = 2) -> tupl
     """Colour prototypes at three columns and the matching threshold they imply.
 
     ``reference``: image_id and Lab (L0, A0, B0) of the curve. The best row of the columns
-    at 20, 50 and 80 % of the width is taken; each prototype is a 5 x 5 mean.
+    at 20, 50 and 80 % of the width is taken; each prototype is a 5 x 5 mean. The pixels of an
+    image meet in one task, in a window that spills; deal them by image before `with_lab` and
+    whole numbers are shuffled instead of Lab values.
     """
-    dims = sizes(px_lab)
-    at = dims.select(*K, F.explode(F.array(*[F.floor(F.col("w") * s).cast("int") for s in (0.2, 0.5, 0.8)])).alias("x"))
+    here = Window.partitionBy(*K)
+    mid = {f"bg{c}": F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)).over(here) for c in "LAB"}
+    at = F.array_distinct(F.array(*[F.floor(F.col("_w") * s).cast("int") for s in (0.2, 0.5, 0.8)]))
+    seen = px_lab.select(*K, "x", "y", *"LAB").withColumns({"_w": F.max("x").over(here) + 1, **mid})
+    # one pass over the pixels: width and medians ride along, only the columns around the three are stored
+    near = settle(seen.withColumn("cx", F.explode(F.filter(at, lambda c: F.abs(F.col("x") - c) <= radius))).drop("_w"))
     d = F.sqrt(F.pow(F.col("L") - F.col("L0"), F.lit(2.0)) + F.pow(F.col("A") - F.col("A0"), F.lit(2.0)) + F.pow(F.col("B") - F.col("B0"), F.lit(2.0)))
-    best = px_lab.join(at, [*K, "x"]).join(reference, K).groupBy(*K, "x").agg(F.min_by("y", F.struct(d, "y")).alias("cy"))
-    cells = best.select(*K, F.col("x").alias("cx"), "cy", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)).alias("x"))
-    near = px_lab.join(cells, [*K, "x"]).where(F.abs(F.col("y") - F.col("cy")) <= radius)
-    protos = settle(near.groupBy(*K, "cx").agg(*[F.avg(c).alias(c) for c in "LAB"]))
-    bg = None
-    for c in "LAB":
-        part = percentiles(px_lab, K, c, {f"bg{c}": 0.5})
-        bg = part if bg is None else bg.join(part, K)
+    best = near.where("x = cx").join(reference, K).groupBy(*K, "cx").agg(F.min_by("y", F.struct(d, "y")).alias("cy"))
+    cells = near.join(best, [*K, "cx"]).where(F.abs(F.col("y") - F.col("cy")) <= radius)
+    found = settle(cells.groupBy(*K, "cx").agg(*[F.avg(c).alias(c) for c in "LAB"], *[F.max(c).alias(c) for c in mid]))
     gap = F.sqrt(sum((F.col(c) - F.col(f"bg{c}")) * (F.col(c) - F.col(f"bg{c}")) for c in "LAB"))
-    limit = protos.join(bg, K).groupBy(*K).agg(F.least(F.lit(13.4), F.greatest(F.lit(11.6), F.min(gap) * 0.32)).alias("threshold"))
-    return protos, limit
+    limit = found.dropna(subset=list(mid)).groupBy(*K).agg(F.least(F.lit(13.4), F.greatest(F.lit(11.6), F.min(gap) * 0.32)).alias("threshold"))
+    return found.select(*K, "cx", *"LAB"), limit
 
 
 def line_ratios(px: DataFrame, axis: str, contrast: float = 30.0) -> DataFrame:

@@ -125,7 +125,7 @@ def lab_distance(spark, folder):
     th AS (SELECT image_id, least(13.4, greatest(11.6, min(sqrt(pow(pl - bl, 2) + pow(pa - ba, 2) + pow(pb - bb, 2))) * 0.32)) AS t FROM pr JOIN bg USING (image_id) GROUP BY 1)
     SELECT image_id, cx, {R('pl', 4)} AS "L", {R('pa', 4)} AS "A", {R('pb', 4)} AS "B", {R('t', 4)} AS threshold FROM pr JOIN th USING (image_id)"""))
 def colour_prototypes(spark, folder):
-    px = X.with_lab(I.pixels(spark, folder))
+    px = X.with_lab(I.pixels(spark, folder).repartition("image_id"))
     ref = px.select("image_id").distinct().select("image_id", F.lit(50.0).alias("L0"), F.lit(5.0).alias("A0"), F.lit(-10.0).alias("B0"))
     protos, limit = X.prototypes(px, ref)
     return protos.join(limit, "image_id").select("image_id", "cx", *[r(c, 4).alias(c) for c in ("L", "A", "B", "threshold")])

@@ -1,5 +1,6 @@
 """Plans and results that must hold when the tables grow."""
 
+import math
 import random
 import statistics
 
@@ -13,6 +14,7 @@ from latticework.operators import evidence as EV
 from latticework.operators import lattice as L
 from latticework.operators import peaks as P
 from latticework.operators import paths as Q
+from latticework.operators import pixels as PX
 from latticework.operators import recovery as V
 from latticework.operators import scans
 from latticework.session import spread
@@ -171,3 +173,29 @@ def test_peaks_meet_their_columns_by_one_exchange(spark):
             dark = min(near, key=lambda p: (order(p[1]), p[0]))[0]
             want[i, x, round(y)] = float(dark if centre <= mid else max(near, key=lambda p: (order(p[1]), -p[0]))[0])
     assert {(r.image_id, r.x, r.y0): r.y_refined for r in out.collect()} == want
+
+
+def test_colour_prototypes_read_the_pixels_once(spark, monkeypatch):
+    """Width, medians and the columns around the prototypes come from one exchange of the pixels; images of one column too."""
+    rng = random.Random(12)
+    size = {0: (64, 50), 1: (1, 7), 2: (11, 9), 3: (6, 1)}
+    lab = {(i, x, y): (rng.uniform(0, 100), rng.uniform(-60, 60), rng.uniform(-60, 60)) for i, (w, h) in size.items() for x in range(w) for y in range(h)}
+    px = spark.createDataFrame([(*at, *v) for at, v in lab.items()], "image_id int, x int, y int, L double, A double, B double")
+    reference = spark.createDataFrame([(i, 50.0, 5.0, -10.0) for i in size], "image_id int, L0 double, A0 double, B0 double")
+    plans = []
+    real = PX.settle
+    monkeypatch.setattr(PX, "settle", lambda df: (plans.append(plan(df)), real(df))[1])
+    protos, limit = PX.prototypes(px, reference)
+    assert plans[0].count("Exchange") == 1
+    assert not any(",L#" in line and "bgL#" not in line for text in plans[1:] for line in text.splitlines() if "Scan ExistingRDD" in line)
+    got = {(r.image_id, r.cx): (r.L, r.A, r.B) for r in protos.collect()}
+    want, gaps = {}, {}
+    for i, (w, h) in size.items():
+        mid = [statistics.median(v[c] for (j, _, _), v in lab.items() if j == i) for c in range(3)]
+        for cx in {int(w * s) for s in (0.2, 0.5, 0.8)}:
+            cy = min(range(h), key=lambda y: (math.dist(lab[i, cx, y], (50, 5, -10)), y))  # noqa: B023
+            near = [v for (j, x, y), v in lab.items() if j == i and abs(x - cx) <= 2 and abs(y - cy) <= 2]
+            want[i, cx] = tuple(pytest.approx(sum(v[c] for v in near) / len(near)) for c in range(3))
+            gaps.setdefault(i, []).append(math.dist([sum(v[c] for v in near) / len(near) for c in range(3)], mid))
+    assert got == want
+    assert {r.image_id: r.threshold for r in limit.collect()} == {i: pytest.approx(min(13.4, max(11.6, min(g) * 0.32))) for i, g in gaps.items()}
