@@ -455,21 +455,17 @@ def local_noise(
     hop = window // 2
     w = ordered(keys, pos)
     steps = core(halo(df, pos, 1).withColumn("_step", F.col(y) - F.lag(y).over(w)))
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    whole = steps.groupBy(*keys).agg(F.stddev_pop("_step").alias("_all"))
+    whole = settle(steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("_step").alias("_all")))
     first = F.greatest(F.ceil((F.col(pos) - (window - 1)) / hop), F.lit(0))
     last = F.floor((F.col(pos) - 1) / hop)
-    tagged = (
-        attach(steps.where("_step IS NOT NULL"), size, keys)
-        .where(first <= last)
-        .withColumn("_win", F.explode(F.sequence(first, last)))
-        .where(F.col("_win") * hop + window <= F.col("_n"))
-    )
-    spread = tagged.groupBy(*keys, "_win").agg(F.stddev_pop("_step").alias("_std"))
+    tagged = steps.where("_step IS NOT NULL").where(first <= last).withColumn("_win", F.explode(F.sequence(first, last)))
+    # windows that end beyond the series go after they are summed up, so no step waits for the length
+    spread = attach(tagged.groupBy(*keys, "_win").agg(F.stddev_pop("_step").alias("_std")), whole, keys).where(
+        F.col("_win") * hop + window <= F.col("_n"))
     mid = percentiles(spread, keys, "_std", {"_mid": 0.5})
     noise = F.when(F.col("_n") >= window, F.col("_mid")).when(F.col("_n") > 2, F.col("_all"))
     return (
-        size.join(whole, keys).join(mid, keys, "left")
+        whole.join(mid, keys, "left")
         .select(*keys, F.coalesce(noise, F.lit(0.0)).alias("noise"), F.col("_n").alias("n"))
     )
 

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from latticework.operators import paths as Q
 from latticework.operators import pixels as PX
 from latticework.operators import recovery as V
 from latticework.operators import scans
+from latticework.operators.walks import prominences
 from latticework.session import spread
 
 
@@ -199,3 +201,49 @@ def test_colour_prototypes_read_the_pixels_once(spark, monkeypatch):
             gaps.setdefault(i, []).append(math.dist([sum(v[c] for v in near) / len(near) for c in range(3)], mid))
     assert got == want
     assert {r.image_id: r.threshold for r in limit.collect()} == {i: pytest.approx(min(13.4, max(11.6, min(g) * 0.32))) for i, g in gaps.items()}
+
+
+def test_merged_peaks_find_once_on_the_stored_trace(spark, monkeypatch):
+    """Both traces share one pass of the finder, and neither reads the source again."""
+    calls = []
+    real = P.find_peaks
+    monkeypatch.setattr(P, "find_peaks", lambda *a, **k: (calls.append(a[1]), real(*a, **k))[1])
+    i = F.col("id")
+    trace = spark.range(120).select((i % 2).alias("sample_id"), F.floor(i / 2).alias("col"), (40 - 30 * F.abs(F.sin(i / 9)) * (0.4 + i % 50 / 100)).alias("y_raw"))
+    out = P.merged_peaks(trace.withColumn("y_smooth", F.col("y_raw") + 1), ["sample_id"])
+    rows = out.collect()
+    assert calls == [["sample_id", "source"]] and "Range (" not in plan(out)
+    high = {(r.sample_id, r.col): r.y_raw for r in trace.collect()}
+    assert rows and all(r.y_pixel == high[r.sample_id, r.col] for r in rows)
+
+
+def test_tops_look_further_only_at_flat_stretches(spark):
+    """Strict tops come from one exchange; tops and middles equal a plain loop over flat stretches, across chunks and missing values."""
+    rng = random.Random(14)
+    curves = [[rng.choice([None, 1, 2, 3] if k == 2 else [1, 2, 3, 4]) for _ in range(n)] for k, n in enumerate((4200, 60, 200))]
+    curves.append([1] * 10 + [5] * 4190 + [2] * 10)
+    df = spark.createDataFrame([(k, i, y) for k, ys in enumerate(curves) for i, y in enumerate(ys)], "k int, idx int, y int")
+    assert plan(P.plateau_maxima(df, ["k"], "idx", "y", flat=False)).count("Exchange") == 1
+    got = {flat: {(r.k, r.idx) for r in P.plateau_maxima(df, ["k"], "idx", "y", flat).collect()} for flat in (False, True)}
+    want = {False: set(), True: set()}
+    for k, ys in enumerate(curves):
+        i = 0
+        while i < len(ys):
+            j = i
+            while j + 1 < len(ys) and ys[j + 1] == ys[i]:
+                j += 1
+            if 0 < i and j + 1 < len(ys) and None not in (ys[i - 1], ys[i], ys[j + 1]) and ys[i] > max(ys[i - 1], ys[j + 1]):
+                want[True].add((k, (i + j) // 2))
+                if i == j:
+                    want[False].add((k, i))
+            i = j + 1
+    assert got == want
+
+
+def test_prominences_sweep_a_chunk_once(spark):
+    rows = [(k, i, float((i * 7919) % 101)) for k, n in ((0, 30), (1, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, idx long, y double")
+    out = prominences(df, df.where("y > 80").select("k", "idx"), ["k"], "idx", "y", size=16)
+    assert "MapInPandas" not in plan(out)
+    whole = prominences(df, df.where("y > 80").select("k", "idx"), ["k"], "idx", "y")
+    assert out.count() and out.exceptAll(whole.select(out.columns)).isEmpty() and out.count() == whole.count()
