@@ -217,6 +217,28 @@ def test_merged_peaks_find_once_on_the_stored_trace(spark, monkeypatch):
     assert rows and all(r.y_pixel == high[r.sample_id, r.col] for r in rows)
 
 
+def test_local_floors_sort_windows_in_bulk(spark):
+    """Floors equal those of a plain loop, across chunk borders and for missing values and single samples; no row gathers its window."""
+    rng = random.Random(13)
+    curves = {0: 5000, 1: 66, 2: 1, 3: 2}
+    rows = [(k, i, None if k == 1 and i % 11 == 4 else round(rng.uniform(0, 100), 2)) for k, n in curves.items() for i in range(n)]
+    out = P.local_thresholds(spark.createDataFrame(rows, "pattern_id int, idx long, y double"), ["pattern_id"], pos="idx")
+    assert "percentile(" not in plan(out)
+    got = {(r.pattern_id, r.idx): r.local_floor for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, n in curves.items():
+        ys = [y for j, _, y in rows if j == k]
+        known = [y for y in ys if y is not None]
+        base = 0.015 * (max(known) - min(known))
+        for i in [i for i in range(n) if n < 100 or i % 37 == 0 or 4050 < i < 4140]:
+            seen = ys[max(0, i - 30) : i + 31]
+            steps = [b - a for a, b in zip(seen, seen[1:]) if None not in (a, b)]
+            lo, hi = np.quantile([y for y in seen if y is not None], [0.10, 0.95])
+            mad = statistics.median(abs(d - statistics.median(steps)) for d in steps) if steps else 0.0
+            want = max(base, 0.12 * max(hi - lo, 1e-9), 3.0 * 1.4826 * mad) if len(seen) > 1 else base
+            assert got[k, i] == pytest.approx(want, rel=1e-12)
+
+
 def test_tops_look_further_only_at_flat_stretches(spark):
     """Strict tops come from one exchange; tops and middles equal a plain loop over flat stretches, across chunks and missing values."""
     rng = random.Random(14)
