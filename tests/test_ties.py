@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from latticework.plans import QUERIES
 from latticework.plans.check import compare, oracle_connection
 from latticework.plans.inputs import R
 from latticework.plans.registry import r
@@ -37,6 +38,15 @@ def test_flat_tops(spark, stepped, name):
     assert ok, text
 
 
+def test_flat_top_of_a_numeric_curve(spark, tmp_path):
+    """The middle of a flat top is a peak of the curve, as scipy's finder has it; flat shoulders and borders aren't."""
+    heights = "list_transform(range(64), lambda i: CASE WHEN i BETWEEN 20 AND 24 THEN 0.5 WHEN i BETWEEN 40 AND 41 THEN 0.25 WHEN i >= 60 OR i = 19 THEN 0.375 ELSE 0.125 END)"
+    folder = changed(tmp_path, "embeddings", f"SELECT * REPLACE (CAST({heights} AS FLOAT[]) AS embedding) FROM '{{table}}' WHERE vec_id = 0")
+    assert [row.idx for row in QUERIES["numeric_curve_peaks"](spark, folder).orderBy("idx").collect()] == [22, 40]
+    ok, text = compare(spark, oracle_connection(folder), folder, "numeric_curve_peaks")
+    assert ok, text
+
+
 def test_output_rounding_is_that_of_the_oracle(spark):
     """Just below a half, at a half, and on both sides of zero."""
     import duckdb
