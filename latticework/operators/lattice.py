@@ -1,28 +1,36 @@
-"""Lattice search by voting.
+"""Lattice search over the whole trial grid.
 
 A reflection of a trial cell stands at spacing a / s, where s depends on its indices and,
-for two-parameter cells, on the axial ratio. So every (peak, reflection) pair names the
-edges for which the reflection falls on the peak: a short stretch of the edge grid, one
-vote per edge in it. Votes of a cell are gathered by one bitwise OR, with four bits a peak
-that tell how close its nearest reflection is; the bits give a lower bound of the cost of
-the one-to-one match, and only the cells with the lowest bounds are matched. Their winner is
-refined on a fine grid with its assignments held, then matched again at full tolerance.
+for two-parameter cells, on the axial ratio. Per peak, the distances of the nearest
+reflections of all trial cells come from one sorted lookup; their sum bounds the cost of the
+one-to-one match from below. Cells are matched by growing bound until the next bound exceeds
+the best cost, so the winner is that of matching every cell. It is refined on a fine grid
+with its assignments held, then matched again at full tolerance.
+
+The vote (`votes`, `shortlist`, `cell_pairs`) is a bound of its own, by joins alone: every
+(peak, reflection) pair names the edges for which the reflection falls on the peak. The
+search doesn't use it; the tests hold it against plain loops.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from latticework.functions import bragg as B
 from latticework.operators.crystal import (
-    HCP_RATIOS, PEAKS_USED, UNMATCHED, candidate_pairs, greedy_match, phase_reflections, size_penalty, strongest,
+    HCP_RATIOS, INTENSITY_SHARE, PEAKS_USED, UNMATCHED, size_penalty, strongest,
 )
 from latticework.session import settle, spread
 
@@ -31,7 +39,7 @@ from latticework.session import settle, spread
 class Search:
     """Limits and steps of the search; the defaults are those of the workload.
 
-    `kept` cells per pattern and structure are matched after the vote.
+    `kept` cells per pattern and structure are what `shortlist` lists of a vote; the search has no such limit.
     """
 
     a_min: float = 2.5
@@ -54,8 +62,12 @@ CLOSE = (1.0, 0.6, 0.35, 0.15)
 # ln(s) is bucketed for the join of cells with reflections; ln(spacing) for that of peaks
 SHELL, SPACING = 0.05, 0.25
 CELL = ["structure", "centering", "system", "a", "c"]
-# a peak casts up to a thousand votes, a cell has a few dozen pairs
-PEAKS_A_TASK, CELLS_A_TASK = 1000, 10000
+# patterns dealt to a task and answered at a time
+PATTERNS_A_TASK, PATTERNS_AT_ONCE = 64, 16
+# angles whose distances to all trial cells are kept (90 kB each): patterns of one instrument share their angles
+ANGLES_KEPT = 256
+# bounds and costs add the same numbers in other orders
+SLACK = 1e-9
 
 
 def axial_ratios() -> tuple[list[float], list[float]]:
@@ -178,6 +190,155 @@ def _fine_grid(system: str, a: float, c: float) -> tuple[np.ndarray, np.ndarray]
     return edge[keep], axis[keep]
 
 
+class Trial:
+    """The trial grid in arrays: every cell of every kind, by structure, ratio and edge."""
+
+    FAR = 1000.0  # more than any edge / spacing, so that the kinds' lists lie one after another
+
+    def __init__(self, table: pa.Table, search: Search):
+        rows = table.to_pandas().sort_values(["structure", "q", "h", "k", "l"], kind="stable")
+        self.search, self.kinds, self.lists, self.indices, self.spans, self.planes, self.ratios = search, [], [], [], {}, {}, {}
+        ends, cell_kind, edges, lengths, at = [0], [], [], [], 0
+        for no, ((structure, q), g) in enumerate(rows.groupby(["structure", "q"], sort=True)):
+            first = g.iloc[0]
+            edge = search.a_min + np.arange(int(math.floor((first.a_max - search.a_min) / search.step + 1e-9)) + 1) * search.step
+            g = g.assign(first=np.arange(len(g))).sort_values("s", kind="stable")
+            self.kinds.append((structure, first.centering, first.system, float(q)))
+            self.lists.append(tuple(g[c].to_numpy() for c in ("s", "first", "rel")))
+            self.indices.append(g.sort_values("first")[["h", "k", "l"]].to_numpy())
+            distinct = np.unique(g["s"].to_numpy())
+            lengths.append(distinct + no * self.FAR)
+            ends.append(ends[-1] + len(distinct))
+            cell_kind.append(np.full(len(edge), no))
+            edges.append(edge)
+            start = self.spans.get(structure, (at, at))[0]
+            at += len(edge)
+            self.spans[structure] = (start, at)
+            if structure not in self.planes:
+                self.planes[structure] = _planes(first.system, first.centering)
+                self.ratios[structure] = ratios(self.planes[structure][-1])
+        self.kind, self.edge = np.concatenate(cell_kind), np.concatenate(edges)
+        self.lengths, self.starts, self.ends = np.concatenate(lengths), np.array(ends[:-1])[self.kind], np.array(ends[1:])[self.kind]
+        cubic = np.array([k[2] == "cubic" for k in self.kinds])[self.kind]
+        self.penalty = np.where(cubic & (self.edge > 6), 0.5 * (self.edge - 6) ** 2, 0.0)
+        self.near = lru_cache(ANGLES_KEPT)(self._near)
+
+    def _near(self, angle: float) -> np.ndarray:
+        """Squared distance of every cell's nearest reflection to an angle, infinite beyond the tolerance."""
+        s = self.edge * (2 * math.sin(math.radians(angle / 2)) / B.CU_K_ALPHA)
+        at = np.searchsorted(self.lengths, s + self.kind * self.FAR)
+        off = np.full(len(s), np.inf)
+        for place in (at - 1, at):
+            here = (place >= self.starts) & (place < self.ends)
+            length = self.lengths[np.where(here, place, 0)] - self.kind * self.FAR
+            sine = np.where(here, B.CU_K_ALPHA * length / (2 * self.edge), 2.0)
+            off = np.minimum(off, np.where(sine < 1, np.abs(2 * np.degrees(np.arcsin(np.minimum(sine, 1.0))) - angle), np.inf))
+        return np.where(off <= self.search.coarse + SLACK, off * off, np.inf)
+
+    def angles(self, cell: int, peaks: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Angles, places in the list and strengths of a cell's reflections about the peaks."""
+        length, first, rel = self.lists[self.kind[cell]]
+        edge, reach = self.edge[cell], self.search.coarse + 0.01
+        about = []
+        for _, angle, _ in peaks:
+            lo, hi = (2 * edge * math.sin(math.radians(min(max(t, 0.0), 180.0) / 2)) / B.CU_K_ALPHA for t in (angle - reach, angle + reach))
+            about.append(np.arange(np.searchsorted(length, lo), np.searchsorted(length, hi, "right")))
+        at = np.unique(np.concatenate(about))
+        sine = B.CU_K_ALPHA * length[at] / (2 * edge)
+        at, sine = at[sine < 1], sine[sine < 1]
+        return 2 * np.degrees(np.arcsin(sine)), first[at], rel[at]
+
+
+def _planes(system: str, centering: str) -> tuple[np.ndarray, ...]:
+    """h, k, l, the part of a plane's inverse square spacing that goes with a, and strength; in list order, of whatever angle."""
+    top = 12 if system == "hexagonal" else 14
+    h, k, l = (x.ravel() for x in np.meshgrid(np.arange(top + 1), np.arange(top + 1), np.arange(21), indexing="ij"))  # noqa: E741
+    keep = h + k + l > 0
+    if system != "hexagonal":
+        keep &= k <= h
+    if system == "cubic":
+        keep &= l <= k
+    if centering == "I":
+        keep &= (h + k + l) % 2 == 0
+    if centering == "F":
+        keep &= (h % 2 == k % 2) & (k % 2 == l % 2)
+    if centering == "HCP":
+        keep &= ~(((h - k) % 3 == 0) & (l % 2 == 1))
+    h, k, l = h[keep], k[keep], l[keep]  # noqa: E741
+    if system == "hexagonal":
+        return h, k, l, 4 * (h * h + h * k + k * k) / 3, np.maximum(0.0, 50 * (1 + np.cos(2 * math.pi * (h + 2 * k) / 3 + math.pi * l)))
+    rel = {"I": 100.0, "P": 25.0} if system == "tetragonal" else {"F": 16.0, "I": 4.0, "P": 1.0}
+    return h, k, l, (h * h + k * k).astype(float), np.full(len(h), rel[centering])
+
+
+def one_to_one(angles: np.ndarray, first: np.ndarray, rel: np.ndarray, peaks: list[tuple], tolerance: float) -> tuple[float, list[tuple]]:
+    """Cost and picks (peak, score, place, delta, angle) of a match: strongest peak first, best free reflection.
+
+    Of reflections whose angles agree to three decimals the first of the list counts. `peaks`
+    (order_no, angle, share) come strongest first.
+    """
+    order = np.lexsort((first, np.round(angles * 1000)))
+    key = np.round(angles[order] * 1000)
+    order = order[np.concatenate(([True], key[1:] != key[:-1]))] if len(order) else order
+    order = order[np.argsort(angles[order], kind="stable")]
+    theory, strength, place = angles[order].tolist(), np.maximum(rel[order], 1e-9).tolist(), first[order].tolist()
+    tol2, used, picks, cost = tolerance * tolerance, set(), [], 0.0
+    for no, angle, share in peaks:
+        free = [j for j in range(bisect_left(theory, angle - tolerance - SLACK), bisect_right(theory, angle + tolerance + SLACK))
+                if j not in used and abs(theory[j] - angle) <= tolerance]
+        if not free:
+            cost += UNMATCHED * tol2
+            continue
+        top = max(strength[j] for j in free)
+        score, j = min((abs(theory[j] - angle) ** 2 + (0.0 if share is None else INTENSITY_SHARE * tol2 * (share - strength[j] / top) ** 2), j) for j in free)
+        used.add(j)
+        cost += score
+        picks.append((no, score, place[j], abs(theory[j] - angle), theory[j]))
+    return cost, picks
+
+
+def ratios(rel: np.ndarray) -> list[float]:
+    """Shares of the strongest that reflections of these strengths can have beside each other."""
+    kinds = [max(x, 1e-9) for x in set(np.round(rel, 6).tolist())]
+    return [x / y for x in kinds for y in kinds if x <= y]
+
+
+def least_strength(share: float | None, shares: list[float]) -> float:
+    """What a match adds at least for its strength, in units of the squared tolerance."""
+    return 0.0 if share is None or not shares else INTENSITY_SHARE * min((share - x) ** 2 for x in shares)
+
+
+def cheapest(bound: np.ndarray, some: np.ndarray, nothing: float, match: Callable[[int], float]) -> int | None:
+    """First cell of least cost: cells are matched by growing bound until it exceeds the best cost. None: no peak is explained.
+
+    Cells that explain `some` peak are matched, all others cost `nothing`.
+    """
+    best, cost = None, nothing
+    at = np.flatnonzero(some & (bound <= nothing + SLACK))
+    for cell in at[np.argsort(bound[at], kind="stable")].tolist():
+        if bound[cell] > cost + SLACK:
+            break
+        here = round(match(cell), 12)
+        if best is None and here <= cost or best is not None and (here, cell) < (cost, best):
+            best, cost = cell, here
+    return best
+
+
+def coarse_cell(trial: Trial, structure: str, peaks: list[tuple]) -> int | None:
+    """The trial cell of least cost of one structure."""
+    lo, hi = trial.spans[structure]
+    tol2 = trial.search.coarse**2
+    bound, some = trial.penalty[lo:hi].copy(), np.zeros(hi - lo, bool)
+    for _, angle, share in peaks:
+        near = trial.near(angle)[lo:hi]
+        bound += np.minimum(near + least_strength(share, trial.ratios[structure]) * tol2, UNMATCHED * tol2)
+        some |= near < np.inf
+    # a penalty may make explaining a peak dearer than explaining none; such cells still compete
+    nothing = UNMATCHED * tol2 * len(peaks) + float(trial.penalty[lo:hi].max())
+    best = cheapest(bound, some, nothing, lambda i: one_to_one(*trial.angles(lo + i, peaks), peaks, trial.search.coarse)[0] + trial.penalty[lo + i])
+    return None if best is None else lo + best
+
+
 def fine_cell(system: str, a: float, c: float, picks: list[dict], tolerance: float) -> tuple[float, float]:
     """The first fine cell of least cost for the assigned reflections; misses cost a fixed amount."""
     edge, axis = _fine_grid(system, a, c)
@@ -192,23 +353,47 @@ def fine_cell(system: str, a: float, c: float, picks: list[dict], tolerance: flo
     return float(edge[best]), float(axis[best])
 
 
-def refined(winners: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Winners (keys, structure, centering, system, a, c, picks of at most fourteen peaks) with their fine cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.select(["system", "a", "c", "picks"]).to_pylist()
-            cells = [fine_cell(r["system"], r["a"], r["c"], r["picks"], tolerance) for r in rows]
-            kept = [batch.column(name) for name in names[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([cell[i] for cell in cells], pa.float64()) for i in (0, 1))], names)
-
-    names = [*keys, *CELL]
-    return winners.mapInArrow(run, winners.select(*names).schema)
-
-
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Dealt by key over a fixed number of partitions: small rows that much work hangs on aren't merged again."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def solve(trial: Trial, peaks: list[tuple]) -> list[dict]:
+    """Per structure the refined cell of a pattern and its match; `peaks` (order_no, angle, share), strongest first."""
+    out, tolerance = [], trial.search.tolerance
+    angles, by_no = [angle for _, angle, _ in peaks], {no: angle for no, angle, _ in peaks}
+    for structure in trial.spans:
+        cell = coarse_cell(trial, structure, peaks)
+        if cell is None:
+            continue
+        _, centering, system, q = trial.kinds[trial.kind[cell]]
+        a = float(trial.edge[cell])
+        held = one_to_one(*trial.angles(cell, peaks), peaks, trial.search.coarse)[1]
+        index = trial.indices[trial.kind[cell]]
+        a, c = fine_cell(system, a, a * q, [{**dict(zip("hkl", index[place].tolist())), "angle": by_no[no]} for no, _, place, _, _ in held], tolerance)
+        h, k, l, plane, rel = trial.planes[structure]  # noqa: E741
+        sine = B.CU_K_ALPHA / 2 * np.sqrt(plane / a**2 + l * l / c**2)
+        at = np.flatnonzero(sine < 1)
+        theory = 2 * np.degrees(np.arcsin(sine[at]))
+        inside = (theory >= min(angles) - 1.5) & (theory <= max(angles) + 1.5)
+        at, theory = at[inside], theory[inside]
+        cost, picks = one_to_one(theory, at, rel[at], peaks, tolerance)
+        out.append({
+            "structure": structure, "centering": centering, "system": system, "a": a, "c": c, "matched": len(picks), "n": len(peaks), "cost": cost,
+            "rms_deg": math.sqrt(sum(p[3] ** 2 for p in picks) / len(picks)) if picks else None,
+            "picks": [{"score": score, "i": place, "delta": delta, "h": int(h[place]), "k": int(k[place]), "l": int(l[place]), "two_theta": angle,
+                       "order_no": no, "angle": by_no[no], "rel": float(rel[place])} for no, score, place, delta, angle in picks] or None})
+    return out
+
+
+GRIDS: dict[Search, Trial] = {}
+
+
+def grid_of(search: Search, table: Broadcast) -> Trial:
+    """The grid of a search, built once per Python worker."""
+    if search not in GRIDS:
+        GRIDS.clear()
+        GRIDS[search] = Trial(table.value, search)
+    return GRIDS[search]
+
+
+PICK = "struct<score:double,i:int,delta:double,h:int,k:int,l:int,two_theta:double,order_no:int,angle:double,rel:double>"
+FOUND = f"structure string, centering string, system string, a double, c double, matched int, n int, cost double, rms_deg double, picks array<{PICK}>"
 
 
 def lattice_candidates(peaks: DataFrame, keys: list[str], search: Search = Search()) -> DataFrame:
@@ -219,20 +404,25 @@ def lattice_candidates(peaks: DataFrame, keys: list[str], search: Search = Searc
     """
     spark = peaks.sparkSession
     used = strongest(peaks, keys).select(*keys, "order_no", "two_theta", "intensity")
-    sizes = used.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
-    used = settle(used.join(sizes.select(*keys), keys, "left_semi"))
-    sizes = settle(sizes)
-    table = settle(shells(spark, search))
-    # peaks and cells are dealt by pattern before they are expanded: votes and pairs are gathered where they arise
-    cells = settle(shortlist(votes(spread(used, keys, PEAKS_A_TASK), keys, table, search), sizes, keys, search))
-    coarse = greedy_match(cell_pairs(used, spread(cells, keys, CELLS_A_TASK), table, keys, search.coarse), sizes, keys, CELL, search.coarse)
-    order = F.struct((F.col("cost") + _coarse_penalty(F.col("system"), F.col("a"))), F.col("c") / F.col("a"), F.col("a"))
-    winners = coarse.groupBy(*keys, "structure", "centering", "system").agg(F.min_by(F.struct("a", "c", "picks"), order).alias("_w")).select(
-        *keys, "structure", "centering", "system", "_w.*")
-    fine = settle(refined(_spread(winners, keys), keys, search.tolerance))
-    limits = used.groupBy(*keys).agg((F.min("two_theta") - 1).alias("_lo"), (F.max("two_theta") + 1).alias("_hi"))
-    listed = phase_reflections(fine.join(limits, keys), [*keys, *CELL], F.col("_lo"), F.col("_hi"))
-    hit = greedy_match(candidate_pairs(used, listed, keys, CELL, search.tolerance, shared=keys), sizes, keys, CELL, search.tolerance)
-    out = fine.join(hit.drop("n"), [*keys, *CELL], "left").join(sizes, keys)
-    blank = F.col("n") * (UNMATCHED * search.tolerance * search.tolerance)
-    return out.select(*keys, *CELL, F.coalesce("matched", F.lit(0)).alias("matched"), "n", F.coalesce("cost", blank).alias("cost"), "rms_deg", "picks")
+    item = F.struct("order_no", F.col("two_theta").cast("double").alias("two_theta"), F.col("intensity").cast("double").alias("intensity"))
+    lists = settle(used.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_peaks")).where("size(_peaks) >= 2"))
+    # the grid's lists, bounded by the search alone
+    table = spark.sparkContext.broadcast(shells(spark, search).toArrow())
+    schema = StructType([*lists.select(*keys).schema.fields, *StructType.fromDDL(FOUND).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PATTERNS_AT_ONCE):
+                part, places, rows, grid = batch.slice(start, PATTERNS_AT_ONCE), [], [], grid_of(search, table)
+                for i, items in enumerate(part.column("_peaks").to_pylist()):
+                    top = max(max((p["intensity"] for p in items if p["intensity"] is not None), default=0.0), 1e-12)
+                    found = solve(grid, [(p["order_no"], p["two_theta"], None if p["intensity"] is None else p["intensity"] / top) for p in items])
+                    rows += found
+                    places += [i] * len(found)
+                named = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[len(keys):]))
+                own = [part.column(name).take(pa.array(places, pa.int32())).cast(arrow.field(name).type) for name in keys]
+                yield pa.RecordBatch.from_arrays([*own, *named.columns], schema=arrow)
+
+    # stored, as callers rank and join the rows: a pattern is searched once
+    return settle(spread(lists, keys, PATTERNS_A_TASK).mapInArrow(run, schema))

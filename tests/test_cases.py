@@ -1,6 +1,7 @@
 """Small known cases: calibration, resampling, smoothing, peaks, gates, lattices, fits."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -170,6 +171,75 @@ def test_votes_bound_the_cost_of_every_cell(spark):
     assert len(both) == len(want) and all(r.cost >= r.bound - 1e-9 - (0.5 * max(0.0, r.a - 6) ** 2) for r in both)
 
 
+def plain_cell(system, centering, grid, peaks, tolerance):
+    """First cell of least cost (rounded to twelve digits) of those that explain a peak: every cell's whole list is matched."""
+    rel = {"F": 16.0, "I": 100.0 if system == "tetragonal" else 4.0, "P": 25.0 if system == "tetragonal" else 1.0}
+    top, planes = max(s for _, _, s in peaks), []
+    for h in range(13 if system == "hexagonal" else 15):
+        for k in range(13 if system == "hexagonal" else h + 1):
+            for l in range(k + 1 if system == "cubic" else 21):  # noqa: E741
+                if centering == "F" and len({h % 2, k % 2, l % 2}) > 1 or centering == "I" and (h + k + l) % 2:
+                    continue
+                if centering == "HCP" and l % 2 and (h + 2 * k) % 3 == 0:
+                    continue
+                strength = max(50 * (1 + math.cos(2 * math.pi * (h + 2 * k) / 3 + math.pi * l)), 1e-9) if centering == "HCP" else rel[centering]
+                planes.append((4 * (h * h + h * k + k * k) / 3 if system == "hexagonal" else h * h + k * k, l * l, strength))
+    lo, hi = min(t for _, t, _ in peaks) - 1, max(t for _, t, _ in peaks) + 1
+    best = None
+    for a, c in grid:
+        theory = {}
+        for p, l2, strength in planes:
+            sine = 1.5406 / 2 * math.sqrt(p / a**2 + l2 / c**2)
+            angle = 2 * math.degrees(math.asin(sine)) if sine < 1 else 0
+            if lo <= angle <= hi:
+                theory.setdefault(round(angle * 1000), (angle, strength))
+        cost, used = 0.0, set()
+        for _, t, intensity in sorted(peaks):
+            free = [(x, s, i) for i, (x, s) in theory.items() if i not in used and abs(x - t) <= tolerance]
+            if not free:
+                cost += 8 * tolerance**2
+                continue
+            strongest = max(s for _, s, _ in free)
+            score, i = min(((x - t) ** 2 + 0.45 * tolerance**2 * (intensity / top - s / strongest) ** 2, i) for x, s, i in free)
+            cost += score
+            used.add(i)
+        if used and (best is None or round(cost, 12) < best[0]):
+            best = (round(cost, 12), a, c)
+    return best
+
+
+def test_every_trial_cell_is_weighed(spark):
+    """The search finds the trial cell that a plain loop over the whole grid finds, also where two peaks want the same reflection."""
+    rng, search = random.Random(5), L.Search(a_min=2.8, a_max=3.4)
+    trial = L.Trial(L.shells(spark, search).toArrow(), search)
+    for _ in range(4):
+        angles = sorted(rng.uniform(25, 75) for _ in range(8))
+        angles[3] = angles[2] + 0.3
+        peaks = [(i + 1, t, 100.0 - 12 * i) for i, t in enumerate(rng.sample(angles, 8))]
+        hexagonal, tetragonal = L.axial_ratios()
+        edges = [2.8 + i * 0.04 for i in range(16)]
+        for structure, system, centering, shares in (("fcc", "cubic", "F", [1.0]), ("bcc", "cubic", "I", [1.0]), ("sc", "cubic", "P", [1.0]), ("hcp", "hexagonal", "HCP", hexagonal),
+                                                     ("tetragonal-I", "tetragonal", "I", tetragonal), ("tetragonal-P", "tetragonal", "P", tetragonal)):
+            grid = [(a, a * q) for q in shares for a in edges if system != "hexagonal" or a * q <= 5.5]
+            want = plain_cell(system, centering, grid, peaks, search.coarse)
+            cell = L.coarse_cell(trial, structure, [(i, t, s / 100) for i, t, s in peaks])
+            got = None if cell is None else (trial.edge[cell], trial.edge[cell] * trial.kinds[trial.kind[cell]][3])
+            assert (want and want[1:3]) == (got and pytest.approx(got)), structure
+
+
+def test_no_number_of_cells_is_enough(spark):
+    """A pattern whose best hexagonal cell has more than sixteen others of lower bound from votes in four steps of closeness."""
+    peaks = [(1, 40.0, 286155.0), (2, 30.5, 253114.0), (3, 16.0, 250922.0), (4, 28.5, 242967.0), (5, 10.5, 234317.0),
+             (6, 33.0, 212354.0), (7, 19.5, 207697.0), (8, 35.5, 158046.0), (9, 25.5, 145719.0), (10, 22.0, 111456.0)]
+    edges = [2.5 + i * 0.04 for i in range(51)]
+    grid = [(a, a * q) for q in L.axial_ratios()[0] for a in edges if a <= 4.5 + 1e-9 and a * q <= 5.5 + 1e-9]
+    _, a, c = plain_cell("hexagonal", "HCP", grid, peaks, L.Search().coarse)
+    df = spark.createDataFrame([(1, t, s) for _, t, s in peaks], "pattern_id bigint, two_theta double, intensity double")
+    r = L.lattice_candidates(df, PK).where("structure = 'hcp'").first()
+    # the fine grid reaches this far
+    assert abs(r.a - a) <= 0.0601 and abs(r.c / r.a - c / a) <= 0.0401
+
+
 def test_profile_fit_recovers_two_gaussians(curve):
     t = np.arange(20, 40, 0.05)
     s = 1 / (2 * math.sqrt(2 * math.log(2)))
