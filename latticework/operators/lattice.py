@@ -235,16 +235,18 @@ class Trial:
             off = np.minimum(off, np.where(sine < 1, np.abs(2 * np.degrees(np.arcsin(np.minimum(sine, 1.0))) - angle), np.inf))
         return np.where(off <= self.search.coarse + SLACK, off * off, np.inf)
 
-    def angles(self, cell: int, peaks: list[tuple]) -> tuple[np.ndarray, ...]:
-        """Angles, places in the list and strengths of a cell's reflections about the peaks."""
+    def windows(self, peaks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Doubled sines, over the wavelength, of the ends of the peaks' coarse windows."""
+        angle, reach = np.array([p[1] for p in peaks]), self.search.coarse + 0.01
+        return tuple(2 / B.CU_K_ALPHA * np.sin(np.radians(np.clip(angle + x, 0.0, 180.0) / 2)) for x in (-reach, reach))
+
+    def angles(self, cell: int, windows: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Angles, places in the list and strengths of a cell's reflections in the windows; twice where these overlap."""
         length, first, rel = self.lists[self.kind[cell]]
-        edge, reach = self.edge[cell], self.search.coarse + 0.01
-        about = []
-        for _, angle, _ in peaks:
-            lo, hi = (2 * edge * math.sin(math.radians(min(max(t, 0.0), 180.0) / 2)) / B.CU_K_ALPHA for t in (angle - reach, angle + reach))
-            about.append(np.arange(np.searchsorted(length, lo), np.searchsorted(length, hi, "right")))
-        at = np.unique(np.concatenate(about))
-        sine = B.CU_K_ALPHA * length[at] / (2 * edge)
+        edge = self.edge[cell]
+        starts, ends = length.searchsorted(edge * windows[0]).tolist(), length.searchsorted(edge * windows[1], "right").tolist()
+        at = np.array([i for start, end in zip(starts, ends) for i in range(start, end)], int)
+        sine = B.CU_K_ALPHA / (2 * edge) * length[at]
         at, sine = at[sine < 1], sine[sine < 1]
         return 2 * np.degrees(np.arcsin(sine)), first[at], rel[at]
 
@@ -277,10 +279,10 @@ def one_to_one(angles: np.ndarray, first: np.ndarray, rel: np.ndarray, peaks: li
     Of reflections whose angles agree to three decimals the first of the list counts. `peaks`
     (order_no, angle, share) come strongest first.
     """
-    order = np.lexsort((first, np.round(angles * 1000)))
-    key = np.round(angles[order] * 1000)
-    order = order[np.concatenate(([True], key[1:] != key[:-1]))] if len(order) else order
-    order = order[np.argsort(angles[order], kind="stable")]
+    key = np.round(angles * 1000)
+    order = np.lexsort((first, key))
+    if len(order):
+        order = order[np.concatenate(([True], np.diff(key[order]) != 0))]
     theory, strength, place = angles[order].tolist(), np.maximum(rel[order], 1e-9).tolist(), first[order].tolist()
     tol2, used, picks, cost = tolerance * tolerance, set(), [], 0.0
     for no, angle, share in peaks:
@@ -315,12 +317,14 @@ def cheapest(bound: np.ndarray, some: np.ndarray, nothing: float, match: Callabl
     """
     best, cost = None, nothing
     at = np.flatnonzero(some & (bound <= nothing + SLACK))
+    if len(at):
+        best = int(at[bound[at].argmin()])
+        cost = round(match(best), 12)
+        at = at[(bound[at] <= cost + SLACK) & (at != best)]
     for cell in at[np.argsort(bound[at], kind="stable")].tolist():
         if bound[cell] > cost + SLACK:
             break
-        here = round(match(cell), 12)
-        if best is None and here <= cost or best is not None and (here, cell) < (cost, best):
-            best, cost = cell, here
+        cost, best = min((cost, best), (round(match(cell), 12), cell))
     return best
 
 
@@ -335,7 +339,8 @@ def coarse_cell(trial: Trial, structure: str, peaks: list[tuple]) -> int | None:
         some |= near < np.inf
     # a penalty may make explaining a peak dearer than explaining none; such cells still compete
     nothing = UNMATCHED * tol2 * len(peaks) + float(trial.penalty[lo:hi].max())
-    best = cheapest(bound, some, nothing, lambda i: one_to_one(*trial.angles(lo + i, peaks), peaks, trial.search.coarse)[0] + trial.penalty[lo + i])
+    windows = trial.windows(peaks)
+    best = cheapest(bound, some, nothing, lambda i: one_to_one(*trial.angles(lo + i, windows), peaks, trial.search.coarse)[0] + float(trial.penalty[lo + i]))
     return None if best is None else lo + best
 
 
@@ -356,14 +361,14 @@ def fine_cell(system: str, a: float, c: float, picks: list[dict], tolerance: flo
 def solve(trial: Trial, peaks: list[tuple]) -> list[dict]:
     """Per structure the refined cell of a pattern and its match; `peaks` (order_no, angle, share), strongest first."""
     out, tolerance = [], trial.search.tolerance
-    angles, by_no = [angle for _, angle, _ in peaks], {no: angle for no, angle, _ in peaks}
+    windows, angles, by_no = trial.windows(peaks), [angle for _, angle, _ in peaks], {no: angle for no, angle, _ in peaks}
     for structure in trial.spans:
         cell = coarse_cell(trial, structure, peaks)
         if cell is None:
             continue
         _, centering, system, q = trial.kinds[trial.kind[cell]]
         a = float(trial.edge[cell])
-        held = one_to_one(*trial.angles(cell, peaks), peaks, trial.search.coarse)[1]
+        held = one_to_one(*trial.angles(cell, windows), peaks, trial.search.coarse)[1]
         index = trial.indices[trial.kind[cell]]
         a, c = fine_cell(system, a, a * q, [{**dict(zip("hkl", index[place].tolist())), "angle": by_no[no]} for no, _, place, _, _ in held], tolerance)
         h, k, l, plane, rel = trial.planes[structure]  # noqa: E741
