@@ -331,6 +331,8 @@ def cheapest(bound: np.ndarray, some: np.ndarray, nothing: float, match: Callabl
 def coarse_cell(trial: Trial, structure: str, peaks: list[tuple]) -> int | None:
     """The trial cell of least cost of one structure."""
     lo, hi = trial.spans[structure]
+    if lo == hi:
+        return None
     tol2 = trial.search.coarse**2
     bound, some = trial.penalty[lo:hi].copy(), np.zeros(hi - lo, bool)
     for _, angle, share in peaks:

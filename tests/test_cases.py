@@ -227,6 +227,13 @@ def test_every_trial_cell_is_weighed(spark):
             assert (want and want[1:3]) == (got and pytest.approx(got)), structure
 
 
+def test_structures_without_trial_cells_are_left_out(spark):
+    """No hexagonal edge reaches 5, so that only the other structures are searched."""
+    df = spark.createDataFrame([(1, 30.0, 5.0), (1, 41.0, None), (1, 52.5, 1.0)], "pattern_id bigint, two_theta double, intensity double")
+    found = {r.structure: r.n for r in L.lattice_candidates(df, PK, L.Search(a_min=5.0, a_max=5.4)).collect()}
+    assert "hcp" not in found and found and set(found.values()) == {3}
+
+
 def test_no_number_of_cells_is_enough(spark):
     """A pattern whose best hexagonal cell has more than sixteen others of lower bound from votes in four steps of closeness."""
     peaks = [(1, 40.0, 286155.0), (2, 30.5, 253114.0), (3, 16.0, 250922.0), (4, 28.5, 242967.0), (5, 10.5, 234317.0),
